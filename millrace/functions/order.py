@@ -161,7 +161,12 @@ def order_stats(
 
     A pick is a column over ``n``. Works on value counts, so ties cost one row, and never holds a
     group in one task."""
-    laid = lay_out(value_counts(df, value, group), ["_v"], group)
+    return order_stats_of_counts(value_counts(df, value, group), picks, group)
+
+
+def order_stats_of_counts(counts: DataFrame, picks: dict[str, Column], group: Sequence[str] = ()) -> DataFrame:
+    """``order_stats`` on (group, _v, _c) rows."""
+    laid = lay_out(counts, ["_v"], group)
     run = running_sum(laid, "_c", "_upto", group)
     n = laid.groupBy(*group).agg(F.sum("_c").alias("n"))
     run = join_totals(run, n, group)
@@ -182,17 +187,21 @@ def quantiles(
     df: DataFrame, value: str | Column, points: dict[str, float], group: Sequence[str] = ()
 ) -> DataFrame:
     """Exact interpolated quantiles (position (n-1)·p) per group, with ``n``."""
+    return quantiles_of_counts(value_counts(df, value, group), points, group)
+
+
+def quantiles_of_counts(counts: DataFrame, points: dict[str, float], group: Sequence[str] = ()) -> DataFrame:
     n = F.col("n")
+    place = {name: (n - 1) * F.lit(float(p)) for name, p in points.items()}
     picks: dict[str, Column] = {}
-    for name, p in points.items():
-        picks[f"_lo_{name}"] = F.floor((n - 1) * F.lit(float(p)))
-        picks[f"_hi_{name}"] = F.ceil((n - 1) * F.lit(float(p)))
-    found = order_stats(df, value, picks, group)
+    for name, position in place.items():
+        picks[f"_lo_{name}"] = F.floor(position)
+        picks[f"_hi_{name}"] = F.ceil(position)
+    found = order_stats_of_counts(counts, picks, group)
     out = []
-    for name, p in points.items():
+    for name, position in place.items():
         lo, hi = F.col(f"_lo_{name}").cast("double"), F.col(f"_hi_{name}").cast("double")
-        place = (n - 1) * F.lit(float(p))
-        out.append((lo + (hi - lo) * (place - F.floor(place))).alias(name))
+        out.append((lo + (hi - lo) * (position - F.floor(position))).alias(name))
     return found.select(*group, "n", *out)
 
 
