@@ -237,3 +237,21 @@ def trailing(
     spread = indexed.withColumn("_copy", F.explode(copies)).withColumn("_block", F.col("_copy.b"))
     frame = Window.partitionBy(*group, "_block").orderBy("_idx").rowsBetween(-rows, 0)
     return spread.withColumns(outputs(frame)).where(~F.col("_copy.halo")).drop("_copy", "_block", "_idx")
+
+
+GROUP_LIMIT = 1_000  # Spark keeps only the leading rows of each group before the shuffle up to this rank
+
+
+def leading(
+    df: DataFrame, group: Sequence[str], order: Sequence[str | Column], rows: int, name: str = "_nth"
+) -> DataFrame:
+    """The first ``rows`` rows of each group with their 1-based rank.
+
+    Small ranks use Spark's group limit, which cuts every group to ``rows`` on the map side; large ones
+    the range index."""
+    keys = [as_key(o) for o in order]
+    if rows <= GROUP_LIMIT and group:
+        ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*keys)))
+        return ranked.where(F.col(name) <= rows)
+    ranked = with_index(df, keys, group, name).withColumn(name, F.col(name) + 1)
+    return ranked.where(F.col(name) <= rows)

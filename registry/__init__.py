@@ -40,4 +40,4 @@ def rounded(df: DataFrame, digits: int = 4, **special: int) -> DataFrame:
 
 
 def load_all() -> None:
-    from registry import anomalies, kpis, quality  # noqa: F401
+    from registry import anomalies, kpis, quality, segments, series, statistics  # noqa: F401
