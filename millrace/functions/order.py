@@ -91,10 +91,16 @@ def _last_known(column: Column) -> Column:
 
 def running_sum(laid: DataFrame, value: str, name: str, group: Sequence[str] = ()) -> DataFrame:
     """Inclusive running sum over a layout."""
-    local = F.sum(value).over(within(group).rowsBetween(Window.unboundedPreceding, 0))
-    df = laid.withColumn("_local", local)
-    df = carry(df, group, {"_before": (F.sum(value), F.sum)})
-    return df.withColumn(name, F.col("_local") + F.coalesce("_before", F.lit(0))).drop("_local", "_before")
+    return running_sums(laid, {name: value}, group)
+
+
+def running_sums(laid: DataFrame, sums: dict[str, str], group: Sequence[str] = ()) -> DataFrame:
+    """Several inclusive running sums (name: column) in one pass."""
+    frame = within(group).rowsBetween(Window.unboundedPreceding, 0)
+    df = laid.withColumns({f"_local_{name}": F.sum(value).over(frame) for name, value in sums.items()})
+    df = carry(df, group, {f"_before_{name}": (F.sum(value), F.sum) for name, value in sums.items()})
+    done = {name: F.col(f"_local_{name}") + F.coalesce(f"_before_{name}", F.lit(0)) for name in sums}
+    return df.withColumns(done).drop(*[f"{side}_{name}" for name in sums for side in ("_local", "_before")])
 
 
 def previous(laid: DataFrame, value: str, name: str, group: Sequence[str] = ()) -> DataFrame:

@@ -88,6 +88,8 @@ def cost_by_tenant(
     )
 
 
+FEW = 100  # distinct periods or windows that become columns of one aggregation
+
 # --- quotas ----------------------------------------------------------------------------------------
 
 # Limits by tier as (limit, period in seconds). A period of 0 counts the last 300 s.
@@ -134,14 +136,19 @@ def quota_usage(
     period = F.when(F.col("period_seconds") == 0, CONCURRENT_SECONDS).otherwise(F.col("period_seconds"))
     age = F.timestamp_diff("MICROSECOND", F.col("ts"), now)
     # Usage by age is summed per period before the join, so a busy tenant joins as a few rows.
-    periods = [r[0] for r in limits.select(period.alias("p")).distinct().limit(1_000).collect()]
-    sums = log.groupBy(*by).agg(
-        *[F.sum(F.when(age <= p * 1_000_000, F.col("amount"))).alias(f"u_{p}") for p in periods]
-    )
-    joined = limits.join(sums, by, "left").withColumn("_p", period)
-    usage = F.lit(None).cast("double")
-    for p in periods:
-        usage = F.when(F.col("_p") == p, F.col(f"u_{p}")).otherwise(usage)
+    periods = [r[0] for r in limits.select(period.alias("p")).distinct().limit(FEW + 1).collect()]
+    if len(periods) <= FEW:
+        sums = log.groupBy(*by).agg(
+            *[F.sum(F.when(age <= p * 1_000_000, F.col("amount"))).alias(f"u_{p}") for p in periods]
+        )
+        joined = limits.join(sums, by, "left").withColumn("_p", period)
+        usage = F.lit(None).cast("double")
+        for p in periods:
+            usage = F.when(F.col("_p") == p, F.col(f"u_{p}")).otherwise(usage)
+    else:  # a period of its own for nearly every limit: compare row by row
+        matched = log.join(limits.select(*by, period.alias("_p")), by).where(age <= F.col("_p") * 1_000_000)
+        joined = limits.join(matched.groupBy(*by).agg(F.sum("amount").alias("_u")), by, "left")
+        usage = F.col("_u")
     used = F.coalesce(usage, F.lit(0.0))
     return joined.select(
         *by,
@@ -183,8 +190,10 @@ def slo_status(points: DataFrame, slos: DataFrame, as_of: dt.datetime) -> DataFr
 
     ``points`` has sli, ts and good (0 or 1); ``slos`` has slo, sli, target and window_hours."""
     now = F.lit(as_of).cast("timestamp_ntz")
-    hours = [r[0] for r in slos.select("window_hours").distinct().limit(1_000).collect()]
+    hours = [r[0] for r in slos.select("window_hours").distinct().limit(FEW + 1).collect()]
     age = F.timestamp_diff("MICROSECOND", F.col("ts"), now)
+    if len(hours) > FEW:
+        raise ValueError(f"more than {FEW} different windows; evaluate the objectives in groups")
     sums = points.groupBy("sli").agg(
         *[F.avg(F.when(age <= int(h * 3_600_000_000), F.col("good"))).alias(f"r_{i}") for i, h in enumerate(hours)],
         *[F.count(F.when(age <= int(h * 3_600_000_000), F.col("good"))).alias(f"n_{i}") for i, h in enumerate(hours)],
@@ -215,6 +224,12 @@ def alert_intervals(signal: DataFrame, rule: str, order: Sequence[str], met: str
 
     ``order`` is the time column and a unique key. An alert fires at the first point at which the
     condition has held for the duration, and resolves at the first false point after."""
+    runs = alert_runs(signal, rule, order, met, for_seconds).where("fired_at IS NOT NULL")
+    return runs.select(rule, F.col(f"run.{order[0]}").alias("pending_since"), "fired_at", "resolved_at")
+
+
+def alert_runs(signal: DataFrame, rule: str, order: Sequence[str], met: str, for_seconds: float = 0.0) -> DataFrame:
+    """Every stretch of true points (``run`` is its first point), fired or not."""
     ts = order[0]
     points = signal.select(rule, *order, F.coalesce(F.col(met), F.lit(False)).alias("met"))
     laid = previous(lay_out(points, list(order), [rule]), "met", "was", [rule])
@@ -222,14 +237,9 @@ def alert_intervals(signal: DataFrame, rule: str, order: Sequence[str], met: str
     laid = laid.withColumn("begin", F.when(begins, F.struct(*order)))
     laid = fill_forward(laid, "begin", "run", [rule]).where("run IS NOT NULL")
     held = F.timestamp_diff("MICROSECOND", F.col(f"run.{ts}"), F.col(ts)) >= int(for_seconds * 1_000_000)
-    return (
-        laid.groupBy(rule, "run")
-        .agg(
-            F.min(F.when(F.col("met") & held, F.col(ts))).alias("fired_at"),
-            F.min(F.when(~F.col("met"), F.col(ts))).alias("resolved_at"),
-        )
-        .where("fired_at IS NOT NULL")
-        .select(rule, F.col(f"run.{ts}").alias("pending_since"), "fired_at", "resolved_at")
+    return laid.groupBy(rule, "run").agg(
+        F.min(F.when(F.col("met") & held, F.col(ts))).alias("fired_at"),
+        F.min(F.when(~F.col("met"), F.col(ts))).alias("resolved_at"),
     )
 
 

@@ -40,4 +40,4 @@ def rounded(df: DataFrame, digits: int = 4, **special: int) -> DataFrame:
 
 
 def load_all() -> None:
-    from registry import anomalies, governance, kpis, oplogs, quality, segments, series, statistics, texts  # noqa: F401
+    from registry import anomalies, governance, kpis, oplogs, quality, segments, series, statistics, surface, texts  # noqa: F401
