@@ -71,6 +71,7 @@ def main() -> None:
             begin = time.perf_counter()
             job().write.format("noop").mode("overwrite").save()
             timings[name] = round(time.perf_counter() - begin, 3)
+        print(name, timings[name], file=sys.stderr, flush=True)
     print(
         json.dumps(
             {"metric": "headline_total", "value": round(sum(timings.values()), 3), "unit": "sec", "queries": timings, "sf": folder.rsplit("sf", 1)[-1]}

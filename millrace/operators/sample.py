@@ -8,23 +8,47 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.freeze import freeze
 from millrace.functions.order import join_totals, lay_out, running_sum, with_index
 
 # Fixed values of the sample size formula.
 Z_BY_CONFIDENCE = {0.90: 1.645, 0.95: 1.96, 0.99: 2.576}
-TOP_K_ROWS = 100_000  # up to here the n smallest hashes fit one task; above, rows are ranked by range
+TOP_K_ROWS = 1_000  # up to here every task sends its n smallest hashes to one; above, rows are ranked by range
 
 
 def seeded(key: Sequence[str], seed: int) -> Column:
     return F.xxhash64(*[F.col(k) for k in key], F.lit(seed))
 
 
+def _margin(n):
+    """Rows taken beyond the n expected below a hash cut, as a number or column function of n."""
+    root = F.sqrt(n) if isinstance(n, Column) else math.sqrt(n)
+    return root * 6 + 100
+
+
+def _below(share) -> Column:
+    """Whether the hash lies in the lowest ``share`` of its 64-bit range."""
+    share = share if isinstance(share, Column) else F.lit(float(share))
+    return F.col("_h").cast("double") < share * 2.0**64 - 2.0**63
+
+
 def bottom_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 0) -> DataFrame:
-    """The n rows with the smallest seeded hash: a uniform sample that merges across parts and batches."""
+    """The n rows with the smallest seeded hash: a uniform sample that merges across parts and batches.
+
+    A large sample first cuts the table at the hash below which little more than n rows should lie; if
+    fewer do, the whole table is ranked."""
     hashed = df.withColumn("_h", seeded(key, seed))
     if n <= TOP_K_ROWS:
         return hashed.orderBy("_h", *key).limit(n).drop("_h")
-    return with_index(hashed, ["_h", *key], (), "_i").where(F.col("_i") < n).drop("_h", "_i")
+    total = df.count()
+    if n >= total:
+        return df
+    pool = hashed
+    share = (n + _margin(n)) / total
+    if share < 0.5:
+        likely = freeze(hashed.where(_below(share)))
+        pool = likely if likely.count() >= n else hashed
+    return with_index(pool, ["_h", *key], (), "_i").where(F.col("_i") < n).drop("_h", "_i")
 
 
 def random_sample(df: DataFrame, n: int, key: Sequence[str] = (), seed: int = 0) -> DataFrame:
@@ -57,14 +81,22 @@ def strata_quota(df: DataFrame, n: int, stratum: str) -> DataFrame:
     wanted = sizes.withColumn("_want", F.least(F.greatest(F.lit(1), share), "_size"))
     run = running_sum(lay_out(wanted, [stratum]), "_want", "_upto")
     left = F.greatest(F.lit(0), F.lit(n) - (F.col("_upto") - F.col("_want")))
-    return run.select(stratum, F.least("_want", left).alias("_quota"))
+    return run.select(stratum, F.least("_want", left).alias("_quota"), "_size")
 
 
 def stratified_sample(df: DataFrame, n: int, stratum: str, key: Sequence[str], seed: int = 0) -> DataFrame:
-    """Draw from every stratum in proportion. A stratum of any size is ranked by range, not in one task."""
-    ranked = with_index(df.withColumn("_h", seeded(key, seed)), ["_h", *key], [stratum], "_i")
-    chosen = join_totals(ranked, strata_quota(df, n, stratum), [stratum])
-    return chosen.where("_i < _quota").select(*df.columns)
+    """Draw from every stratum in proportion. A stratum of any size is ranked by range, not in one task.
+
+    Rows are cut at the hash below which little more than the quota of their stratum should lie; if a
+    stratum has fewer there, all rows are ranked."""
+    quota = freeze(strata_quota(df, n, stratum))
+    hashed = join_totals(df.withColumn("_h", seeded(key, seed)), quota, [stratum])
+    share = (F.col("_quota") + _margin(F.col("_quota"))) / F.col("_size")
+    likely = freeze(hashed.where(_below(share)))
+    counts = likely.groupBy(stratum).agg(F.count(F.lit(1)).alias("_found"))
+    short = join_totals(quota, counts, [stratum]).where("_found >= _quota").count() < quota.where("_quota > 0").count()
+    ranked = with_index(hashed if short else likely, ["_h", *key], [stratum], "_i")
+    return ranked.where("_i < _quota").select(*df.columns)
 
 
 def md5_bucket(key: str) -> Column:

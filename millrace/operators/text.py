@@ -35,14 +35,15 @@ def with_unit(df: DataFrame, vector: str, name: str) -> DataFrame:
 
 def embed_chars(df: DataFrame, text: str, dims: int = 64, name: str = "embedding") -> DataFrame:
     """Share of each of 42 characters in the lower-cased text, padded with 0 to ``dims``, L2-normalized."""
-    # One pass over the lower-cased text per character, on a column that is computed once.
-    lowered = df.withColumn("_low", F.lower(F.col(text))).withColumn("_size", F.greatest(F.length("_low"), F.lit(1)))
-    marks = F.array(*[F.lit(c) for c in EMBED_CHARACTERS[:dims]], *[F.lit(None).cast("string")] * (dims - len(EMBED_CHARACTERS)))
-    shares = F.transform(
-        marks,
-        lambda c: F.coalesce((F.length("_low") - F.length(F.replace(F.col("_low"), c))) / F.col("_size"), F.lit(0.0)),
-    )
-    return with_unit(lowered.withColumn("_raw", shares), "_raw", name).drop("_raw", "_low", "_size")
+    characters = EMBED_CHARACTERS[:dims]
+
+    @F.pandas_udf("array<double>")
+    def shares(texts: pd.Series) -> pd.Series:
+        # str.count scans at memory speed, which 42 replaced copies of the text in the JVM do not.
+        padding = [0.0] * (dims - len(characters))
+        return texts.map(lambda t: None if t is None else [t.count(c) / max(len(t), 1) for c in characters] + padding)
+
+    return with_unit(df.withColumn("_raw", shares(F.lower(F.col(text)))), "_raw", name).drop("_raw")
 
 
 def tokens(text: Column) -> Column:

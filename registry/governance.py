@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from millrace.functions.freeze import freeze
 from millrace.operators import contracts, lineage, privacy
 from millrace.operators.contracts import ColumnSpec, Contract
 from registry import query, rounded, table
@@ -276,7 +277,7 @@ def edges(spark, sf):
     pair = lambda df, a, ac, b, bc: df.select(
         F.concat(F.lit(f"{a}:"), ac).alias("source"), F.concat(F.lit(f"{b}:"), bc).alias("target")
     )
-    return (
+    return freeze(  # derived here; a stored edge table would be read as it is
         pair(nation, "region", "n_regionkey", "nation", "n_nationkey")
         .unionByName(pair(supplier, "nation", "s_nationkey", "supplier", "s_suppkey"))
         .unionByName(pair(lines, "supplier", "l_suppkey", "part", "l_partkey").distinct())
