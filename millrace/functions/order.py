@@ -30,12 +30,13 @@ def as_key(order: str | Column) -> Column:
 def lay_out(df: DataFrame, order: Sequence[str | Column], group: Sequence[str] = ()) -> DataFrame:
     """Range-partition and sort by (group, order); add the partition and the row's place in it.
 
-    End ``order`` with a unique key, or equal rows all land in one partition."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    End ``order`` with a unique key, or equal rows all land in one partition. The number of ranges is
+    ``spark.sql.shuffle.partitions``, of which AQE merges neighbours that are small; the merge comes
+    before the partition is numbered and written, so it is part of the layout."""
     keys = [F.col(g).asc_nulls_first() for g in group] + [as_key(o) for o in order]
     row_id = F.col("_row_id")
     laid = (
-        df.repartitionByRange(partitions, *keys)
+        df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_row_id", F.monotonically_increasing_id())
         .withColumn(PART, F.shiftright(row_id, _POS_BITS))

@@ -16,6 +16,8 @@ def spark():
         "local[8]",
         **{
             "spark.sql.shuffle.partitions": "4",
+            # Keep small tables on several ranges, so that the carried state is put to the test.
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "8g",
