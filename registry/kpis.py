@@ -29,7 +29,7 @@ def sparse_lineitem(spark, sf):
     WITH p AS (SELECT CAST(o_orderdate AS DATE) AS period, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM orders GROUP BY 1),
          l AS (SELECT *, LAG(revenue) OVER (ORDER BY period) AS prev FROM p)
     SELECT period, ROUND(revenue, 4) AS revenue, ROUND(prev, 4) AS prev_revenue,
-           ROUND((revenue - prev) / NULLIF(prev, 0) * 100, 2) AS growth_pct FROM l
+           ROUND((revenue - prev) / NULLIF(prev, 0) * 100, 2) + 0.0 AS growth_pct FROM l
     """,
 )
 def _(spark, sf):
