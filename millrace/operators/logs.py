@@ -192,17 +192,21 @@ def slo_status(points: DataFrame, slos: DataFrame, as_of: dt.datetime) -> DataFr
     now = F.lit(as_of).cast("timestamp_ntz")
     hours = [r[0] for r in slos.select("window_hours").distinct().limit(FEW + 1).collect()]
     age = F.timestamp_diff("MICROSECOND", F.col("ts"), now)
-    if len(hours) > FEW:
-        raise ValueError(f"more than {FEW} different windows; evaluate the objectives in groups")
-    sums = points.groupBy("sli").agg(
-        *[F.avg(F.when(age <= int(h * 3_600_000_000), F.col("good"))).alias(f"r_{i}") for i, h in enumerate(hours)],
-        *[F.count(F.when(age <= int(h * 3_600_000_000), F.col("good"))).alias(f"n_{i}") for i, h in enumerate(hours)],
-    )
-    joined = slos.join(sums, "sli", "left")
-    rate, size = F.lit(None).cast("double"), F.lit(None).cast("long")
-    for i, h in enumerate(hours):
-        here = F.col("window_hours") == F.lit(h)
-        rate, size = F.when(here, F.col(f"r_{i}")).otherwise(rate), F.when(here, F.col(f"n_{i}")).otherwise(size)
+    if len(hours) <= FEW:
+        inside = [F.when(age <= int(h * 3_600_000_000), F.col("good")) for h in hours]
+        sums = points.groupBy("sli").agg(
+            *[F.avg(x).alias(f"r_{i}") for i, x in enumerate(inside)], *[F.count(x).alias(f"n_{i}") for i, x in enumerate(inside)]
+        )
+        joined = slos.join(sums, "sli", "left")
+        rate, size = F.lit(None).cast("double"), F.lit(None).cast("long")
+        for i, h in enumerate(hours):
+            here = F.col("window_hours") == F.lit(h)
+            rate, size = F.when(here, F.col(f"r_{i}")).otherwise(rate), F.when(here, F.col(f"n_{i}")).otherwise(size)
+    else:  # a window of its own for nearly every objective: compare row by row
+        matched = points.join(slos.select("slo", "sli", "window_hours"), "sli").where(age <= F.col("window_hours") * 3_600_000_000)
+        sums = matched.groupBy("slo").agg(F.avg("good").alias("r"), F.count("good").alias("k"))
+        joined = slos.join(sums, "slo", "left")
+        rate, size = F.col("r"), F.col("k")
     value = F.coalesce(rate, F.lit(1.0))
     open_budget = 1 - F.col("target")
     left = F.when(

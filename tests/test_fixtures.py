@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.pvalues import f_upper, t_two_sided
-from millrace.operators import anomaly, clean, contracts, kpi, lineage, ml, pages, privacy, profile, sample, segment, series, stats, text
+from millrace.operators import anomaly, clean, contracts, kpi, lineage, logs, ml, pages, privacy, profile, sample, segment, series, stats, text
 from millrace.plans import flow, sql
 
 
@@ -350,3 +350,15 @@ def test_core_analyzer_stops(spark):
     spark.range(3).createOrReplaceTempView("three")
     with pytest.raises(RuntimeError):
         flow.analyze(spark, "three", profile=False, registry=known)
+
+
+def test_many_periods_give_the_same(spark, monkeypatch):
+    now = dt.datetime(2024, 1, 2)
+    points = spark.range(500).select((F.col("id") % 5).alias("sli"), F.timestamp_seconds(1704067200 + F.col("id") * 170).cast("timestamp_ntz").alias("ts"), (F.col("id") % 3 != 0).cast("int").alias("good"))
+    slos = spark.range(6).select(F.concat(F.lit("s"), "id").alias("slo"), F.col("id").alias("sli"), F.lit(0.9).alias("target"), (F.col("id") + 1).alias("window_hours"))
+    log = points.select(F.col("sli").alias("tenant_id"), F.lit("r").alias("resource"), "ts", F.col("good").cast("double").alias("amount"))
+    limits = spark.range(6).select(F.col("id").alias("tenant_id"), F.lit("r").alias("resource"), F.lit(9.0).alias("limit"), (F.col("id") * 3600).alias("period_seconds"))
+    one = lambda: (logs.slo_status(points, slos, now).orderBy("slo").collect(), logs.quota_usage(log, limits, now).orderBy("tenant_id").collect())
+    want = one()
+    monkeypatch.setattr(logs, "FEW", 2)
+    assert one() == want and want[0][5].current_value == 1.0
