@@ -88,8 +88,8 @@ def _(spark, sf):
     "top_k_similar",
     f"""
     WITH n AS (SELECT vec_id, LIST_TRANSFORM(embedding::DOUBLE[], lambda x: x / SQRT({COSINE.format(a="embedding::DOUBLE[]", b="embedding::DOUBLE[]")})) AS u, label FROM embeddings),
-         s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, ROUND({COSINE.format(a="q.u", b="c.u")}, 9) AS score FROM n q, n c),
-         r AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s)
+         s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, {COSINE.format(a="q.u", b="c.u")} AS score FROM n q, n c),
+         r AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY ROUND(score, 12) DESC, id) AS INTEGER) AS rank FROM s)
     SELECT query_id, id, ROUND(score, 6) AS score, rank FROM r WHERE rank <= 5
     """,
 )
