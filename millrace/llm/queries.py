@@ -53,7 +53,7 @@ m AS (SELECT doc_id, LEN(w) AS n_words, LENGTH(REGEXP_REPLACE(t, '[\x20\x09-\x0D
         LEN(LIST_FILTER(w, lambda x: LOWER(x) IN ({_STOPS}))) AS n_stop_words
       FROM w LEFT JOIN k USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR word_chars < 1.5 * n_words OR word_chars > 20 * n_words OR n_symbols > 0.5 * n_words OR n_shouts > 0.5 * n_words
+       NOT (base_failed OR word_chars / n_words < 1.5 OR word_chars / n_words > 20 OR n_symbols / n_words > 0.2 OR n_shouts / n_words > 0.3
             OR n_capitals / word_chars > 0.6 OR (n_words >= 120 AND n_stop_words / n_words < 0.01) OR n_dup_lines / n_lines > 0.5) AS kept
 FROM (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 """

@@ -46,8 +46,8 @@ BASE = (
 )
 TABLE = (
     Rule("word_length", "word_length", low=1.5, high=20, min_words=10),
-    Rule("symbol_ratio", "symbol_ratio", high=0.5, min_words=10),
-    Rule("shout_ratio", "shout_ratio", high=0.5, min_words=10),
+    Rule("symbol_ratio", "symbol_ratio", high=0.2, min_words=10),
+    Rule("shout_ratio", "shout_ratio", high=0.3, min_words=10),
     Rule("capital_ratio", "capital_ratio", high=0.6, min_words=10),
     Rule("stop_ratio", "stop_ratio", low=0.01, min_words=120),
     Rule("dup_line_ratio", "dup_line_ratio", high=0.5, min_words=10),
