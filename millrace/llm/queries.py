@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import rules, sharding
+from millrace.llm import packing, rules, sharding, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,32 @@ def op2_hash_tree(spark, sf):
     return sharding.number(placed)
 
 
+URL_RULES = (
+    urls.Rule("allow", "com", "/"),
+    urls.Rule("block", "example.com", "/en/"),
+    urls.Rule("allow", "www.example.com", "/en/"),
+    urls.Rule("block", "net", "/es/"),
+    urls.Rule("block", "net", "/fr/"),
+)
+
+
+@query
+def op4_redirect_equivalence(spark, sf):
+    """Every page's address, judged by the rules and by what its canonical links and refresh tags connect it to."""
+    pages = table(spark, sf, "pages")
+    judged = urls.judge(pages.select("page_id", "url"), "url", urls.page_edges(pages, "url", "html"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+TOKENIZERS = "/opt/tokenizers"
+
+
+@query
+def op5_best_fit(spark, sf):
+    """All documents in sequences of at most 1024 tokens."""
+    return packing.pack(table(spark, sf, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
 _STOPS = ", ".join(f"'{w}'" for w in rules.STOP_WORDS)
 ORACLES["op7_threshold_table"] = rf"""
 WITH d AS (SELECT ROW_NUMBER() OVER () AS r, doc_id, COALESCE(text, '') AS t FROM documents),
