@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import packing, rules, sharding, urls
+from millrace.functions.freeze import shared_folder
+from millrace.llm import packing, rules, secrets, sharding, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +99,31 @@ def op7_threshold_table(spark, sf):
         F.arrays_overlap(q["failed"], base).alias("base_failed"),
         q["kept"].alias("kept"),
     )
+
+
+ORACLES["op9_capture_index"] = """
+WITH p AS (SELECT page_id, OCTET_LENGTH(ENCODE(COALESCE(html, ''))) AS payload_bytes, SHA1(COALESCE(html, '')) AS payload_digest FROM pages),
+h AS (SELECT *, MAX(page_id) OVER (PARTITION BY payload_digest) AS holder FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < holder THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < holder THEN holder END AS refers_to
+FROM h
+"""
+
+
+@query
+def op9_capture_index(spark, sf):
+    """Write every page into archives, index them, look every page up and read its record's byte range back."""
+    pages, folder = table(spark, sf, "pages"), f"{shared_folder(spark)}/warc-{uuid4().hex}"
+    warc.write(pages, folder)
+    warc.build_index(spark, folder)
+    found = warc.read(warc.lookup(spark, folder, pages), with_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op10_markov(spark, sf):
+    """Secrets of every document: the fixed patterns, and what Markov models trained on the corpus add."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, "text")
+    return found.select("doc_id", *[F.col("secrets")[c].alias(c) for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")])
