@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.freeze import shared_folder
-from millrace.llm import packing, rules, secrets, sharding, urls, warc
+from millrace.llm import neardup, packing, rules, secrets, sharding, suffixes, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,3 +127,16 @@ def op10_markov(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     found = secrets.scan(docs, "text")
     return found.select("doc_id", *[F.col("secrets")[c].alias(c) for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")])
+
+
+@query
+def op8_lsh_forest(spark, sf):
+    """Groups of documents that 3-word shingle sets of a similarity of 0.85 or more connect."""
+    return neardup.near_duplicates(table(spark, sf, "documents"), n=3, percent=85)
+
+
+@query
+def op6_induced_sorting(spark, sf):
+    """What is left of every document without the 400-byte strings that occur twice or more."""
+    done = suffixes.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return done.select("doc_id", *[F.col("repeats")[c].alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
