@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.freeze import shared_folder
-from millrace.llm import neardup, packing, rules, secrets, sharding, suffixes, urls, warc
+from millrace.llm import forest, neardup, packing, pieces, rules, secrets, sharding, suffixes, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+TOKENIZERS = "/opt/tokenizers"
+
+
+@query
+def op1_nbest_pieces(spark, sf):
+    """The four best segmentations of every document, and a checksum of what the best one decodes to."""
+    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    encoded = pieces.encode(table(spark, sf, "documents"), model)
+    return encoded.withColumn("decoded_crc32", F.crc32(pieces.decode(F.col("ids"), model)))
+
+
 SHARDS = 40
 
 
@@ -38,6 +49,13 @@ def op2_hash_tree(spark, sf):
     return sharding.number(placed)
 
 
+@query
+def op3_prefix_forest(spark, sf):
+    """The ten nearest vectors of every hundredth vector."""
+    vectors = table(spark, sf, "embeddings")
+    return forest.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 URL_RULES = (
     urls.Rule("allow", "com", "/"),
     urls.Rule("block", "example.com", "/en/"),
@@ -55,9 +73,6 @@ def op4_redirect_equivalence(spark, sf):
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-TOKENIZERS = "/opt/tokenizers"
-
-
 @query
 def op5_best_fit(spark, sf):
     """All documents in sequences of at most 1024 tokens."""
