@@ -4,7 +4,7 @@ Every node keeps the smallest node it has heard of. A round takes the smallest l
 neighbours and then the label of that label, so distances shrink by half or better; the rounds end when
 no label changes. Labels are checkpointed in every round. All joins read checkpointed tables directly, so
 that a hub (a node with a third of all edges) is a skewed partition that Spark can split, and minima are
-combined before they are shuffled. Only whether labels changed reaches the driver.
+combined before they are shuffled. No table here has a bound, so the joins ask not to be broadcast. Only whether labels changed reaches the driver.
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     both = freeze(ends.union(ends.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
     labels = freeze(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label")))
     while True:
-        told = both.join(labels.select(F.col("node").alias("other"), "label"), "other")
+        told = both.join(labels.select(F.col("node").alias("other"), "label").hint("merge"), "other")
         heard = told.groupBy("node").agg(F.min("label").alias("heard"))
-        hooked = freeze(labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label")))
+        hooked = freeze(labels.join(heard.hint("merge"), "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label")))
         onward = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = freeze(hooked.join(onward, "label").select("node", "old", F.least("label", "next").alias("label")))
+        jumped = freeze(hooked.join(onward.hint("merge"), "label").select("node", "old", F.least("label", "next").alias("label")))
         labels = jumped.select("node", "label")
         if jumped.where("label <> old").isEmpty():
             return labels.select("node", F.col("label").alias("component"))

@@ -13,6 +13,8 @@
    first alone, then one class of each linked group against the others, then block against block where the
    blocks still hold classes not linked to each other. So the rest is exact as well.
 
+No table on the way has a bound but by the corpus, so all joins ask not to be broadcast.
+
 Two texts of a similarity s share no region with the chance (1 - s^depth)^trees: 2e-8 at 0.85.
 
 A word is a run of anything but ASCII white space, with A-Z lower-cased. With fewer words than a shingle the
@@ -201,7 +203,7 @@ def _confirm_large(members: DataFrame, n: int, percent: int, limit: int) -> Data
     shares = F.ceil(2 * F.col("total") / F.lit(limit)).cast("int")
     regions = members.groupBy("component", "deep").agg(F.sum("size").alias("held"))
     split = F.when(F.col("held") > limit // 2, F.pmod(F.xxhash64("class"), F.ceil(2 * F.col("held") / F.lit(limit)).cast("long"))).otherwise(0)
-    placed = members.join(regions, ["component", "deep"]).withColumn(
+    placed = members.join(regions.hint("merge"), ["component", "deep"]).withColumn(
         "block", F.when(F.col("held") > limit // 2, F.xxhash64("deep", split)).otherwise(F.pmod(F.xxhash64("deep"), shares.cast("long")))
     )
     placed = freeze(placed.select("component", "total", "block", "class", "text"))
@@ -210,7 +212,7 @@ def _confirm_large(members: DataFrame, n: int, percent: int, limit: int) -> Data
 
     def labelled(links: DataFrame) -> DataFrame:
         found = components(links, "a", "b").select(F.col("node").alias("class"), F.col("component").alias("label"))
-        return freeze(placed.join(found, "class", "left").withColumn("label", F.coalesce("label", "class")))
+        return freeze(placed.join(found.hint("merge"), "class", "left").withColumn("label", F.coalesce("label", "class")))
 
     told = labelled(inside)
     first = told.where(F.col("class") == F.col("label")).withColumn("known", F.xxhash64("class"))
@@ -221,9 +223,9 @@ def _confirm_large(members: DataFrame, n: int, percent: int, limit: int) -> Data
     told = labelled(links).withColumn("known", F.xxhash64("label"))
     blocks = freeze(told.groupBy("component", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")))
     other = blocks.select("component", F.col("block").alias("block2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = blocks.join(other, "component").where("block < block2 AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)")
+    pairs = blocks.join(other.hint("merge"), "component").where("block < block2 AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)")
     pairs = pairs.select("component", F.xxhash64("component", "block", "block2").alias("g"), F.explode(F.array("block", "block2")).alias("block"))
-    across = _confirm_groups(told.join(pairs, ["component", "block"]), "g", n, percent)
+    across = _confirm_groups(told.join(pairs.hint("merge"), ["component", "block"]), "g", n, percent)
     return links.union(freeze(across))
 
 
@@ -242,23 +244,23 @@ def near_duplicates(
     )
     places = classes.select("class", F.explode("bases").alias("base"))
     regions = places.groupBy("base").agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("base", "first")
-    near = places.join(freeze(regions), "base").where("class <> first").select("class", "first").distinct()
+    near = places.join(freeze(regions).hint("merge"), "base").where("class <> first").select("class", "first").distinct()
     candidate = components(near, "class", "first").select(F.col("node").alias("class"), "component")
-    member = freeze(candidate.join(classes.select("class", "text_key", "size", "deep"), "class"))
+    member = freeze(candidate.join(classes.select("class", "text_key", "size", "deep").hint("merge"), "class"))
     totals = freeze(member.groupBy("component").agg(F.sum("size").alias("total")))
-    member = freeze(member.join(totals, "component"))
+    member = freeze(member.join(totals.hint("merge"), "component"))
     texts = docs.select(F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("text_key"), F.col(text).alias("text"))
-    texts = texts.join(member.select("text_key"), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
-    sets = freeze(member.join(texts, "text_key").select("component", "total", "class", "size", "deep", "text"))
+    texts = texts.join(member.select("text_key").hint("merge"), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+    sets = freeze(member.join(texts.hint("merge"), "text_key").select("component", "total", "class", "size", "deep", "text"))
     small = sets.where(F.col("total") <= limit).withColumn("known", F.xxhash64("class"))
     links = freeze(_confirm_groups(small, "component", n, percent))
     large = sets.where(F.col("total") > limit)
     if not large.isEmpty():
         links = links.union(_confirm_large(large, n, percent, limit))
     joined = components(links, "a", "b").select(F.col("node").alias("class"), "component")
-    known = joined.join(classes.select("class", "doc_id"), "class")
+    known = joined.join(classes.select("class", "doc_id").hint("merge"), "class")
     least = freeze(known.groupBy("component").agg(F.min("doc_id").alias("least")))
-    named = classes.select("class", "doc_id").join(joined.join(least, "component").select("class", "least"), "class", "left")
+    named = classes.select("class", "doc_id").join(joined.join(least.hint("merge"), "component").select("class", "least").hint("merge"), "class", "left")
     named = freeze(named.select("class", F.coalesce("least", "doc_id").alias("least")))
-    out = found.join(named, "class", "left").withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")))
+    out = found.join(named.hint("merge"), "class", "left").withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     return out.select(F.col("doc_id").alias(key), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

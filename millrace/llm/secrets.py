@@ -4,8 +4,8 @@ Two models of order one are trained on labelled samples of the corpus itself: ch
 (what the patterns capture) and characters of ordinary words. A candidate (a long run of token characters)
 is a secret if the mean log-likelihood ratio per character passes a threshold. Training counts character
 pairs over all documents, per batch and then in one sum, so the table that reaches the driver has at most
-(characters + 1) squared rows per label, whatever the corpus; both models are smoothed by adding one, so an
-empty corpus gives uniform models, which name nothing.
+(characters + 1) squared rows per label, whatever the corpus; both models fall back on single
+characters and these on adding one, so an empty corpus gives uniform models, which name nothing.
 
 Positions are code points, ends exclusive. Null texts count as empty. Very long texts are scanned whole.
 Repeated rows are scanned alike. Matches of one kind do not overlap; kinds may.
@@ -31,9 +31,10 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+_PART = re.compile("[A-Za-z0-9]+")
 _START = ""
-CANDIDATE_LENGTH, THRESHOLD = 20, 1.0
+CANDIDATE_LENGTH, THRESHOLD, BACKOFF = 20, 1.0, 10.0
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{CANDIDATE_LENGTH},}}")
 _WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{6,}")
 
@@ -46,11 +47,17 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def parts_of(token: str) -> list[str]:
+    """Stretches of letters and digits between separators, but for numbers."""
+    return [p for p in _PART.findall(token) if not p.isdigit()]
+
+
 def _pairs(token: str) -> Iterator[tuple[str, str]]:
-    before = _START
-    for c in token:
-        yield before, c
-        before = c
+    for part in parts_of(token):
+        before = _START
+        for c in part:
+            yield before, c
+            before = c
 
 
 def pair_counts(docs: DataFrame, text: str) -> DataFrame:
@@ -76,8 +83,7 @@ def pair_counts(docs: DataFrame, text: str) -> DataFrame:
             for (label, word), n in words.items():
                 if label or not any(c.isdigit() for c in word):
                     for a, b in _pairs(word):
-                        if b in _KNOWN:
-                            counts[label, a if a in _KNOWN else _START, b] += n
+                        counts[label, a, b] += n
             if counts:
                 yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["label", "before", "after", "n"])
 
@@ -85,9 +91,6 @@ def pair_counts(docs: DataFrame, text: str) -> DataFrame:
     return counted.groupBy("label", "before", "after").agg(F.sum("n").alias("n"))
 
 
-_KNOWN = frozenset(ALPHABET)
-
-
 def _secret(text: str, span: tuple[int, int, str]) -> str:
     """The random part of a captured span."""
     got = text[span[0] : span[1]]
@@ -97,34 +100,47 @@ def _secret(text: str, span: tuple[int, int, str]) -> str:
 Model = dict[tuple[str, str], float]
 
 
+def _chance(pairs: Counter, before: str, after: str, alone: Counter, total: int, from_before: Counter) -> float:
+    """A pair's chance, drawn towards that of its second character, which is smoothed by adding one."""
+    single = (alone[after] + 1) / (total + len(ALPHABET))
+    return (pairs[before, after] + BACKOFF * single) / (from_before[before] + BACKOFF)
+
+
 def train(docs: DataFrame, text: str) -> Model:
-    """Log-likelihood ratio of every character pair: random against ordinary."""
-    counts = {0: Counter(), 1: Counter()}
+    """Log-likelihood ratio of every character pair: random against ordinary.
+
+    Half of the random model is uniform, for what the patterns capture is often of one kind only."""
+    pairs = {0: Counter(), 1: Counter()}
     for row in pair_counts(docs, text).collect():  # at most 2 * (len(ALPHABET) + 1) * len(ALPHABET) rows
-        counts[row.label][row.before, row.after] = row.n
+        pairs[row.label][row.before, row.after] = row.n
+    alone, heads = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}
+    for label, counted in pairs.items():
+        for (before, after), n in counted.items():
+            alone[label][after] += n
+            heads[label][before] += n
     model = {}
     for before in (_START, *ALPHABET):
-        sums = {label: sum(counts[label][before, c] for c in ALPHABET) for label in counts}
         for after in ALPHABET:
-            p = {label: (counts[label][before, after] + 1) / (sums[label] + len(ALPHABET)) for label in counts}
-            model[before, after] = math.log(p[1] / p[0])
+            p = {x: _chance(pairs[x], before, after, alone[x], sum(alone[x].values()), heads[x]) for x in pairs}
+            model[before, after] = math.log((p[1] + 1 / len(ALPHABET)) / 2 / p[0])
     return model
 
 
 def score(token: str, model: Model) -> float:
-    """Mean log-likelihood ratio per character."""
-    return sum(model.get(p, 0.0) for p in _pairs(token)) / max(len(token), 1)
+    """Mean log-likelihood ratio per character of the token's parts."""
+    ratios = [model[p] for p in _pairs(token)]
+    return sum(ratios) / max(len(ratios), 1)
 
 
 def learned_spans(text: str, taken: list[tuple[int, int, str]], model: Model, threshold: float) -> list[tuple[int, int, str]]:
-    """Candidates outside the given spans that look more random than ordinary. A candidate needs a digit and
-    a letter: runs of digits are numbers, runs of letters are words."""
+    """Candidates outside the given spans that look more random than ordinary. A candidate needs a
+    part with both a digit and a letter: numbers and words, joined or not, are no secrets."""
     found = []
     for m in _CANDIDATE.finditer(text):
         token = m.group()
         if any(a < m.end() and m.start() < b for a, b, _ in taken):
             continue
-        if any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and score(token, model) > threshold:
+        if any(not p.isalpha() for p in parts_of(token)) and score(token, model) > threshold:
             found.append((m.start(), m.end(), LEARNED))
     return found
 
