@@ -233,7 +233,7 @@ def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, trees: int = TREES, depth: int = DEPTH, limit: int = TASK_SHINGLES
 ) -> DataFrame:
     """One row per row of ``docs``: ``key``, ``n_shingles``, ``component_id`` (the smallest key that links of
-    100 * intersection >= ``percent`` * union of ``n``-word shingle sets can reach) and ``kept`` (the row holds it).
+    100 * intersection >= ``percent`` * union of ``n``-word shingle sets can reach), ``kept`` (the row holds it) and ``text_md5``.
 
     Rows that repeat key and text are all kept or all not. A null key is larger than any other."""
     found = freeze(features(docs, key, text, n, trees, depth))
@@ -263,4 +263,13 @@ def near_duplicates(
     named = classes.select("class", "doc_id").join(joined.join(least.hint("merge"), "component").select("class", "least").hint("merge"), "class", "left")
     named = freeze(named.select("class", F.coalesce("least", "doc_id").alias("least")))
     out = found.join(named.hint("merge"), "class", "left").withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")))
-    return out.select(F.col("doc_id").alias(key), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return out.select(F.col("doc_id").alias(key), "n_shingles", "component_id", kept, F.lower(F.hex("text_key")).alias("text_md5"))
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that hold their component's smallest key, repeated rows once."""
+    row = lambda of, digest: F.concat_ws(" ", F.coalesce(F.col(of).cast("string"), F.lit("null")), digest).alias("_row")
+    kept = near_duplicates(docs, key, text, **options).where("kept").select(row(key, F.col("text_md5")))
+    named = docs.withColumn("_row", row(key, F.md5(F.coalesce(text, F.lit("")))))
+    return named.join(kept.hint("merge"), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")

@@ -147,7 +147,7 @@ def op10_markov(spark, sf):
 @query
 def op8_lsh_forest(spark, sf):
     """Groups of documents that 3-word shingle sets of a similarity of 0.85 or more connect."""
-    return neardup.near_duplicates(table(spark, sf, "documents"), n=3, percent=85)
+    return neardup.near_duplicates(table(spark, sf, "documents"), n=3, percent=85).drop("text_md5")
 
 
 @query

@@ -342,7 +342,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, out:
                 rows.append((key, len(raw), len(raw) - len(left), len(merged), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None))
             yield pd.DataFrame(rows, columns=["text_key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    done = freeze(texts.join(spans, "text_key", "left").select("text_key", "text", "copies", "spans").mapInPandas(cut, CUT))
+    done = texts.join(spans, "text_key", "left").select("text_key", "text", "copies", "spans").mapInPandas(cut, CUT)
     fields = F.struct("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept").alias(out)
     named = done.select(F.col("text_key").alias("_text_key"), fields)
     keyed = docs.withColumn("_text_key", F.md5(F.coalesce(F.col(text), F.lit(""))))
