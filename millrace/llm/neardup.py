@@ -194,7 +194,9 @@ def _confirm_groups(rows: DataFrame, group: str, n: int, percent: int) -> DataFr
         if len(sets) > 1:
             yield done()
 
-    laid = rows.select(group, "class", "known", "text").repartition(group).sortWithinPartitions(group, "class")
+    # By a hash of the key: a plain repartition after a join on the same key is optimized away, and the join may
+    # then be turned into one that leaves the rows where they are.
+    laid = rows.select(group, "class", "known", "text").repartition(F.xxhash64(group)).sortWithinPartitions(group, "class")
     return laid.mapInPandas(run, "a binary, b binary")
 
 

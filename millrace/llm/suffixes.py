@@ -9,11 +9,13 @@ another, is removed; all occurrences go.
    equal grams at equal places, so windows are dealt by the gram they pick: a run of windows that pick the same
    occurrence is one segment. Only grams that occur twice matter. Equal segments count as one class; a class
    met twice is repeated as a whole.
-3. The distinct segments of a gram go to one shard. A shard's array is induced: suffixes are classified,
+3. Equal windows also share, at the same distance from the gram, one of a few cores, strings a little shorter than
+   a window. Segments none of whose cores another has hold no repeated window and go no further.
+4. The distinct segments of a gram that are left go to one shard. A shard's array is induced: suffixes are classified,
    leftmost-smaller substrings are sorted by induction and named, recursively until the names differ, and the
    array is induced from their order, in linear time. Permuted common prefixes along text order then give the
    windows that a neighbour in the array shares.
-4. A gram whose distinct segments are too large for one shard is taken apart further: its windows are counted one
+5. A gram whose distinct segments are too large for one shard is taken apart further: its windows are counted one
    by one by a 128-bit hash, with partial sums, so a hot gram is no one task's work.
 
 Null texts count as empty; texts shorter than ``width`` lose nothing. Matches never cross documents.
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.freeze import freeze, shared_folder
 
-WIDTH, GRAM = 400, 64
+WIDTH, GRAM, CORES = 400, 64, 8
 #: Bytes of one shard's array, and of a gram's segments beyond which its windows are counted one by one.
 SHARD_BYTES, GRAM_BYTES = 1_000_000, 2_000_000
 
@@ -83,14 +85,14 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def runs_of(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs_of(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, ...]:
     """Runs of windows that pick the same occurrence of a gram: number of the text, first window's place in
-    it and in the joined bytes, number of windows, hash of the gram."""
+    it and in the joined bytes, number of windows, hash of the gram, its distance from the first window."""
     sizes = np.array([len(t) for t in texts])
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < width:
-        return (np.empty(0, np.int64),) * 5
+        return (np.empty(0, np.int64),) * 6
     hashes = gram_hashes(data, gram)
     keyed = (hashes & ~_LOW) | np.arange(len(hashes), dtype=np.uint64)
     picked = (sliding_min(keyed, width - gram + 1) & _LOW).astype(np.int64)
@@ -104,7 +106,15 @@ def runs_of(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, np.n
     count = np.diff(np.append(first, len(at)))
     start = at[first]
     owner = np.searchsorted(ends, start, side="right")
-    return owner, start - (ends - sizes)[owner], start, count, hashes[gram_at[first]].view(np.int64)
+    return owner, start - (ends - sizes)[owner], start, count, hashes[gram_at[first]].view(np.int64), gram_at[first] - start
+
+
+def core_places(width: int, gram: int, cores: int) -> list[tuple[int, int]]:
+    """(bytes before, bytes after) the gram of every core. Two equal windows agree on l bytes before and r after
+    their gram, l + r = width - gram at least; each value of l lies in one step of the cores."""
+    around = width - gram
+    step = max(1, -(-around // cores))
+    return [(before, max(0, around - before - step + 1)) for before in range(0, around + 1, step)]
 
 
 def suffix_array(s: list[int], symbols: int) -> list[int]:
@@ -217,6 +227,27 @@ def ranges(mask: np.ndarray) -> list[tuple[int, int]]:
 RANGES = "seg binary, ranges array<struct<lo:int,hi:int>>"
 
 
+def _with_partners(found: DataFrame, width: int, gram: int, cores: int) -> DataFrame:
+    """The segments that share a core with another one."""
+    places = core_places(width, gram, cores)
+
+    def keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for seg, at, raw in zip(frame["seg"], frame["pick"], frame["bytes"], strict=True):
+                for i, (before, after) in enumerate(places):
+                    a, b = at - before, at + gram + after
+                    if a >= 0 and b <= len(raw):
+                        out.append((seg, hashlib.blake2b(raw[a:b], digest_size=16, salt=i.to_bytes(2, "big")).digest()))
+            if out:
+                yield pd.DataFrame(out, columns=["seg", "core"])
+
+    made = freeze(found.select("seg", "pick", "bytes").mapInPandas(keys, "seg binary, core binary"))
+    shared = made.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+    having = made.join(shared, "core", "left_semi").select("seg").distinct()
+    return found.join(having, "seg", "left_semi")
+
+
 def _shards(rows: DataFrame, width: int, shard_bytes: int) -> DataFrame:
     """(seg, ranges) out of (gram, seg, bytes): a shard is a stretch of a partition sorted by gram."""
 
@@ -240,7 +271,10 @@ def _shards(rows: DataFrame, width: int, shard_bytes: int) -> DataFrame:
         if held:
             yield done()
 
-    return rows.select("gram", "seg", "bytes").repartition("gram").sortWithinPartitions("gram").mapInPandas(run, RANGES)
+    # By a hash of the key: a plain repartition after a join on the same key is optimized away, and the join may
+    # then be turned into one that leaves the rows where they are.
+    laid = rows.select("gram", "seg", "bytes").repartition(F.xxhash64("gram")).sortWithinPartitions("gram")
+    return laid.mapInPandas(run, RANGES)
 
 
 def _counted(rows: DataFrame, width: int) -> DataFrame:
@@ -258,7 +292,7 @@ def _counted(rows: DataFrame, width: int) -> DataFrame:
     return hits.select("seg", F.transform("ats", lambda i: F.struct(i.alias("lo"), i.alias("hi"))).alias("ranges"))
 
 
-def repeats(docs: DataFrame, text: str, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, gram_bytes: int = GRAM_BYTES) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, text: str, width: int = WIDTH, gram: int = GRAM, cores: int = CORES, shard_bytes: int = SHARD_BYTES, gram_bytes: int = GRAM_BYTES) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): one row per distinct text (text_key, text, copies), and per text with repeats the sorted
     byte ranges (text_key, spans) whose windows also start elsewhere."""
     spark = docs.sparkSession
@@ -279,26 +313,29 @@ def repeats(docs: DataFrame, text: str, width: int = WIDTH, gram: int = GRAM, sh
                     raw.append(frame["text"].iat[until].encode("utf-8", "surrogatepass"))
                     size += len(raw[-1])
                     until += 1
-                owner, place, start, count, hashes = runs_of(raw, width, gram)
+                owner, place, start, count, hashes, picks = runs_of(raw, width, gram)
                 data = b"".join(raw)
                 segs = [hashlib.blake2b(data[s : s + c + width - 1], digest_size=16).digest() for s, c in zip(start.tolist(), count.tolist(), strict=True)]
                 rows = frame.iloc[at:until].iloc[owner]
                 if len(rows):
-                    yield pd.DataFrame({"text_key": rows["text_key"].to_numpy(), "copies": rows["copies"].to_numpy(), "at": place, "n": count, "gram": hashes, "seg": segs})
+                    yield pd.DataFrame({"text_key": rows["text_key"].to_numpy(), "copies": rows["copies"].to_numpy(), "at": place, "n": count, "gram": hashes, "pick": picks, "seg": segs})
                 at = until
 
     long_ones = texts.where(F.octet_length("text") >= width)
-    runs = long_ones.select("text_key", "text", "copies").mapInPandas(run, "text_key string, copies long, at long, n int, gram long, seg binary")
+    runs = long_ones.select("text_key", "text", "copies").mapInPandas(run, "text_key string, copies long, at long, n int, gram long, pick int, seg binary")
     # The runs are cheap to find and many: they are found twice rather than stored.
     twice = freeze(runs.groupBy("gram").agg(F.sum("copies").alias("met")).where("met > 1").select("gram"))
     met = freeze(runs.join(twice, "gram"))
     classes = freeze(
-        met.groupBy("gram", "seg").agg(F.sum("copies").alias("met"), F.min(F.struct("text_key", "at")).alias("first"), F.min("n").alias("n"))
+        met.groupBy("gram", "seg").agg(F.sum("copies").alias("met"), F.min(F.struct("text_key", "at")).alias("first"), F.min("n").alias("n"), F.min("pick").alias("pick"))
     )
-    grams = freeze(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") + (width - 1)).alias("held")).where("kinds > 1"))
-    wanted = classes.join(grams, "gram").select("gram", "held", "seg", "n", "first.text_key", "first.at")
+    grams = freeze(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
+    wanted = classes.join(grams, "gram").select("gram", "seg", "n", "pick", "first.text_key", "first.at")
     raw = F.substring(F.col("text").cast("binary"), (F.col("at") + 1).cast("int"), F.col("n") + (width - 1))
-    found = freeze(texts.select("text_key", "text").join(wanted, "text_key").select("gram", "held", "seg", raw.alias("bytes")))
+    found = freeze(texts.select("text_key", "text").join(wanted, "text_key").select("gram", "seg", "pick", raw.alias("bytes")))
+    left = freeze(_with_partners(found, width, gram, cores))
+    sizes = left.groupBy("gram").agg(F.sum(F.length("bytes")).alias("held"))
+    found = left.join(sizes.hint("merge"), "gram")
     shared = _shards(found.where(F.col("held") <= gram_bytes), width, shard_bytes)
     hot = found.where(F.col("held") > gram_bytes)
     if not hot.isEmpty():

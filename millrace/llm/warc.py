@@ -225,4 +225,4 @@ def read(hits: DataFrame, with_payload: bool = True) -> DataFrame:
                 yield out.assign(page_id=_longs([r[0] for r in rows]), refers_to=_longs([r[2] for r in rows]))
 
     # A file holds a bounded number of records, so the file may decide the task.
-    return hits.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset").mapInPandas(records, RECORD)
+    return hits.select("file", "offset", "length").repartition(F.xxhash64("file")).sortWithinPartitions("file", "offset").mapInPandas(records, RECORD)

@@ -41,16 +41,16 @@ def test_every_window_is_in_one_run_and_equal_windows_pick_equal_grams():
     draw = random.Random(6)
     texts = [bytes(draw.choices(b"ab", k=draw.randrange(80))) for _ in range(40)]
     width, gram = 20, 7
-    owner, place, start, count, hashes = suffixes.runs_of(texts, width, gram)
+    owner, place, start, count, hashes, picks = suffixes.runs_of(texts, width, gram)
     seen, picked = set(), {}
     joined = b"".join(texts)
-    for o, p, s, c, h in zip(owner, place, start, count, hashes, strict=True):
+    for o, p, s, c, h, g in zip(owner, place, start, count, hashes, picks, strict=True):
         for k in range(c):
             window = texts[o][p + k : p + k + width]
             assert len(window) == width and joined[s + k : s + k + width] == window
             assert (o, p + k) not in seen
             seen.add((o, p + k))
-            assert picked.setdefault(window, h) == h
+            assert picked.setdefault(window, (h, g - k)) == (h, g - k)
     assert len(seen) == sum(max(0, len(t) - width + 1) for t in texts)
 
 
@@ -66,11 +66,11 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_bytes": 300}, {"gram_bytes": 100}])
+@pytest.mark.parametrize("options", [{}, {"shard_bytes": 300}, {"gram_bytes": 100}, {"cores": 1}, {"cores": 40, "gram": 20}])
 def test_matches_brute_force(spark, options):
     texts = corpus(9)
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], SCHEMA)
-    done = suffixes.remove_repeats(df, width=25, gram=8, with_text=True, **options)
+    done = suffixes.remove_repeats(df, **{"width": 25, "gram": 8, "with_text": True, **options})
     assert done.columns == [*df.columns, "repeats"]
     got = {r.doc_id: r.repeats for r in done.collect()}
     want = brute(texts, 25)
