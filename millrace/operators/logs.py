@@ -20,17 +20,18 @@ def audit_query(
     filters: Mapping[str, object] | None = None,
     start: dt.datetime | None = None,
     end: dt.datetime | None = None,
-    limit: int = 100,
+    limit: int | None = None,
     tie: Sequence[str] = (),
 ) -> DataFrame:
-    """Newest rows that fit the filters, within an inclusive time range."""
+    """All rows that fit the filters within an inclusive time range, newest first, or the first ``limit``."""
     for column, value in (filters or {}).items():
         log = log.where(F.col(column) == F.lit(value))
     if start is not None:
         log = log.where(F.col(ts) >= F.lit(start).cast("timestamp_ntz"))
     if end is not None:
         log = log.where(F.col(ts) <= F.lit(end).cast("timestamp_ntz"))
-    return log.orderBy(F.desc(ts), *tie).limit(limit)
+    found = log.orderBy(F.desc(ts), *tie)
+    return found if limit is None else found.limit(limit)
 
 
 def audit_stats(log: DataFrame, ts: str, user: str, resource: str) -> DataFrame:
@@ -88,22 +89,40 @@ def cost_by_tenant(
     )
 
 
-FEW = 100  # distinct periods or windows that become columns of one aggregation
-
 # --- quotas ----------------------------------------------------------------------------------------
 
-# Limits by tier as (limit, period in seconds). A period of 0 counts the last 300 s.
+# Tier, resource, limit and period in seconds. A period of 0 counts the last 300 s.
 DAY = 86_400
-_TIER_LIMITS = {
-    "jobs_per_day": ((10, 100, 1_000, 10_000), DAY),
-    "jobs_concurrent": ((2, 10, 50, 200), 0),
-    "artifact_size_mb": ((50, 200, 1_000, 5_000), DAY),
-    "total_storage_mb": ((500, 5_000, 50_000, 500_000), DAY),
-    "api_calls_per_minute": ((60, 300, 1_000, 5_000), 60),
-    "cpu_seconds_per_day": ((3_600, 14_400, 86_400, 864_000), DAY),
-    "workflows_per_day": ((5, 50, 500, 5_000), DAY),
-}
-TIERS = ("free", "starter", "professional", "enterprise")
+TIER_LIMITS = (
+    ("free", "jobs_per_day", 10, DAY),
+    ("free", "jobs_concurrent", 2, 0),
+    ("free", "artifact_size_mb", 50, DAY),
+    ("free", "total_storage_mb", 500, DAY),
+    ("free", "api_calls_per_minute", 60, 60),
+    ("free", "cpu_seconds_per_day", 3_600, DAY),
+    ("free", "workflows_per_day", 5, DAY),
+    ("starter", "jobs_per_day", 100, DAY),
+    ("starter", "jobs_concurrent", 10, 0),
+    ("starter", "artifact_size_mb", 200, DAY),
+    ("starter", "total_storage_mb", 5_000, DAY),
+    ("starter", "api_calls_per_minute", 300, 60),
+    ("starter", "cpu_seconds_per_day", 14_400, DAY),
+    ("starter", "workflows_per_day", 50, DAY),
+    ("professional", "jobs_per_day", 1_000, DAY),
+    ("professional", "jobs_concurrent", 50, 0),
+    ("professional", "artifact_size_mb", 1_000, DAY),
+    ("professional", "total_storage_mb", 50_000, DAY),
+    ("professional", "api_calls_per_minute", 1_000, 60),
+    ("professional", "cpu_seconds_per_day", 86_400, DAY),
+    ("professional", "workflows_per_day", 500, DAY),
+    ("enterprise", "jobs_per_day", 10_000, DAY),
+    ("enterprise", "jobs_concurrent", 200, 0),
+    ("enterprise", "artifact_size_mb", 5_000, DAY),
+    ("enterprise", "total_storage_mb", 500_000, DAY),
+    ("enterprise", "api_calls_per_minute", 5_000, 60),
+    ("enterprise", "cpu_seconds_per_day", 864_000, DAY),
+    ("enterprise", "workflows_per_day", 5_000, DAY),
+)
 CONCURRENT_SECONDS = 300
 # Daily jobs, artifact GB, sources, concurrent jobs per tier.
 PLAN_LIMITS = {
@@ -116,40 +135,38 @@ PLAN_LIMITS = {
 
 def tier_limits(spark: SparkSession) -> DataFrame:
     """(tier, resource, limit, period_seconds); the tier ``unlimited`` has no rows."""
-    rows = [
-        (tier, resource, float(values[i]), period)
-        for resource, (values, period) in _TIER_LIMITS.items()
-        for i, tier in enumerate(TIERS)
-    ]
+    rows = [(tier, resource, float(limit), period) for tier, resource, limit, period in TIER_LIMITS]
     return spark.createDataFrame(rows, "tier string, resource string, limit double, period_seconds long")
 
 
+def _within(log: DataFrame, limits: DataFrame, by: Sequence[str], seconds: Column, now: Column, sums: dict[str, Column]) -> DataFrame:
+    """``limits`` with sums over the ``log`` rows of the same ``by`` columns from ``seconds`` before ``now`` up to it.
+
+    The distinct periods cut time into steps; the log is summed per key and step first, so a busy key joins as
+    no more rows than there are periods. Rows later than ``now`` are not part of any period."""
+    by, micros = list(by), (seconds * 1_000_000).cast("long")
+    steps = limits.select(F.sort_array(F.collect_set(micros))).scalar()
+    age = F.timestamp_diff("MICROSECOND", F.col("ts"), now)
+    framed = log.withColumns({"_age": age, "_steps": steps}).where("_age >= 0")
+    stepped = framed.withColumn("_step", F.size(F.filter("_steps", lambda s: s < F.col("_age"))))
+    counted = stepped.groupBy(*by, "_step").agg(*[c.alias(name) for name, c in sums.items()])
+    numbered = limits.withColumn("_last", F.array_position(steps, micros) - 1)
+    keys = [F.col(c).alias(f"_{c}") for c in by]
+    joined = numbered.join(counted.select(*keys, "_step", *sums), [F.col(c) == F.col(f"_{c}") for c in by] + [F.col("_step") <= F.col("_last")], "left")
+    return joined.groupBy(*limits.columns).agg(*[F.sum(name).alias(name) for name in sums])
+
+
 def quota_usage(
     log: DataFrame, limits: DataFrame, as_of: dt.datetime, requested: float = 1.0, by: Sequence[str] = ("tenant_id", "resource")
 ) -> DataFrame:
     """Usage in the trailing period per (tenant, resource) that has a limit, and whether a request fits.
 
     ``log`` has the ``by`` columns, ts and amount; ``limits`` has the ``by`` columns, limit and
-    period_seconds."""
+    period_seconds. Rows after ``as_of`` do not count."""
     by = list(by)
-    now = F.lit(as_of).cast("timestamp_ntz")
     period = F.when(F.col("period_seconds") == 0, CONCURRENT_SECONDS).otherwise(F.col("period_seconds"))
-    age = F.timestamp_diff("MICROSECOND", F.col("ts"), now)
-    # Usage by age is summed per period before the join, so a busy tenant joins as a few rows.
-    periods = [r[0] for r in limits.select(period.alias("p")).distinct().limit(FEW + 1).collect()]
-    if len(periods) <= FEW:
-        sums = log.groupBy(*by).agg(
-            *[F.sum(F.when(age <= p * 1_000_000, F.col("amount"))).alias(f"u_{p}") for p in periods]
-        )
-        joined = limits.join(sums, by, "left").withColumn("_p", period)
-        usage = F.lit(None).cast("double")
-        for p in periods:
-            usage = F.when(F.col("_p") == p, F.col(f"u_{p}")).otherwise(usage)
-    else:  # a period of its own for nearly every limit: compare row by row
-        matched = log.join(limits.select(*by, period.alias("_p")), by).where(age <= F.col("_p") * 1_000_000)
-        joined = limits.join(matched.groupBy(*by).agg(F.sum("amount").alias("_u")), by, "left")
-        usage = F.col("_u")
-    used = F.coalesce(usage, F.lit(0.0))
+    joined = _within(log, limits, by, period, F.lit(as_of).cast("timestamp_ntz"), {"_used": F.sum("amount")})
+    used = F.coalesce("_used", F.lit(0.0))
     return joined.select(
         *by,
         used.alias("current_usage"),
@@ -160,6 +177,13 @@ def quota_usage(
     )
 
 
+def tier_usage(log: DataFrame, tenants: DataFrame, as_of: dt.datetime, requested: float = 1.0) -> DataFrame:
+    """Usage of every tenant (tenant_id, tier) against the limits of its tier. A tier without limits has no rows:
+    whatever it asks for is allowed."""
+    limits = tenants.join(F.broadcast(tier_limits(log.sparkSession)), "tier")
+    return quota_usage(log, limits, as_of, requested, ("tenant_id", "resource"))
+
+
 def plan_status(usage: DataFrame) -> DataFrame:
     """Limits of the plan next to usage (tenant_id, tier, jobs_today, artifacts_bytes, sources, running)."""
     limits = usage.sparkSession.createDataFrame(
@@ -188,25 +212,13 @@ def plan_status(usage: DataFrame) -> DataFrame:
 def slo_status(points: DataFrame, slos: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Rate, compliance and error budget of each objective.
 
-    ``points`` has sli, ts and good (0 or 1); ``slos`` has slo, sli, target and window_hours."""
+    ``points`` has sli, ts and good (0 or 1); ``slos`` has slo, sli, target and window_hours. Points after
+    ``as_of`` do not count."""
     now = F.lit(as_of).cast("timestamp_ntz")
-    hours = [r[0] for r in slos.select("window_hours").distinct().limit(FEW + 1).collect()]
-    age = F.timestamp_diff("MICROSECOND", F.col("ts"), now)
-    if len(hours) <= FEW:
-        inside = [F.when(age <= int(h * 3_600_000_000), F.col("good")) for h in hours]
-        sums = points.groupBy("sli").agg(
-            *[F.avg(x).alias(f"r_{i}") for i, x in enumerate(inside)], *[F.count(x).alias(f"n_{i}") for i, x in enumerate(inside)]
-        )
-        joined = slos.join(sums, "sli", "left")
-        rate, size = F.lit(None).cast("double"), F.lit(None).cast("long")
-        for i, h in enumerate(hours):
-            here = F.col("window_hours") == F.lit(h)
-            rate, size = F.when(here, F.col(f"r_{i}")).otherwise(rate), F.when(here, F.col(f"n_{i}")).otherwise(size)
-    else:  # a window of its own for nearly every objective: compare row by row
-        matched = points.join(slos.select("slo", "sli", "window_hours"), "sli").where(age <= F.col("window_hours") * 3_600_000_000)
-        sums = matched.groupBy("slo").agg(F.avg("good").alias("r"), F.count("good").alias("k"))
-        joined = slos.join(sums, "slo", "left")
-        rate, size = F.col("r"), F.col("k")
+    sums = {"_good": F.sum("good"), "_n": F.count("good")}
+    joined = _within(points, slos, ["sli"], F.col("window_hours") * 3_600, now, sums)
+    size = F.col("_n")
+    rate = F.col("_good") / F.nullif("_n", F.lit(0))
     value = F.coalesce(rate, F.lit(1.0))
     open_budget = 1 - F.col("target")
     left = F.when(

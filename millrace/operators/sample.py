@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.freeze import freeze
+from millrace.functions.numbers import z_of
 from millrace.functions.order import join_totals, lay_out, running_sum, with_index
 
-# Fixed values of the sample size formula.
-Z_BY_CONFIDENCE = {0.90: 1.645, 0.95: 1.96, 0.99: 2.576}
 TOP_K_ROWS = 1_000  # up to here every task sends its n smallest hashes to one; above, rows are ranked by range
 
 
@@ -119,7 +118,7 @@ def deterministic_sample(df: DataFrame, n: int, key: str) -> DataFrame:
 
 def sample_size(total: int, confidence: float = 0.95, margin: float = 0.03, proportion: float = 0.5) -> int:
     """Cochran's sample size with finite population correction, between 100 and 100,000."""
-    z = Z_BY_CONFIDENCE.get(confidence, 1.96)
+    z = z_of(confidence)
     n0 = z * z * proportion * (1 - proportion) / margin**2
     n = n0 / (1 + (n0 - 1) / total) if total > 0 else n0
     return min(max(100, min(math.ceil(n), 100_000)), total)
@@ -128,7 +127,7 @@ def sample_size(total: int, confidence: float = 0.95, margin: float = 0.03, prop
 def margin_of_error(n: int, total: int, confidence: float = 0.95) -> float:
     if n == 0:
         return 0.0
-    z = Z_BY_CONFIDENCE.get(confidence, 1.96)
+    z = z_of(confidence)
     correction = math.sqrt((total - n) / (total - 1)) if total > 1 else 1.0
     return z * math.sqrt(0.25 / n) * correction
 

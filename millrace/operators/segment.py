@@ -8,24 +8,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.numbers import ratio, round_to
-from millrace.functions.order import join_totals, leading, order_stats, quantiles
+from millrace.functions.order import leading, order_stats, quantiles
 from millrace.operators.clean import long_form, numeric_columns
 
 
-def _largest(df: DataFrame, segment: str, most: int) -> DataFrame:
-    sizes = df.where(F.col(segment).isNotNull()).groupBy(segment).agg(F.count(F.lit(1)).alias("row_count"))
-    return sizes.orderBy(F.desc("row_count"), segment).limit(most)
+OTHER = "other"
+
+
+def _pooled(df: DataFrame, segment: str, most: int | None) -> DataFrame:
+    """Rows with a segment; with ``most``, all but the largest segments become one called ``other``."""
+    df = df.where(F.col(segment).isNotNull())
+    if most is None:
+        return df
+    largest = df.groupBy(segment).count().orderBy(F.desc("count"), segment).limit(most).select(segment, F.lit(True).alias("_large"))
+    named = F.when(F.col("_large"), F.col(segment).cast("string")).otherwise(F.lit(OTHER))
+    return df.join(largest, segment, "left").withColumn(segment, named).drop("_large")
 
 
 def segment_profile(
-    df: DataFrame, segment: str, numeric: Sequence[str] | None = None, max_segments: int = 100
+    df: DataFrame, segment: str, numeric: Sequence[str] | None = None, max_segments: int | None = None
 ) -> DataFrame:
     """Per segment and column: rows, share of all rows, count, mean, median, deviation, range, sum.
 
-    Rows without a segment are left out but count in the share. The largest segments are kept."""
+    Rows without a segment are left out but count in the share. With ``max_segments``, the segments beyond
+    the largest are one more, called ``other``."""
     numeric = list(numeric or [c for c in numeric_columns(df) if c != segment])
     total = df.select(F.count(F.lit(1))).scalar()
-    kept = join_totals(df.select(segment, *numeric), _largest(df, segment, max_segments), [segment])
+    kept = _pooled(df.select(segment, *numeric), segment, max_segments)
 
     def measures(c: str) -> Column:
         x = F.col(c).cast("double")
@@ -40,7 +49,7 @@ def segment_profile(
         )
 
     wide = kept.groupBy(segment).agg(
-        F.max("row_count").alias("row_count"), F.array(*[measures(c) for c in numeric]).alias("m")
+        F.count(F.lit(1)).alias("row_count"), F.array(*[measures(c) for c in numeric]).alias("m")
     )
     flat = wide.select(segment, "row_count", (F.col("row_count") / total).alias("share"), F.inline("m"))
     medians = quantiles(long_form(kept, numeric, "double", [segment]), "value", {"median": 0.5}, [segment, "column"])
@@ -52,9 +61,9 @@ def segment_profile(
     )
 
 
-def segment_categories(df: DataFrame, segment: str, columns: Sequence[str], max_segments: int = 100) -> DataFrame:
-    """Value counts of text columns per segment."""
-    kept = df.join(_largest(df, segment, max_segments).select(segment), segment, "left_semi")
+def segment_categories(df: DataFrame, segment: str, columns: Sequence[str], max_segments: int | None = None) -> DataFrame:
+    """Value counts of text columns per segment; ``max_segments`` as in ``segment_profile``."""
+    kept = _pooled(df, segment, max_segments)
     cells = long_form(kept, columns, "string", [segment]).where("value IS NOT NULL")
     return cells.groupBy(F.col(segment).alias("segment"), F.col("column").alias("column_name"), "value").agg(
         F.count(F.lit(1)).alias("count")

@@ -13,19 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.freeze import freeze
-from millrace.functions.numbers import round_to
+from millrace.functions.numbers import round_to, z_of
 from millrace.functions.order import fill_forward, join_totals, lay_out, leading, previous, with_index
 
-# Normal quantiles by confidence.
-Z_BY_CONFIDENCE = {0.90: 1.645, 0.95: 1.96, 0.99: 2.576}
-
-
-def _z(confidence: float) -> float:
-    return Z_BY_CONFIDENCE.get(confidence, 1.96)
-
-
-
-
 def _points(df: DataFrame, order: Sequence[str], value: str, series: Sequence[str]) -> DataFrame:
     kept = [*series, *order]
     return df.where(F.col(value).isNotNull()).select(*kept, F.col(value).cast("double").alias("v"))
@@ -52,7 +42,7 @@ def _ahead(fit: DataFrame, series: Sequence[str], periods: int, value: Column, m
 
 
 def _root_margin(confidence: float) -> Column:
-    return F.lit(_z(confidence)) * F.col("dev") * F.sqrt(F.col("period"))
+    return F.lit(z_of(confidence)) * F.col("dev") * F.sqrt(F.col("period"))
 
 
 def forecast_naive(
@@ -151,7 +141,7 @@ def forecast_linear(
 ) -> DataFrame:
     fit = linear_fit(df, order, value, series)
     level = F.col("intercept") + F.col("slope") * (F.col("n") - 1 + F.col("period"))
-    margin = F.lit(_z(confidence)) * F.col("residual_std") * F.sqrt(1 + F.col("period") / F.col("n"))
+    margin = F.lit(z_of(confidence)) * F.col("residual_std") * F.sqrt(1 + F.col("period") / F.col("n"))
     return _ahead(fit, series, periods, level, margin)
 
 

@@ -123,8 +123,14 @@ def analyze(
 
 
 def bar_chart(df: DataFrame, x: str, y: str, limit: int = 50) -> DataFrame:
-    """Largest bars: sum of y per x."""
-    return df.groupBy(F.col(x).alias("x")).agg(F.sum(y).alias("y")).orderBy(F.desc("y"), "x").limit(limit)
+    """Bars, largest first: sum of y per x. Bars beyond ``limit`` are summed into a last one, ``other``."""
+    bars = df.groupBy(F.col(x).alias("x")).agg(F.sum(y).alias("y"))
+    largest = bars.orderBy(F.desc_nulls_last("y"), "x").limit(limit)
+    top = largest.select(F.col("x").alias("_x"), F.lit(True).alias("_top"))
+    marked = bars.join(top, bars["x"].eqNullSafe(top["_x"]), "left")
+    last = F.col("_top").isNull()
+    pooled = marked.groupBy(last.alias("_last"), F.when(last, F.lit("other")).otherwise(F.col("x").cast("string")).alias("x")).agg(F.sum("y").alias("y"))
+    return pooled.orderBy("_last", F.desc_nulls_last("y"), "x").drop("_last")
 
 
 def line_chart(df: DataFrame, x: str, y: str, unit: str = "day") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,19 +14,30 @@ READ_PREFIXES = ("SELECT", "WITH", "SHOW", "DESCRIBE", "EXPLAIN")
 FORBIDDEN = (
     "DROP ", "DELETE ", "TRUNCATE ", "INSERT ", "UPDATE ", "ALTER ", "CREATE TABLE", "GRANT ", "REVOKE ",
 )
-ROW_CAP = 10_000
+#: Functions that run code of the caller's choice, and formats that turn a path into a table.
+CODE_FUNCTIONS = ("java_method", "reflect", "try_reflect")
+FILE_FORMATS = ("parquet", "csv", "json", "orc", "text", "avro", "binaryfile", "xml", "delta", "jdbc", "image", "libsvm")
+_COMMAND = "org.apache.spark.sql.catalyst.plans.logical.Command"
 
 _NOISE = re.compile(r"'(?:[^'\\]|''|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.DOTALL)
 
 
+_LITERALS = re.compile(r"'(?:[^'\\]|''|\\.)*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|/\*.*?\*/", re.DOTALL)
+
+
 class RejectedSql(ValueError):
     pass
 
 
 def check_sql(sql: str) -> str:
-    """Raise unless the text is a read-only statement. Literals and comments do not count."""
+    """Raise unless the text is a read-only statement. Literals and comments do not count; quoted names do."""
     bare = re.sub(r"\s+", " ", _NOISE.sub(" ", sql)).strip().upper()
-    if not bare.startswith(READ_PREFIXES):
+    named = _LITERALS.sub(" ", sql).replace("`", "").lower()
+    if re.search(rf"\b({'|'.join(CODE_FUNCTIONS)})\s*\(", named):
+        raise RejectedSql("functions that run code are not allowed")
+    if re.search(rf"\b({'|'.join(FILE_FORMATS)})\s*\.\s*(/|\.|\w+:)", named):
+        raise RejectedSql("files are no tables")
+    if not re.match(rf"({'|'.join(READ_PREFIXES)})\b", bare):
         raise RejectedSql(f"a statement must begin with one of {', '.join(READ_PREFIXES)}")
     padded = f"{bare} "
     for phrase in FORBIDDEN:
@@ -34,28 +46,32 @@ def check_sql(sql: str) -> str:
     return bare
 
 
-def row_cap(limit: int | None) -> int:
-    if limit is not None and limit < 1:
-        raise ValueError("limit must be positive")
-    return min(limit or ROW_CAP, ROW_CAP)
+def _checked(spark: SparkSession, sql: str, args: Mapping[str, object] | None) -> tuple[str, DataFrame]:
+    """The statement's table, once its text and its parsed plan have passed: a query must hold no command,
+    whatever word it begins with."""
+    bare = check_sql(sql)
+    if bare.startswith(("SELECT", "WITH")):
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+        if is_instance_of(spark.sparkContext._gateway, plan, _COMMAND):
+            raise RejectedSql("the statement is a command")
+    return bare, spark.sql(sql, args=dict(args) if args else None)
 
 
-def guarded_sql(spark: SparkSession, sql: str, limit: int | None = 1000, args: Mapping[str, object] | None = None) -> DataFrame:
-    """Run a read-only statement; at most ``limit`` (10,000) rows come back, whatever it says itself."""
-    bare = check_sql(sql)
-    df = spark.sql(sql, args=dict(args) if args else None)
-    return df.limit(row_cap(limit)) if bare.startswith(("SELECT", "WITH")) else df
+def guarded_sql(spark: SparkSession, sql: str, limit: int | None = None, args: Mapping[str, object] | None = None) -> DataFrame:
+    """Run a read-only statement: all its rows, or ``limit`` of them; ``is_truncated`` tells if there are more."""
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be positive")
+    bare, df = _checked(spark, sql, args)
+    return df.limit(limit) if limit is not None and bare.startswith(("SELECT", "WITH")) else df
 
 
-def is_truncated(spark: SparkSession, sql: str, limit: int | None = 1000, args: Mapping[str, object] | None = None) -> bool:
-    """Whether the statement has more rows than ``guarded_sql`` returns."""
-    check_sql(sql)
-    cap = row_cap(limit)
-    return spark.sql(sql, args=dict(args) if args else None).limit(cap + 1).count() > cap
+def is_truncated(spark: SparkSession, sql: str, limit: int | None = None, args: Mapping[str, object] | None = None) -> bool:
+    """Whether the statement has more than ``limit`` rows; at most one more than that is read."""
+    return limit is not None and _checked(spark, sql, args)[1].limit(limit + 1).count() > limit
 
 
-def run_kpis(spark: SparkSession, kpis: Iterable[Mapping[str, object]], limit: int | None = 1000) -> dict[str, DataFrame]:
-    """Named statements, in order. A KPI without SQL is an error."""
+def run_kpis(spark: SparkSession, kpis: Iterable[Mapping[str, object]], limit: int | None = None) -> dict[str, DataFrame]:
+    """Named statements, in order, each with all its rows unless a limit is asked for. A KPI without SQL is an error."""
     out: dict[str, DataFrame] = {}
     for kpi in kpis:
         if not kpi.get("sql"):
@@ -64,11 +80,12 @@ def run_kpis(spark: SparkSession, kpis: Iterable[Mapping[str, object]], limit: i
     return out
 
 
-def kpi_summary(kpis: Mapping[str, DataFrame]) -> DataFrame:
-    """name, columns and row count of each KPI."""
+def kpi_summary(kpis: Mapping[str, DataFrame], limit: int | None = None) -> DataFrame:
+    """name, columns and row count of each KPI, and whether a fetch of ``limit`` rows would cut it."""
+    cut = F.lit(False) if limit is None else F.col("row_count") > limit
     parts = [
         df.agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit(name).alias("name"), F.array(*[F.lit(c) for c in df.columns]).alias("columns"), "row_count"
+            F.lit(name).alias("name"), F.array(*[F.lit(c) for c in df.columns]).alias("columns"), "row_count", cut.alias("truncated")
         )
         for name, df in kpis.items()
     ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,9 +51,28 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def unseen(base: DataFrame, source: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Source rows whose key is not in the target yet; the first copy of a key wins."""
-    return source.join(base.select(*key), list(key), "left_anti").dropDuplicates(list(key))
+def first_copies(source: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row per key, nulls being equal: the smallest by ``order`` and then by all columns as they stand."""
+    rest = [c for c in source.columns if c not in key]
+    if not rest:
+        return source.distinct()
+    ranked = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)] + [F.col(c).alias(c) for c in rest]
+    picked = source.groupBy(*key).agg(F.min(F.struct(*ranked)).alias("_first"))
+    return picked.select(*[F.col(c) if c in key else F.col(f"_first.{c}").alias(c) for c in source.columns])
+
+
+def unseen(base: DataFrame, source: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Source rows whose key, nulls included, is not in the target yet; of several copies the first by ``order``."""
+    held = base.select(*[F.col(c).alias(f"_held_{c}") for c in key])
+    same = [F.col(c).eqNullSafe(F.col(f"_held_{c}")) for c in key]
+    return first_copies(source.join(held, same, "left_anti"), key, order)
+
+
+def _append(new: DataFrame, target: str, mode: str) -> int:
+    """Write and count in one pass."""
+    seen = Observation()
+    new.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).parquet(target)
+    return seen.get["rows"]
 
 
 def ingest_table(
@@ -62,10 +81,11 @@ def ingest_table(
     mode: str = "full",
     key: Sequence[str] = (),
     gate: Callable[[DataFrame], DataFrame] | None = None,
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """Write ``source`` to the parquet table at ``target``; returns one row with the rows written.
 
-    ``full`` replaces the table, ``incremental`` adds rows with unseen keys. ``gate`` is a contract
+    ``full`` replaces the table, ``incremental`` adds rows with unseen keys, of each key the first by ``order``. ``gate`` is a contract
     check giving rows of (level, …); a row of level ``error`` stops the load before anything is
     written."""
     spark = source.sparkSession
@@ -76,27 +96,24 @@ def ingest_table(
         if errors:
             raise ValueError(f"contract broken: {[r.asDict() for r in errors]}")
     if mode == "full" or not _exists(spark, target):
-        new = source if mode == "full" or not key else source.dropDuplicates(list(key))
-        new.write.mode("overwrite").parquet(target)
-        written = spark.read.parquet(target).agg(F.count(F.lit(1)).alias("rows_ingested"))
+        new = source if mode == "full" or not key else first_copies(source, key, order)
+        written = _append(new, target, "overwrite")
     else:
         if not key:
             raise ValueError("incremental ingest needs a key")
-        base = spark.read.parquet(target)
-        before = base.count()
-        unseen(base, source, key).write.mode("append").parquet(target)
-        written = spark.read.parquet(target).agg((F.count(F.lit(1)) - before).alias("rows_ingested"))
-    return written.withColumn("mode", F.lit(mode))
+        written = _append(unseen(spark.read.parquet(target), source, key, order), target, "append")
+    return spark.createDataFrame([(written, mode)], "rows_ingested long, mode string")
 
 
-def table_preview(df: DataFrame, n: int = 100) -> DataFrame:
-    """The first ``n`` rows, arrays cut to 100 items, with the row count of the whole table."""
+def table_preview(df: DataFrame, n: int = 100, order: Sequence[str] = (), items: int = 100) -> DataFrame:
+    """The first ``n`` rows by ``order`` (without one, any), arrays cut to ``items``, with the row count of the
+    whole table."""
     shown = [
-        F.slice(F.col(f.name), 1, 100).alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name)
+        F.slice(F.col(f.name), 1, items).alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name)
         for f in df.schema.fields
     ]
     total = df.select(F.count(F.lit(1))).scalar()
-    return df.limit(n).select(*shown, total.alias("total_rows"))
+    return (df.orderBy(*order) if order else df).limit(n).select(*shown, total.alias("total_rows"))
 
 
 def etl(

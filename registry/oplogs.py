@@ -75,7 +75,7 @@ def _(spark, sf):
     "quota_usage",
     """
     WITH l AS (SELECT DISTINCT user_id, event_type, CASE event_type WHEN 'view' THEN 86400 WHEN 'click' THEN 0 ELSE 604800 END AS p, 50.0 + user_id AS lim FROM events),
-         u AS (SELECT l.*, COALESCE(SUM(value) FILTER (EPOCH(TIMESTAMP '2024-01-30') - EPOCH(ts) <= CASE p WHEN 0 THEN 300 ELSE p END), 0) AS used
+         u AS (SELECT l.*, COALESCE(SUM(value) FILTER (EPOCH(TIMESTAMP '2024-01-30') - EPOCH(ts) BETWEEN 0 AND CASE p WHEN 0 THEN 300 ELSE p END), 0) AS used
                FROM l JOIN events USING (user_id, event_type) GROUP BY ALL)
     SELECT user_id AS tenant_id, event_type AS resource, ROUND(used, 4) AS current_usage, CAST(lim AS DOUBLE) AS "limit", ROUND(used / lim * 100, 4) AS utilization_percent,
            ROUND(GREATEST(0, lim - used), 4) AS remaining, used + 1 <= lim AS allowed FROM u
@@ -91,6 +91,29 @@ def _(spark, sf):
     return rounded(logs.quota_usage(log, limits, AS_OF))
 
 
+@query(
+    "tier_usage",
+    """
+    WITH t AS (SELECT DISTINCT user_id, CASE user_id % 3 WHEN 0 THEN 'free' WHEN 1 THEN 'starter' ELSE 'unlimited' END AS tier FROM events),
+         l AS (SELECT * FROM (VALUES ('free', 'jobs_per_day', 10, 86400), ('free', 'api_calls_per_minute', 60, 60), ('starter', 'jobs_per_day', 100, 86400),
+                                     ('starter', 'api_calls_per_minute', 300, 60)) l(tier, resource, lim, p)),
+         e AS (SELECT user_id, CASE WHEN event_type = 'view' THEN 'api_calls_per_minute' ELSE 'jobs_per_day' END AS resource, ts FROM events),
+         u AS (SELECT t.user_id, l.resource, lim, COUNT(e.ts) FILTER (EPOCH(TIMESTAMP '2024-01-20') - EPOCH(ts) BETWEEN 0 AND p) AS used
+               FROM t JOIN l USING (tier) LEFT JOIN e ON e.user_id = t.user_id AND e.resource = l.resource GROUP BY ALL)
+    SELECT user_id AS tenant_id, resource, CAST(used AS DOUBLE) AS current_usage, CAST(lim AS DOUBLE) AS "limit", ROUND(used / lim * 100, 4) AS utilization_percent,
+           CAST(GREATEST(0, lim - used) AS DOUBLE) AS remaining, used + 1 <= lim AS allowed FROM u
+    """,
+)
+def _(spark, sf):
+    events = table(spark, sf, "events")
+    tenants = events.select(F.col("user_id").alias("tenant_id")).distinct()
+    tenants = tenants.withColumn("tier", F.element_at(F.array(F.lit("free"), F.lit("starter"), F.lit("unlimited")), (F.col("tenant_id") % 3 + 1).cast("int")))
+    resource = F.when(F.col("event_type") == "view", "api_calls_per_minute").otherwise("jobs_per_day")
+    log = events.select(F.col("user_id").alias("tenant_id"), resource.alias("resource"), "ts", F.lit(1.0).alias("amount"))
+    used = logs.tier_usage(log, tenants, dt.datetime(2024, 1, 20))
+    return rounded(used.where(F.col("resource").isin("jobs_per_day", "api_calls_per_minute")))
+
+
 @query(
     "plan_status",
     """
@@ -118,8 +141,8 @@ def _(spark, sf):
     "slo_status",
     """
     WITH s AS (SELECT 'slo_' || user_id AS slo, user_id AS sli, 0.7 + user_id % 4 * 0.1 AS target, CASE WHEN user_id % 2 = 0 THEN 24 ELSE 168 END AS h FROM (SELECT DISTINCT user_id FROM events)),
-         r AS (SELECT slo, sli, CAST(target AS DOUBLE) AS target, AVG(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) FILTER (EPOCH(TIMESTAMP '2024-01-30') - EPOCH(ts) <= h * 3600) AS v,
-                      COUNT(*) FILTER (EPOCH(TIMESTAMP '2024-01-30') - EPOCH(ts) <= h * 3600) AS data_points FROM s JOIN events ON user_id = sli GROUP BY ALL)
+         r AS (SELECT slo, sli, CAST(target AS DOUBLE) AS target, AVG(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) FILTER (EPOCH(TIMESTAMP '2024-01-30') - EPOCH(ts) BETWEEN 0 AND h * 3600) AS v,
+                      COUNT(*) FILTER (EPOCH(TIMESTAMP '2024-01-30') - EPOCH(ts) BETWEEN 0 AND h * 3600) AS data_points FROM s JOIN events ON user_id = sli GROUP BY ALL)
     SELECT slo, sli, ROUND(COALESCE(v, 1), 6) AS current_value, ROUND(target, 6) AS target, COALESCE(v, 1) >= target AS is_meeting,
            ROUND(CASE WHEN 1 - target > 0 THEN GREATEST(0, 1 - (1 - COALESCE(v, 1)) / (1 - target)) ELSE CASE WHEN COALESCE(v, 1) >= target THEN 1 ELSE 0 END END, 6) AS error_budget_remaining, data_points
     FROM r

@@ -105,17 +105,19 @@ def _(spark, sf):
 KPIS = [
     {"name": "orders", "sql": "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus"},
     {"name": "segments", "sql": "SELECT c_mktsegment, AVG(c_acctbal) AS balance FROM customer GROUP BY c_mktsegment"},
+    {"name": "parts", "sql": "SELECT l_partkey, SUM(l_extendedprice) AS amount FROM lineitem GROUP BY l_partkey"},
 ]
 
 
 @query(
     "run_kpis",
-    """SELECT 'orders' AS name, 'o_orderstatus,n' AS columns, COUNT(DISTINCT o_orderstatus) AS row_count FROM orders
-       UNION ALL SELECT 'segments', 'c_mktsegment,balance', COUNT(DISTINCT c_mktsegment) FROM customer""",
+    """SELECT 'orders' AS name, 'o_orderstatus,n' AS columns, COUNT(DISTINCT o_orderstatus) AS row_count, FALSE AS truncated FROM orders
+       UNION ALL SELECT 'segments', 'c_mktsegment,balance', COUNT(DISTINCT c_mktsegment), FALSE FROM customer
+       UNION ALL SELECT 'parts', 'l_partkey,amount', COUNT(DISTINCT l_partkey), COUNT(DISTINCT l_partkey) > 1000 FROM lineitem""",
 )
 def _(spark, sf):
     views(spark, sf)
-    return sql.kpi_summary(sql.run_kpis(spark, KPIS)).withColumn("columns", F.array_join("columns", ","))
+    return sql.kpi_summary(sql.run_kpis(spark, KPIS), limit=1000).withColumn("columns", F.array_join("columns", ","))
 
 
 @query("tenant_scope", "SELECT event_id, value FROM events WHERE user_id = 17")

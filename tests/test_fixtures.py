@@ -8,9 +8,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions.numbers import z_of
 from millrace.functions.pvalues import f_upper, t_two_sided
 from millrace.operators import anomaly, clean, contracts, kpi, lineage, logs, ml, pages, privacy, profile, sample, segment, series, stats, text
 from millrace.plans import flow, sql
+from millrace.sources import io
 
 
 def frame(spark, **columns):
@@ -316,7 +318,7 @@ def test_guard_lets_reads_pass(text_):
     sql.check_sql(text_)
 
 
-@pytest.mark.parametrize("text_", ["DROP TABLE x", "INSERT INTO x VALUES (1)", "SELECT 1; DROP TABLE x", "SELECT 1; delete from x", "CREATE TABLE x (a int)", "", "with x as (select 1) update t set a = 1"])
+@pytest.mark.parametrize("text_", ["DROP TABLE x", "INSERT INTO x VALUES (1)", "SELECT 1; DROP TABLE x", "SELECT 1; delete from x", "CREATE TABLE x (a int)", "", "with x as (select 1) update t set a = 1", "SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT `reflect`('a', 'b')", "SELECT * FROM parquet.`/tmp/x`", "SELECT * FROM `csv`.`file:/tmp/x`", "MERGE INTO a USING b ON a.x = b.x WHEN MATCHED THEN DELETE", "DESCRIBEX t"])
 def test_guard_stops_writes(text_):
     with pytest.raises(sql.RejectedSql):
         sql.check_sql(text_)
@@ -324,12 +326,22 @@ def test_guard_stops_writes(text_):
 
 def test_row_cap(spark):
     spark.range(30_000).createOrReplaceTempView("many")
-    assert sql.guarded_sql(spark, "SELECT * FROM many LIMIT 20000", None).count() == 10_000
+    assert sql.guarded_sql(spark, "SELECT * FROM many LIMIT 20000").count() == 20_000
+    assert sql.guarded_sql(spark, "SELECT * FROM many", 10).count() == 10
+    kpis = sql.run_kpis(spark, [{"name": "all", "sql": "SELECT * FROM many"}])
+    assert [(r.row_count, r.truncated) for r in sql.kpi_summary(kpis, limit=1000).collect()] == [(30_000, True)]
     assert sql.is_truncated(spark, "SELECT * FROM many", 100) and not sql.is_truncated(spark, "SELECT * FROM many LIMIT 5", 100)
     with pytest.raises(ValueError):
         sql.run_kpis(spark, [{"name": "x"}])
 
 
+def test_guard_knows_a_command_by_its_plan(spark):
+    spark.range(3).createOrReplaceTempView("three_rows")
+    with pytest.raises(sql.RejectedSql):
+        sql.guarded_sql(spark, "WITH x AS (SELECT 1 AS id) MERGE INTO three_rows USING x ON three_rows.id = x.id WHEN MATCHED THEN UPDATE SET id = 2")
+    assert sql.guarded_sql(spark, "SELECT 'parquet./tmp' AS text, id FROM three_rows").count() == 3
+
+
 def test_kpi_registry(spark):
     assert len(kpi.KPIS) == 15 and {k.category for k in kpi.list_kpis()} == {"customer", "financial", "operations", "quality", "timeseries"}
     with pytest.raises(ValueError, match="amount"):
@@ -352,13 +364,67 @@ def test_core_analyzer_stops(spark):
         flow.analyze(spark, "three", profile=False, registry=known)
 
 
-def test_many_periods_give_the_same(spark, monkeypatch):
+def test_many_periods_and_rows_after_the_present(spark):
     now = dt.datetime(2024, 1, 2)
     points = spark.range(500).select((F.col("id") % 5).alias("sli"), F.timestamp_seconds(1704067200 + F.col("id") * 170).cast("timestamp_ntz").alias("ts"), (F.col("id") % 3 != 0).cast("int").alias("good"))
     slos = spark.range(6).select(F.concat(F.lit("s"), "id").alias("slo"), F.col("id").alias("sli"), F.lit(0.9).alias("target"), (F.col("id") + 1).alias("window_hours"))
     log = points.select(F.col("sli").alias("tenant_id"), F.lit("r").alias("resource"), "ts", F.col("good").cast("double").alias("amount"))
     limits = spark.range(6).select(F.col("id").alias("tenant_id"), F.lit("r").alias("resource"), F.lit(9.0).alias("limit"), (F.col("id") * 3600).alias("period_seconds"))
-    one = lambda: (logs.slo_status(points, slos, now).orderBy("slo").collect(), logs.quota_usage(log, limits, now).orderBy("tenant_id").collect())
-    want = one()
-    monkeypatch.setattr(logs, "FEW", 2)
-    assert one() == want and want[0][5].current_value == 1.0
+    rows = [(i % 5, 1704067200 + i * 170, int(i % 3 != 0)) for i in range(500)]
+    end = 1704153600
+    got = {r.slo: r for r in logs.slo_status(points, slos, now).collect()}
+    used = {r.tenant_id: r.current_usage for r in logs.quota_usage(log, limits, now).collect()}
+    for k in range(6):
+        good = [g for s, t, g in rows if s == k and 0 <= end - t <= (k + 1) * 3600]
+        assert (got[f"s{k}"].data_points, got[f"s{k}"].current_value) == (len(good), sum(good) / len(good) if good else 1.0)
+        assert used[k] == sum(g for s, t, g in rows if s == k and 0 <= end - t <= (k * 3600 or 300))
+    later = points.select("sli", (F.col("ts") + F.expr("INTERVAL 9 DAYS")).alias("ts"), "good")
+    assert {r.slo: r.data_points for r in logs.slo_status(points.union(later), slos, now).collect()} == {k: r.data_points for k, r in got.items()}
+
+
+def test_many_segments_are_kept_or_pooled(spark):
+    df = frame(spark, s=[i % 150 for i in range(600)], x=[float(i) for i in range(600)], t=["v"] * 600)
+    assert segment.segment_profile(df, "s", ["x"]).count() == 150
+    pooled = {r.segment: r for r in segment.segment_profile(df, "s", ["x"], max_segments=100).collect()}
+    assert len(pooled) == 101 and pooled["other"].row_count == 200 and sum(r.row_count for r in pooled.values()) == 600
+    assert segment.segment_categories(df, "s", ["t"]).count() == 150
+
+
+def test_bars_sum_to_the_whole(spark):
+    df = frame(spark, k=[None] + [f"k{i}" for i in range(70)], y=[1.0] + [float(i) for i in range(70)])
+    bars = flow.bar_chart(df, "k", "y", limit=10).collect()
+    assert len(bars) == 11 and bars[-1].x == "other" and sum(b.y for b in bars) == 1 + sum(range(70))
+
+
+def test_redaction_reaches_every_depth(spark):
+    row = spark.sql(
+        "SELECT map('password', 1, 'n', 2) AS m, array(named_struct('password', 'x', 'ok', 'y')) AS a,"
+        " map('k', array(map('token', 'x', 'z', 'y'))) AS deep, map(1, named_struct('secret', 's')) AS by_number"
+    )
+    got = privacy.redact(row).first()
+    assert got.m == {"password": None, "n": 2}
+    assert got.a[0].password == privacy.REDACTED and got.a[0].ok == "y"
+    assert got.deep == {"k": [{"token": privacy.REDACTED, "z": "y"}]} and got.by_number[1].secret == privacy.REDACTED
+
+
+def test_incremental_load_is_idempotent_with_null_keys(spark, tmp_path):
+    source = spark.createDataFrame([(None, "b", 2), (None, "a", 1), (1, "c", 3)], "k long, v string, n int")
+    loads = [io.ingest_table(source, str(tmp_path / "t"), "incremental", ["k"], order=["n"]).first().rows_ingested for _ in range(3)]
+    assert loads == [2, 0, 0]
+    assert {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {(None, "a"), (1, "c")}
+
+
+def test_contract_types_are_compared_as_types(spark):
+    spec = lambda kind: contracts.Contract("c", (contracts.ColumnSpec("x", kind),))
+    level = lambda kind, text: [r.code for r in contracts.validate_schema(spark.sql(f"SELECT CAST(NULL AS {text}) AS x"), spec(kind)).collect()]
+    assert level("object", "map<string,string>") == level("object", "struct<a:int>") == level("array", "array<string>") == []
+    assert level("string", "array<string>") == level("integer", "array<int>") == level("date", "timestamp") == ["type_mismatch"]
+    for kind in contracts.READ_AS:
+        own = spec(kind)
+        assert contracts.validate_schema(spark.createDataFrame([], own.read_schema()), own).count() == 0
+
+
+def test_any_confidence():
+    assert z_of(0.95) == 1.96 and abs(z_of(0.8) - 1.2816) < 1e-4
+    with pytest.raises(ValueError, match="confidence"):
+        z_of(1.0)
