@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.freeze import freeze
-from millrace.functions.order import leading, with_index
+from millrace.functions.order import leading
 
 # The characters whose shares make up a character embedding.
 EMBED_CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789 .,!?-"
 WORD = r"[\p{L}\p{N}]+"
-QUERY_BLOCK_BYTES = 32 << 20  # query vectors held by one task at a time
+QUERY_BLOCK, CORPUS_BLOCK = 2_000, 20_000  # rows of either side that one task compares
 
 
 def norm(vector: Column) -> Column:
@@ -58,9 +58,8 @@ def tokenize(df: DataFrame, text: str, name: str = "tokens") -> DataFrame:
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, count, largest count of the text). A text without terms keeps one row without term.
 
-    Texts are spread by key once; counting and the largest count then need no further shuffle."""
-    spread = df.select(key, text).repartition(F.col(key))
-    terms = spread.select(key, F.explode_outer(tokens(F.col(text))).alias("term"))
+    Texts stay where they are: their terms are counted by the task that reads them, and only counts move."""
+    terms = df.select(key, F.explode_outer(tokens(F.col(text))).alias("term"))
     counts = terms.groupBy(key, "term").agg(F.count("term").alias("count"))
     return counts.withColumn("most", F.max("count").over(Window.partitionBy(key)))
 
@@ -126,43 +125,39 @@ def _matching(df: DataFrame, filters: Mapping[str, object] | None) -> DataFrame:
     return df
 
 
-def _top_k_block(queries: pd.DataFrame, corpus: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """Best k of every task for a block of queries; a task keeps k rows per query, never the pairs."""
-    ids = queries["query_id"].to_numpy()
-    q = np.array(queries["v"].tolist(), dtype=float)
-    lengths = np.linalg.norm(q, axis=1, keepdims=True)
-    shared = corpus.sparkSession.sparkContext.broadcast((ids, np.divide(q, lengths, out=np.zeros_like(q), where=lengths > 0)))
-    rows = corpus.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, q = shared.value
-        best: pd.DataFrame | None = None
-        for batch in batches:
-            if batch.empty:
-                continue
-            x = np.array(batch["v"].tolist(), dtype=float)
-            if x.shape[1] != q.shape[1]:
-                raise ValueError("vectors differ in length")
-            length = np.linalg.norm(x, axis=1, keepdims=True)
-            x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
-            score = np.round(x @ q.T, 12)
-            order = np.argsort(batch["id"].to_numpy(), kind="stable")
-            picked = [order[np.argsort(-score[order, j], kind="stable")[:k]] for j in range(len(query_ids))]
-            found = pd.DataFrame(
-                {
-                    "query_id": np.repeat(query_ids, [len(p) for p in picked]),
-                    "id": batch["id"].to_numpy()[np.concatenate(picked)],
-                    "score": np.concatenate([score[p, j] for j, p in enumerate(picked)]),
-                }
-            )
-            best = found if best is None else pd.concat([best, found], ignore_index=True)
-            best = best.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
-        if best is not None:
-            yield best
-
-    kinds = dict(rows.dtypes)
-    query_kind = "string" if queries["query_id"].dtype == object else "long"
-    return rows.mapInPandas(search, f"query_id {query_kind}, id {kinds['id']}, score double")
+def _top_k_pair(k: int):
+    def best(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        """Best k of one block of the corpus for one block of queries."""
+        out = [pd.DataFrame({"query_id": asked["query_id"].iloc[:0], "id": rows["id"].iloc[:0], "score": np.empty(0)})]
+        if len(rows) and len(asked):
+            x, ids = _units(rows["v"]), rows["id"].to_numpy()
+            order = np.argsort(ids, kind="stable")
+            x, ids = x[order], ids[order]
+            for at in range(0, len(asked), 200):
+                part = asked.iloc[at : at + 200]
+                q = _units(part["v"])
+                if x.shape[1] != q.shape[1]:
+                    raise ValueError("vectors differ in length")
+                score = np.round(q @ x.T, 12)
+                picked = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                out.append(
+                    pd.DataFrame(
+                        {
+                            "query_id": np.repeat(part["query_id"].to_numpy(), picked.shape[1]),
+                            "id": ids[picked].ravel(),
+                            "score": np.take_along_axis(score, picked, axis=1).ravel(),
+                        }
+                    )
+                )
+        return pd.concat(out, ignore_index=True)
+
+    return best
+
+
+def _units(vectors: pd.Series) -> np.ndarray:
+    x = np.array(vectors.tolist(), dtype=float)
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
 
 
 def top_k_similar(
@@ -174,34 +169,30 @@ def top_k_similar(
     key: str = "id",
     vector: str = "vector",
     filters: Mapping[str, object] | None = None,
+    query_block: int = QUERY_BLOCK,
+    corpus_block: int = CORPUS_BLOCK,
 ) -> DataFrame:
     """The k most similar corpus rows of every query by cosine (ties by id), exact.
 
-    Queries are taken in blocks of bounded size; each block is one pass over the corpus in which a
-    task keeps k rows per query. No pair of query and corpus row is ever shuffled."""
-    corpus = _matching(corpus, filters)
+    Both sides are dealt by hash into blocks of about ``query_block`` and ``corpus_block`` rows; every pair of
+    blocks is one group, which keeps k rows per query. No vector and no pair passes the driver."""
+
+    def blocks(df: DataFrame, most: int) -> Column:
+        return F.greatest(F.lit(1), F.ceil(df.select(F.count(F.lit(1))).scalar() / F.lit(most))).cast("int")
+
+    def dealt(df: DataFrame, name: str, own: str, mine: Column, other: str, others: Column) -> DataFrame:
+        placed = df.withColumns({own: F.pmod(F.xxhash64(name), mine).cast("int"), other: others})
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+
+    rows = _matching(corpus, filters).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     asked = queries.select(F.col(query_key).alias("query_id"), F.col(query_vector).cast("array<double>").alias("v"))
-    row = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dims")).first()
-    block = max(1, QUERY_BLOCK_BYTES // (8 * max(row.dims or 1, 1)))
-    if row.n <= block:
-        blocks = [asked]
-    else:
-        numbered = freeze(with_index(asked, ["query_id"], (), "_i"))
-        blocks = [
-            numbered.where((F.col("_i") >= at) & (F.col("_i") < at + block)).drop("_i") for at in range(0, row.n, block)
-        ]
-    out = None
-    for part in blocks:
-        vectors = part.toPandas()  # at most QUERY_BLOCK_BYTES of vectors
-        if vectors.empty:
-            continue
-        found = _top_k_block(vectors, corpus, key, vector, k)
-        ranked = leading(found, ["query_id"], [F.desc("score"), "id"], k, "rank")
-        out = ranked if out is None else out.unionByName(ranked)
-    if out is None:
-        empty = asked.limit(0).select("query_id", F.lit(None).cast("string").alias("id"), F.lit(0.0).alias("score"))
-        return empty.withColumn("rank", F.lit(1))
-    return out
+    corpus_blocks, query_blocks = blocks(rows, corpus_block), blocks(asked, query_block)
+    left = dealt(rows, "id", "_cb", corpus_blocks, "_qb", query_blocks)
+    right = dealt(asked, "query_id", "_qb", query_blocks, "_cb", corpus_blocks)
+    kinds = {**dict(rows.dtypes), **dict(asked.dtypes)}
+    schema = f"query_id {kinds['query_id']}, id {kinds['id']}, score double"
+    found = left.groupBy("_cb", "_qb").cogroup(right.groupBy("_cb", "_qb")).applyInPandas(_top_k_pair(k), schema)
+    return leading(found, ["query_id"], [F.desc("score"), "id"], k, "rank")
 
 
 def upsert_items(base: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
@@ -214,29 +205,36 @@ def delete_items(base: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return base.join(gone.select(key), key, "left_anti")
 
 
+def fit_index(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, vocabulary) of a corpus: (term, key, weight) with L2-normalized TF-IDF weights over all terms,
+    and (term, idf). Store both; a search then reads only the rows of its terms."""
+    counts = freeze(term_counts(df, key, text).where("term IS NOT NULL"))
+    total = df.select(F.count(F.lit(1))).scalar()
+    vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("n", total)
+    vocabulary = freeze(vocabulary.select("term", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf")))
+    raw = freeze(counts.join(vocabulary, "term").select(key, "term", (F.col("count") / F.col("most") * F.col("idf")).alias("raw")))
+    lengths = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
+    return raw.join(lengths, key).select("term", key, (F.col("raw") / F.col("length")).alias("weight")), vocabulary
+
+
+def search_index(postings: DataFrame, vocabulary: DataFrame, key: str, question: str, limit: int | None = 10) -> DataFrame:
+    """Texts that share a term with the question, by TF-IDF cosine; ``limit`` of them or all."""
+    asked = postings.sparkSession.createDataFrame([(0, question)], "qid int, question string")
+    known = term_counts(asked, "qid", "question").join(vocabulary, "term")
+    raw = known.select("qid", "term", (F.col("count") / F.col("most") * F.col("idf")).alias("raw"))
+    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("qid")))  # the words of one question
+    wanted = raw.select("term", (F.col("raw") / length).alias("asked"))
+    scored = postings.join(wanted, "term").groupBy(key).agg(F.round(F.sum(F.col("weight") * F.col("asked")), 6).alias("score"))
+    found = scored.where("score > 0").orderBy(F.desc("score"), key)
+    return found if limit is None else found.limit(limit)
+
+
 def semantic_search(
-    corpus: DataFrame,
-    key: str,
-    text: str,
-    question: str,
-    limit: int = 10,
-    dims: int = 128,
-    filters: Mapping[str, object] | None = None,
+    corpus: DataFrame, key: str, text: str, question: str, limit: int | None = 10, filters: Mapping[str, object] | None = None
 ) -> DataFrame:
-    """Texts most similar to a question by TF-IDF cosine; the vocabulary is fitted on the corpus."""
-    corpus = _matching(corpus, filters)
-    rows, vocabulary = embed_tfidf(corpus, key, text, dims)
-    asked = corpus.sparkSession.createDataFrame([(0, question)], "qid int, question string")
-    wanted = tfidf_rows(term_counts(asked, "qid", "question"), vocabulary, "qid").where("idx IS NOT NULL")
-    wanted = wanted.select("idx", F.col("weight").alias("asked"))  # at most ``dims`` rows
-    scored = rows.join(F.broadcast(wanted), "idx", "left")
-    score = F.sum(F.coalesce(F.col("weight") * F.col("asked"), F.lit(0.0)))
-    return (
-        scored.groupBy(key)
-        .agg(F.round(score, 6).alias("score"))
-        .orderBy(F.desc("score"), key)
-        .limit(limit)
-    )
+    """Texts most similar to a question by TF-IDF cosine over the whole vocabulary of the corpus."""
+    postings, vocabulary = fit_index(_matching(corpus, filters), key, text)
+    return search_index(postings, vocabulary, key, question, limit)
 
 
 def top_variance_dims(df: DataFrame, key: str, vector: str, dims: int = 2) -> DataFrame:

@@ -57,11 +57,14 @@ QUESTION = "the thing and other things of that"
 
 @query(
     "semantic_search",
-    f"""WITH {TFIDF_SQL},
+    f"""WITH t AS (SELECT doc_id, UNNEST({TOKENS}) AS term FROM documents),
+      c AS (SELECT doc_id, term, COUNT(*) AS n, MAX(COUNT(*)) OVER (PARTITION BY doc_id) AS most FROM t GROUP BY 1, 2),
+      v AS (SELECT term, LN(((SELECT COUNT(*) FROM documents) + 1) / (COUNT(*) + 1)) + 1 AS idf FROM c GROUP BY term),
+      w AS (SELECT doc_id, term, n / most * idf AS w, SQRT(SUM(POW(n / most * idf, 2)) OVER (PARTITION BY doc_id)) AS l FROM c JOIN v USING (term)),
       q AS (SELECT UNNEST(REGEXP_EXTRACT_ALL('{QUESTION}', '[a-z]+')) AS term), qc AS (SELECT term, COUNT(*) AS n, MAX(COUNT(*)) OVER () AS most FROM q GROUP BY 1),
-      qw AS (SELECT idx, n / most * idf AS w, SQRT(SUM(POW(n / most * idf, 2)) OVER ()) AS l FROM qc JOIN v USING (term))
-    SELECT d.doc_id, ROUND(COALESCE(SUM(w.w / w.l * qw.w / qw.l), 0), 6) AS score
-    FROM documents d LEFT JOIN w USING (doc_id) LEFT JOIN qw USING (idx) GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 10""",
+      qw AS (SELECT term, n / most * idf AS w, SQRT(SUM(POW(n / most * idf, 2)) OVER ()) AS l FROM qc JOIN v USING (term))
+    SELECT doc_id, ROUND(SUM(w.w / w.l * qw.w / qw.l), 6) AS score FROM w JOIN qw USING (term)
+    GROUP BY 1 HAVING ROUND(SUM(w.w / w.l * qw.w / qw.l), 6) > 0 ORDER BY score DESC, doc_id LIMIT 10""",
 )
 def _(spark, sf):
     return text.semantic_search(table(spark, sf, "documents"), "doc_id", "text", QUESTION, 10)
