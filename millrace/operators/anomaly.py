@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.freeze import freeze
-from millrace.functions.order import join_totals, order_stats, quantiles
+from millrace.functions.order import join_totals, order_stats_of_counts, quantiles, value_counts
 from millrace.operators.clean import _filled, long_form, numeric_columns, per_column
 from millrace.operators.sample import bottom_n
 
@@ -62,10 +62,12 @@ def anomalies_mad(
     """Rows whose modified z-score 0.6745·|x - median| / MAD exceeds ``threshold`` (upper medians)."""
     rows = _values(df, value, key, group)
     middle = {"middle": F.floor(_n() / 2)}
-    medians = order_stats(rows, "value", middle, group).where(_n() >= 3).withColumnRenamed("middle", "median").drop("n")
-    centred = join_totals(rows, medians, group).withColumn("off", F.abs(F.col("value") - F.col("median")))
-    mads = order_stats(centred, "off", middle, group).withColumnRenamed("middle", "mad").drop("n")
-    joined = join_totals(centred, mads, group)
+    # Both medians come from the counts of distinct values; the rows themselves are read for the verdict alone.
+    counts = freeze(value_counts(rows, "value", group))
+    medians = freeze(order_stats_of_counts(counts, middle, group).where(_n() >= 3).withColumnRenamed("middle", "median").drop("n"))
+    gaps = join_totals(counts, medians, group).groupBy(*group, F.abs(F.col("_v") - F.col("median")).alias("_v")).agg(F.sum("_c").alias("_c"))
+    mads = order_stats_of_counts(gaps, middle, group).withColumnRenamed("middle", "mad").drop("n")
+    joined = join_totals(join_totals(rows, medians, group), mads, group).withColumn("off", F.abs(F.col("value") - F.col("median")))
     score = F.lit(0.6745) * F.col("off") / F.when(F.col("mad") == 0, 1.0).otherwise(F.col("mad"))
     return _found(joined, score > threshold, score, group, key, F.col("median").alias("expected"))
 

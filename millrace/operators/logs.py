@@ -144,7 +144,7 @@ def _within(log: DataFrame, limits: DataFrame, by: Sequence[str], seconds: Colum
 
     The distinct periods cut time into steps; the log is summed per key and step first, so a busy key joins as
     no more rows than there are periods. Rows later than ``now`` are not part of any period."""
-    by, micros = list(by), (seconds * 1_000_000).cast("long")
+    by, micros = list(by), (seconds.cast("double") * 1e6).cast("long")
     steps = limits.select(F.sort_array(F.collect_set(micros))).scalar()
     age = F.timestamp_diff("MICROSECOND", F.col("ts"), now)
     framed = log.withColumns({"_age": age, "_steps": steps}).where("_age >= 0")

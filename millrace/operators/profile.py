@@ -158,6 +158,7 @@ def quality_summary(details: DataFrame) -> DataFrame:
     )
 
 
-def quality_sample(df: DataFrame, n: int = 5000) -> DataFrame:
-    """Some ``n`` rows. The quality operators read whole tables by default and do not need it."""
-    return df.limit(n)
+def quality_sample(df: DataFrame, n: int = 5000, order: Sequence[str] = ()) -> DataFrame:
+    """The first ``n`` rows by ``order``; without one, any. The quality operators read whole tables by default
+    and do not need it."""
+    return (df.orderBy(*order) if order else df).limit(n)

@@ -12,11 +12,14 @@ from millrace.functions.freeze import freeze
 from millrace.functions.numbers import z_of
 from millrace.functions.order import join_totals, lay_out, running_sum, with_index
 
-TOP_K_ROWS = 1_000  # up to here every task sends its n smallest hashes to one; above, rows are ranked by range
+_HASH_BITS = 60
 
 
 def seeded(key: Sequence[str], seed: int) -> Column:
-    return F.xxhash64(*[F.col(k) for k in key], F.lit(seed))
+    """The first 15 hexadecimal digits of the MD5 of seed and key, joined by ``|``, as a number: any engine
+    can repeat the draw. Nulls count as empty."""
+    texts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *texts)), 1, 15), 16, 10).cast("long")
 
 
 def _margin(n):
@@ -26,27 +29,22 @@ def _margin(n):
 
 
 def _below(share) -> Column:
-    """Whether the hash lies in the lowest ``share`` of its 64-bit range."""
+    """Whether the hash lies in the lowest ``share`` of its range."""
     share = share if isinstance(share, Column) else F.lit(float(share))
-    return F.col("_h").cast("double") < share * 2.0**64 - 2.0**63
+    return F.col("_h").cast("double") < share * 2.0**_HASH_BITS
 
 
 def bottom_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 0) -> DataFrame:
     """The n rows with the smallest seeded hash: a uniform sample that merges across parts and batches.
 
-    A large sample first cuts the table at the hash below which little more than n rows should lie; if
-    fewer do, the whole table is ranked."""
+    The table is cut at the hash below which little more than n rows should lie, and what is left is ranked;
+    if fewer than n are left, all rows are ranked."""
     hashed = df.withColumn("_h", seeded(key, seed))
-    if n <= TOP_K_ROWS:
-        return hashed.orderBy("_h", *key).limit(n).drop("_h")
     total = df.count()
     if n >= total:
         return df
-    pool = hashed
-    share = (n + _margin(n)) / total
-    if share < 0.5:
-        likely = freeze(hashed.where(_below(share)))
-        pool = likely if likely.count() >= n else hashed
+    likely = freeze(hashed.where(_below((n + _margin(n)) / total)))
+    pool = likely if likely.count() >= n else hashed
     return with_index(pool, ["_h", *key], (), "_i").where(F.col("_i") < n).drop("_h", "_i")
 
 
@@ -111,17 +109,15 @@ def deterministic_sample(df: DataFrame, n: int, key: str) -> DataFrame:
     """Rows whose key hashes below n / rows: the same keys on every run. At most n, lowest hash first."""
     total = df.select(F.count(F.lit(1))).scalar()
     low = df.withColumn("_b", md5_bucket(key)).where(F.col("_b") / F.lit(10_000.0) < F.lit(float(n)) / total)
-    if n <= TOP_K_ROWS:
-        return low.orderBy("_b", key).limit(n).drop("_b")
     return with_index(low, ["_b", key], (), "_i").where(F.col("_i") < n).drop("_b", "_i")
 
 
 def sample_size(total: int, confidence: float = 0.95, margin: float = 0.03, proportion: float = 0.5) -> int:
-    """Cochran's sample size with finite population correction, between 100 and 100,000."""
+    """Cochran's sample size with finite population correction, 100 at least."""
     z = z_of(confidence)
     n0 = z * z * proportion * (1 - proportion) / margin**2
     n = n0 / (1 + (n0 - 1) / total) if total > 0 else n0
-    return min(max(100, min(math.ceil(n), 100_000)), total)
+    return min(max(100, math.ceil(n)), total)
 
 
 def margin_of_error(n: int, total: int, confidence: float = 0.95) -> float:
@@ -132,14 +128,17 @@ def margin_of_error(n: int, total: int, confidence: float = 0.95) -> float:
     return z * math.sqrt(0.25 / n) * correction
 
 
-def choose_strategy(total: int, strata: bool = False, streaming: bool = False, reproducible: bool = False) -> str:
+def choose_strategy(
+    total: int, strata: bool = False, streaming: bool = False, reproducible: bool = False, strata_from: int = 1_000, steps_from: int = 100_000
+) -> str:
+    """Strata are drawn from tables of more than ``strata_from`` rows, every k-th row of more than ``steps_from``."""
     if reproducible:
         return "deterministic"
     if streaming:
         return "reservoir"
-    if strata and total > 1000:
+    if strata and total > strata_from:
         return "stratified"
-    return "systematic" if total > 100_000 else "random"
+    return "systematic" if total > steps_from else "random"
 
 
 def adaptive_sample(

@@ -105,7 +105,7 @@ def forecast_ema(
 
 def linear_fit(df: DataFrame, order: Sequence[str], value: str, series: Sequence[str] = ()) -> DataFrame:
     """Least squares on the position 0, 1, 2, … : slope, intercept, residual deviation, r², trend."""
-    indexed = freeze(with_index(_points(df, order, value, series), list(order), series, "i"))
+    indexed = with_index(_points(df, order, value, series), list(order), series, "i")  # its layout is frozen already
     line = indexed.groupBy(*series).agg(
         F.count(F.lit(1)).alias("n"),
         F.regr_slope("v", F.col("i").cast("double")).alias("slope"),

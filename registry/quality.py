@@ -106,9 +106,9 @@ def _(spark, sf):
     return rounded(profile.quality_checks(table(spark, sf, "documents")))
 
 
-@query("quality_sample")
+@query("quality_sample", "SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice LIMIT 5000")
 def _(spark, sf):
-    return profile.quality_sample(table(spark, sf, "lineitem"), 5000)
+    return profile.quality_sample(table(spark, sf, "lineitem"), 5000, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
 
 
 @query("drop_duplicates", "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem")
@@ -241,12 +241,12 @@ def _(spark, sf):
     return rounded(clean.fix_data_quality(events, numeric=["amount"], categorical=["kind"])[1])
 
 
-@query("random_sample")
+@query("random_sample", "SELECT * FROM events ORDER BY SUBSTR(MD5('7|' || event_id), 1, 15), event_id LIMIT 500")
 def _(spark, sf):
     return sample.random_sample(table(spark, sf, "events"), 500, ["event_id"], 7)
 
 
-@query("reservoir_sample")
+@query("reservoir_sample", "SELECT * FROM events ORDER BY SUBSTR(MD5('11|' || event_id), 1, 15), event_id LIMIT 500")
 def _(spark, sf):
     return sample.reservoir_sample(table(spark, sf, "events"), 500, ["event_id"], 11)
 
@@ -290,7 +290,18 @@ def _(spark, sf):
     return sample.deterministic_sample(table(spark, sf, "events"), 500, "event_id").select("event_id")
 
 
-@query("adaptive_sample")
+@query(
+    "adaptive_sample",
+    """
+    WITH t AS (SELECT COUNT(*) AS n FROM events), z AS (SELECT n, 1.96 * 1.96 * 0.25 / (0.03 * 0.03) AS n0 FROM t),
+         w AS (SELECT n, LEAST(n, GREATEST(100, CAST(CEIL(n0 / (1 + (n0 - 1) / n)) AS BIGINT))) AS want FROM z),
+         s AS (SELECT event_type, COUNT(*) AS size FROM events GROUP BY 1),
+         q AS (SELECT SUM(LEAST(GREATEST(1, CAST(ROUND_EVEN(want * size / n::DOUBLE, 0) AS BIGINT)), size)) AS drawn FROM s, w),
+         d AS (SELECT n, CAST(CASE WHEN want >= n THEN n WHEN n > 1000 THEN LEAST(drawn, want) ELSE want END AS BIGINT) AS k FROM w, q)
+    SELECT n AS total_rows, k AS sample_size, ROUND(k / n, 6) AS sampling_rate, CASE WHEN n > 1000 THEN 'stratified' ELSE 'random' END AS strategy,
+           0.95::DOUBLE AS confidence_level, ROUND(1.96 * SQRT(0.25 / k) * SQRT((n - k) / (n - 1)), 6) AS margin_of_error FROM d
+    """,
+)
 def _(spark, sf):
     _, stats = sample.adaptive_sample(table(spark, sf, "events"), ["event_id"], stratum="event_type")
     return rounded(stats, 6)

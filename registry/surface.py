@@ -183,9 +183,9 @@ def _(spark, sf):
     return spark.read.parquet(folder)
 
 
-@query("table_preview")
+@query("table_preview", "SELECT vec_id, LEAST(LEN(embedding), 100) AS shown, (SELECT COUNT(*) FROM embeddings) AS total_rows FROM embeddings ORDER BY vec_id LIMIT 100")
 def _(spark, sf):
-    return io.table_preview(table(spark, sf, "embeddings"), 100).select("vec_id", F.size("embedding").alias("shown"), "total_rows")
+    return io.table_preview(table(spark, sf, "embeddings"), 100, ["vec_id"]).select("vec_id", F.size("embedding").alias("shown"), "total_rows")
 
 
 @query("etl", "SELECT o_orderstatus, ROUND(SUM(o_totalprice), 4) AS total FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1")
@@ -291,7 +291,7 @@ def _(spark, sf):
     return spark.read.parquet(f"{sink}/out").drop("batch")
 
 
-@query("stream_sample")
+@query("stream_sample", "SELECT * FROM events ORDER BY SUBSTR(MD5('11|' || event_id), 1, 15), event_id LIMIT 500")
 def _(spark, sf):
     sink = scratch(spark)
     done = _finish(jobs.stream_sample(event_stream(spark, sf), 500, ["event_id"], f"{sink}/state", f"{sink}/checkpoint", 11))
@@ -320,7 +320,7 @@ def run_analysis(spark, sf):
 
 @query(
     "analyze",
-    "SELECT 'orders' AS \"table\", 2 AS kpi_count, 2 AS analyzer_count, 1 AS generator_count, 1 AS error_count FROM (SELECT COUNT(*) FROM orders)",
+    "SELECT 'orders' AS \"table\", 3 AS kpi_count, 2 AS analyzer_count, 1 AS generator_count, 1 AS error_count FROM (SELECT COUNT(*) FROM orders)",
 )
 def _(spark, sf):
     return run_analysis(spark, sf).summary
