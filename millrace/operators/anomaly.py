@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.freeze import freeze
-from millrace.functions.order import join_totals, order_stats_of_counts, quantiles, value_counts
+from millrace.functions.order import join_totals, order_stats, order_stats_of_counts, quantiles, value_counts
 from millrace.operators.clean import _filled, long_form, numeric_columns, per_column
 from millrace.operators.sample import bottom_n
 
