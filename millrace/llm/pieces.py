@@ -1,8 +1,8 @@
 """N-best segmentation into the pieces of a SentencePiece model, and decoding.
 
 A text's lattice has a node per character and an edge per piece. Pieces hold white space only in front, so the
-lattice of a text is a chain of small ones, a unit each (white space and the word after it). All distinct units of
-a batch of rows are worked on together:
+lattice of a text is a chain of small ones, a unit each (white space and the word after it). All units of a batch of
+rows that the worker has not met yet are worked on together:
 
 1. forward: the Viterbi score of the best path to every node, by one vector step per character place;
 2. backward the same; an edge off the best path gives the best path that uses it, so the smallest loss of any
@@ -25,6 +25,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BATCH = 3_000_000
+_BATCH = 1_000_000
 
 
 class Vocabulary:
@@ -225,10 +226,10 @@ class Lattices:
                     continue
                 k -= 1
                 node = int(self.last[chain[k]])
-            for edge in self.by_end[self.end_start[node] : self.end_start[node + 1]].tolist():
+            for edge in self.by_end[self.end_start[node] : self.end_start[node + 1]].tolist()[::-1]:
                 source = int(self.source[edge])
                 total = tail + float(self.score[edge])
-                tick += 1
+                tick -= 1  # of equal scores the newest state first: ties are followed to the start, not fanned out
                 heappush(heap, (-(before[k] + float(self.forward[source]) + total), tick, k, source, total, ((k, edge), path)))
         return found
 
@@ -240,42 +241,76 @@ def _stretches(values: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
 
 
-def segment(texts: list[str | None], vocab: Vocabulary, n: int) -> tuple[np.ndarray, np.ndarray, list[list[tuple[float, list[tuple[int, int, list[int]]]]]]]:
+class Units:
+    """The best segmentations of the units a worker has met, up to a number of them; beyond that it starts anew."""
+
+    def __init__(self, vocab: Vocabulary, most: int = 300_000):
+        self.vocab, self.most = vocab, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.names: list[str] = []
+        self.ids = np.empty(0, np.int32)
+        self.sizes = np.empty(0, np.int64)
+        self.starts = np.empty(0, np.int64)
+        self.best = np.empty(0)
+        self.loss = np.empty(0)
+
+    def chains(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The numbers of every text's units; new units are segmented."""
+        if len(self.index) > self.most:
+            self.clear()
+        index, held = self.index, len(self.index)
+        chains = [np.array([index.setdefault(u, len(index)) for u in units_of(t or "")], np.int64) for t in texts]
+        new = list(islice(index, held, None))
+        if new:
+            lattice = Lattices(new, self.vocab)
+            ids, sizes = lattice.flat()
+            self.names += new
+            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.starts = np.cumsum(self.sizes) - self.sizes
+            self.best = np.concatenate([self.best, lattice.best])
+            self.loss = np.concatenate([self.loss, lattice.loss])
+        return chains
+
+
+Ranks = list[tuple[float, list[tuple[int, int, list[int]]]]]
+
+
+def segment(texts: list[str | None], units: Units, n: int) -> tuple[np.ndarray, np.ndarray, list[Ranks]]:
     """(ids of all texts' best segmentations, how many each has, per text [(score, changes)] by rank); a change
     is (place in the best ids, how many it takes out, the ids it puts in)."""
-    index: dict[str, int] = {}
-    chains = [np.array([index.setdefault(u, len(index)) for u in units_of(t or "")], np.int64) for t in texts]
-    if not index:
-        return np.empty(0, np.int64), np.zeros(len(texts), np.int64), [[(0.0, [])] for _ in texts]
-    lattice = Lattices(list(index), vocab)
-    flat, sizes = lattice.flat()
-    starts = np.cumsum(sizes) - sizes
-    chain = np.concatenate(chains)
+    chains = units.chains(texts)
+    sizes = units.sizes
+    chain = np.concatenate([np.empty(0, np.int64), *chains])
     counts = sizes[chain]
-    total = int(counts.sum())
-    gather = np.repeat(starts[chain] - (np.cumsum(counts) - counts), counts) + np.arange(total)
-    lengths, ranked, at = np.zeros(len(texts), np.int64), [], 0
-    for i, c in enumerate(chains):
-        places = np.cumsum(sizes[c]) - sizes[c]
-        lengths[i] = sizes[c].sum()
-        best = float(lattice.best[c].sum())
-        ranks: list[tuple[float, list[tuple[int, int, list[int]]]]] = [(best, [])]
-        if n > 1 and len(c):
-            loss = lattice.loss[c]
-            pick = np.argsort(loss, kind="stable")[: n - 1] if len(c) <= n else np.argpartition(loss, n - 2)[: n - 1]
-            opened = np.sort(pick[np.isfinite(loss[pick])])
-            if len(opened):
-                units = c[opened].tolist()
-                own = [lattice.path[lattice.path_start[u] : lattice.path_start[u] + lattice.path_size[u]].tolist() for u in units]
-                base = sum(float(lattice.best[u]) for u in units)
-                paths = lattice.others(units, n)
-                paths = [p for p in paths if p[1] != own][: n - 1]
-                for score, split in paths:
-                    changes = [(int(places[o]), int(sizes[u]), lattice.tokens(e)) for o, u, e, mine in zip(opened, units, split, own, strict=True) if e != mine]
-                    ranks.append((best - base + score, changes))
+    gather = np.repeat(units.starts[chain] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+    lengths = np.array([int(sizes[c].sum()) for c in chains], np.int64)
+    opened = []  # per text, the places of the units that may differ
+    for c in chains:
+        loss = units.loss[c]
+        pick = np.arange(len(c)) if len(c) < n else np.argpartition(loss, n - 2)[: n - 1] if n > 1 else np.empty(0, np.int64)
+        opened.append(np.sort(pick[np.isfinite(loss[pick])]))
+    numbers = sorted({u for c, o in zip(chains, opened, strict=True) for u in c[o].tolist()}) if n > 1 else []
+    lattice = Lattices([units.names[u] for u in numbers], units.vocab) if numbers else None
+    local = {u: i for i, u in enumerate(numbers)}
+    ranked: list[Ranks] = []
+    for c, places in zip(chains, opened, strict=True):
+        best = float(units.best[c].sum())
+        ranks: Ranks = [(best, [])]
+        if n > 1 and len(places):
+            held = [local[u] for u in c[places].tolist()]
+            own = [lattice.path[lattice.path_start[u] : lattice.path_start[u] + lattice.path_size[u]].tolist() for u in held]
+            base = sum(float(lattice.best[u]) for u in held)
+            paths = [p for p in lattice.others(held, n) if p[1] != own][: n - 1]
+            before = np.cumsum(sizes[c]) - sizes[c]
+            for score, split in paths:
+                changes = [(int(before[o]), int(sizes[c[o]]), lattice.tokens(e)) for o, e, mine in zip(places.tolist(), split, own, strict=True) if e != mine]
+                ranks.append((best - base + score, changes))
         ranked.append(ranks)
-        at += len(c)
-    return flat[gather], lengths, ranked
+    return units.ids[gather], lengths, ranked
 
 
 CHANGE = "array<struct<at:int,removed:int,ids:array<int>>>"
@@ -283,11 +318,13 @@ _CHANGE = pa.list_(pa.struct([("at", pa.int32()), ("removed", pa.int32()), ("ids
 
 
 def encode(df: DataFrame, model: str, n: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per text and rank: (``key``, rank, score, n_ids, ids, changes, text_crc32). The best segmentation
-    comes with its ``ids``; the others with their ``changes`` to the best's, which ``expand`` turns into ids."""
+    """One row per text and rank: (``key``, rank, score, n_ids, ids, changes, text_crc32, decoded_crc32). The best
+    segmentation comes with its ``ids``; the others with their ``changes`` to the best's, which ``expand`` turns into
+    ids. The checksums are of the text and of what the ids decode to; they differ where a text holds the mark that
+    stands for a blank, or bytes that are no UTF-8."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(model)
+        units, pieces = Units(vocabulary(model)), piece_bytes(vocabulary(model))
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             at = 0
@@ -297,7 +334,7 @@ def encode(df: DataFrame, model: str, n: int = 4, key: str = "doc_id", text: str
                     size += len(texts[until] or "")
                     until += 1
                 part = texts[at:until]
-                ids, lengths, ranked = segment(part, vocab, n)
+                ids, lengths, ranked = segment(part, units, n)
                 per = np.array([len(r) for r in ranked])
                 owner = np.repeat(np.arange(len(part)), per)
                 first = np.concatenate([[0], np.cumsum(per)[:-1]])
@@ -311,6 +348,8 @@ def encode(df: DataFrame, model: str, n: int = 4, key: str = "doc_id", text: str
                 n_ids = lengths[owner] + np.array([sum(len(c["ids"]) - c["removed"] for c in cs or ()) for cs in changes], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(held)]).astype(np.int32)
                 crc = np.array([zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in part])
+                ends = np.cumsum(lengths)
+                back = np.array([zlib.crc32(decoded(ids[e - x : e], pieces).encode("utf-8", "surrogatepass")) for e, x in zip(ends.tolist(), lengths.tolist(), strict=True)])
                 yield pa.RecordBatch.from_arrays(
                     [
                         keys.take(pa.array(owner + at)),
@@ -320,13 +359,14 @@ def encode(df: DataFrame, model: str, n: int = 4, key: str = "doc_id", text: str
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)), mask=pa.array(absent)),
                         pa.array(changes, _CHANGE),
                         pa.array(crc[owner], pa.int64()),
+                        pa.array(back[owner], pa.int64()),
                     ],
-                    ["doc_id", "rank", "score", "n_ids", "ids", "changes", "text_crc32"],
+                    ["doc_id", "rank", "score", "n_ids", "ids", "changes", "text_crc32", "decoded_crc32"],
                 )
                 at = until
 
     kind = dict(df.dtypes)[key]
-    encoded = df.select(key, text).mapInArrow(run, f"doc_id {kind}, rank int, score double, n_ids long, ids array<int>, changes {CHANGE}, text_crc32 long")
+    encoded = df.select(key, text).mapInArrow(run, f"doc_id {kind}, rank int, score double, n_ids long, ids array<int>, changes {CHANGE}, text_crc32 long, decoded_crc32 long")
     return encoded.withColumnRenamed("doc_id", key)
 
 
@@ -339,15 +379,21 @@ def expand(best: list[int], changes: list[tuple[int, int, list[int]]] | None) ->
     return out + list(best[at:])
 
 
+def piece_bytes(vocab: Vocabulary) -> dict[int, bytes]:
+    return {i: p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for i, p in vocab.text.items()} | {i: bytes([b]) for b, i in enumerate(vocab.byte_ids or ())}
+
+
+def decoded(ids: np.ndarray, pieces: dict[int, bytes]) -> str:
+    get = pieces.get
+    return b"".join([get(i, b"") for i in ids.tolist()]).decode("utf-8", "replace").removeprefix(" ")
+
+
 def decode(ids: Column, model: str) -> Column:
     """Text of an array of ids; null stays null. Ids of no piece give nothing; broken bytes U+FFFD."""
 
     @F.pandas_udf("string")
     def texts(arrays: pd.Series) -> pd.Series:
-        vocab = vocabulary(model)
-        raw = {i: p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for i, p in vocab.text.items()}
-        raw |= {i: bytes([b]) for b, i in enumerate(vocab.byte_ids or ())}
-        get = raw.get
-        return pd.Series([None if a is None else b"".join([get(i, b"") for i in a.tolist()]).decode("utf-8", "replace").removeprefix(" ") for a in arrays])
+        pieces = piece_bytes(vocabulary(model))
+        return pd.Series([None if a is None else decoded(a, pieces) for a in arrays])
 
     return texts(ids)
