@@ -64,6 +64,48 @@ URL_RULES = (
 )
 
 
+def _host(url: str) -> str:
+    return f"COALESCE(TRANSLATE(REGEXP_EXTRACT({_rest(url)}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+
+
+def _path(url: str) -> str:
+    return f"COALESCE(REGEXP_EXTRACT({_rest(url)}, '^[^/?#]*([^?#]*)', 1), '')"
+
+
+def _rest(url: str) -> str:
+    return f"CASE WHEN INSTR({url}, '://') > 0 THEN SUBSTR({url}, INSTR({url}, '://') + 3) END"
+
+
+_FITS = " ".join(
+    f"WHEN (host = '{r.host}' OR ENDS_WITH(host, '.{r.host}')) AND STARTS_WITH(path, '{r.path}') THEN '{r.verdict} {r.name}'"
+    for r in sorted(URL_RULES, key=lambda r: -len(r.name))
+)
+ORACLES["op4_redirect_equivalence"] = rf"""
+WITH RECURSIVE
+t AS (SELECT url, UNNEST(REGEXP_EXTRACT_ALL(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages),
+l AS (SELECT url, CASE WHEN REGEXP_MATCHES(tag, '(?is)\brel\s*=\s*["'']?canonical\b') THEN REGEXP_EXTRACT(tag, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1)
+                       WHEN REGEXP_MATCHES(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')
+                       THEN REGEXP_EXTRACT(tag, '(?is)\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*[''"]?\s*([^"''\s>]+)', 1) END AS link FROM t),
+s AS (SELECT url, link, SPLIT_PART(url, '://', 1) AS scheme, {_host("url")} AS host, REGEXP_EXTRACT({_path("url")}, '^.*/') AS folder FROM l WHERE link <> ''),
+e AS (SELECT url AS a, CASE WHEN REGEXP_MATCHES(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN STARTS_WITH(link, '//') THEN scheme || ':' || link
+                            WHEN STARTS_WITH(link, '/') THEN scheme || '://' || host || link
+                            ELSE scheme || '://' || host || CASE WHEN folder = '' THEN '/' ELSE folder END || link END AS b FROM s),
+every AS (SELECT url AS u FROM pages UNION SELECT a FROM e UNION SELECT b FROM e),
+n AS (SELECT u, {_host("u")} AS host, {_path("u")} AS path, REGEXP_REPLACE({_rest("u")}, '(?s)#.*$', '') AS rest FROM every WHERE u IS NOT NULL),
+q AS (SELECT *, CASE {_FITS} END AS rule,
+        ARRAY_TO_STRING(LIST_FILTER(STRING_SPLIT(CASE WHEN INSTR(rest, '?') > 0 THEN SUBSTR(rest, INSTR(rest, '?') + 1) END, '&'),
+                                    lambda x: x <> '' AND NOT REGEXP_MATCHES(x, '^(?i:utm_[a-z]+|gclid|fbclid)=')), '&') AS kept FROM n),
+k AS (SELECT u, host, path, rule, REGEXP_REPLACE(host, ':(80|443)$', '') || CASE WHEN path = '' THEN '/' ELSE path END
+                                  || CASE WHEN COALESCE(kept, '') <> '' THEN '?' || kept ELSE '' END AS key FROM q WHERE rest IS NOT NULL),
+both_ways AS (SELECT x.key AS a, y.key AS b FROM e JOIN k x ON x.u = e.a JOIN k y ON y.u = e.b UNION SELECT y.key, x.key FROM e JOIN k x ON x.u = e.a JOIN k y ON y.u = e.b),
+reach AS (SELECT DISTINCT key AS a, key AS b FROM k UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.b),
+said AS (SELECT a, BOOL_OR(rule LIKE 'block %') AS blocks, BOOL_OR(rule LIKE 'allow %') AS allows FROM reach JOIN k ON k.key = reach.b GROUP BY a)
+SELECT page_id, COALESCE(k.host, '') AS host, COALESCE(k.path, '') AS path, SPLIT_PART(k.rule, ' ', 2) AS rule,
+       COALESCE(SPLIT_PART(k.rule, ' ', 1), CASE WHEN blocks AND NOT COALESCE(allows, FALSE) THEN 'block' END, 'allow') AS verdict
+FROM pages LEFT JOIN k ON k.u = pages.url LEFT JOIN said ON said.a = k.key
+"""
+
+
 @query
 def op4_redirect_equivalence(spark, sf):
     """Every page's address, judged by the rules and by what its canonical links and refresh tags connect it to."""
@@ -154,3 +196,17 @@ def op6_induced_sorting(spark, sf):
     """What is left of every document without the 400-byte strings that occur twice or more."""
     done = suffixes.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
     return done.select("doc_id", *[F.col("repeats")[c].alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
+
+
+ORACLES["op8_lsh_forest"] = r"""
+WITH RECURSIVE
+d AS (SELECT doc_id, LIST_FILTER(STRING_SPLIT_REGEX(TRANSLATE(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN LEN(w) = 0 THEN [] WHEN LEN(w) < 3 THEN [ARRAY_TO_STRING(w, ' ')]
+                          ELSE LIST_DISTINCT(LIST_TRANSFORM(RANGE(1, LEN(w) - 1), lambda i: ARRAY_TO_STRING(w[i:i + 2], ' '))) END AS g FROM d),
+u AS (SELECT doc_id, UNNEST(g) AS x FROM s),
+p AS (SELECT l.doc_id AS a, r.doc_id AS b, COUNT(*) AS n FROM u l JOIN u r ON l.x = r.x AND l.doc_id <> r.doc_id GROUP BY 1, 2),
+e AS (SELECT p.a, p.b FROM p JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p.b WHERE 100 * n >= 85 * (LEN(x.g) + LEN(y.g) - n)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT doc_id, LEN(g) AS n_shingles, MIN(b) AS component_id, doc_id = MIN(b) AS kept FROM s JOIN r ON r.a = doc_id GROUP BY doc_id, g
+"""
