@@ -68,17 +68,21 @@ def _plain(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, TAG, " "), r"\s+", " "))
 
 
-def page_summary(df: DataFrame, key: str, html: str) -> DataFrame:
-    """Title (100 letters), first ten headings (50 letters each), element counts and the plain text."""
+def page_summary(
+    df: DataFrame, key: str, html: str, title_length: int | None = None, most_headings: int | None = None, heading_length: int | None = None
+) -> DataFrame:
+    """Title, headings, element counts and the plain text; whole unless a length or number is given."""
+    cut = lambda c, n: c if n is None else F.substring(c, 1, n)
     source = F.col(html)
     strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    title = F.substring(strip(F.regexp_extract(source, TITLE, 1)), 1, 100)
-    headings = F.slice(F.regexp_extract_all(source, F.lit(HEADING), F.lit(1)), 1, 10)
+    title = cut(strip(F.regexp_extract(source, TITLE, 1)), title_length)
+    headings = F.regexp_extract_all(source, F.lit(HEADING), F.lit(1))
+    headings = headings if most_headings is None else F.slice(headings, 1, most_headings)
     count = lambda pattern: F.regexp_count(source, F.lit(pattern))
     return df.select(
         key,
         F.when(F.regexp_like(source, F.lit(TITLE)), title).alias("title"),
-        F.transform(headings, lambda h: F.substring(strip(h), 1, 50)).alias("headings"),
+        F.transform(headings, lambda h: cut(strip(h), heading_length)).alias("headings"),
         count("(?i)<table").alias("tables"),
         count("(?i)<img").alias("images"),
         count("(?i)<a ").alias("links"),

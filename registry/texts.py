@@ -224,8 +224,8 @@ PLAIN = r"TRIM(REGEXP_REPLACE(REGEXP_REPLACE({h}, '<[^>]+>', ' ', 'g'), '\s+', '
 @query(
     "page_summary",
     rf"""
-    SELECT page_id, SUBSTR(TRIM(REGEXP_EXTRACT(html, '(?is)<title[^>]*>(.*?)</title>', 1)), 1, 100) AS title,
-           ARRAY_TO_STRING(LIST_TRANSFORM(REGEXP_EXTRACT_ALL(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1)[1:10], lambda h: SUBSTR(TRIM(h), 1, 50)), '|') AS headings,
+    SELECT page_id, TRIM(REGEXP_EXTRACT(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title,
+           ARRAY_TO_STRING(LIST_TRANSFORM(REGEXP_EXTRACT_ALL(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1), lambda h: TRIM(h)), '|') AS headings,
            LEN(REGEXP_EXTRACT_ALL(html, '(?i)<table')) AS tables, LEN(REGEXP_EXTRACT_ALL(html, '(?i)<img')) AS images,
            LEN(REGEXP_EXTRACT_ALL(html, '(?i)<a ')) AS links, {PLAIN.format(h="html")} AS text
     FROM pages
