@@ -34,8 +34,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 400-byte strings that occur more than once; those with nothing left go."""
-    cut = suffixes.remove_repeats(docs, out="_repeats", with_text=True)
+    """Documents without the passages of more than 50 words, or of 400 bytes, that occur more than once; those
+    with nothing left go."""
+    cut = suffixes.remove_repeats(docs, out="_repeats", with_text=True, words=51)
     removed, kept = F.col("_repeats.n_removed") > 0, F.col("_repeats.kept")
     left = cut.where(~removed | (F.btrim(kept, F.lit(rules.WHITE)) != ""))
     return with_text(left, F.when(removed, kept).otherwise(F.col("text"))).select(*docs.columns)

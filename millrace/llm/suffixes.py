@@ -19,11 +19,15 @@ another, is removed; all occurrences go.
    by one by a 128-bit hash, with partial sums, so a hot gram is no one task's work.
 
 Null texts count as empty; texts shorter than ``width`` lose nothing. Matches never cross documents.
+
+The same steps also find repeated runs of words, whatever their bytes: a word (what white space parts) becomes a
+symbol of 8 bytes, the hash of its bytes, and all places and lengths count symbols.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -35,11 +39,15 @@ from pyspark.sql import functions as F
 from millrace.functions.freeze import freeze, shared_folder
 
 WIDTH, GRAM, CORES = 400, 64, 8
+#: Words of a gram where words are counted, and bytes of a word's symbol.
+WORD_GRAM, WORD_BYTES = 12, 8
 #: Bytes of one shard's array, and of a gram's segments beyond which its windows are counted one by one.
 SHARD_BYTES, GRAM_BYTES = 1_000_000, 2_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_TYPES = {1: np.uint8, WORD_BYTES: np.uint64}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -53,10 +61,34 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 _BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * _MIX)
 
 
+class Words:
+    """Words as symbols; the symbols of common words are kept."""
+
+    def __init__(self, most: int = 500_000):
+        self.most, self.known = most, {}
+
+    def __call__(self, raw: bytes) -> bytes:
+        if len(self.known) > self.most:
+            self.known = {}
+        known, out = self.known, []
+        for word in raw.split():
+            symbol = known.get(word)
+            if symbol is None:
+                symbol = known[word] = hashlib.blake2b(word, digest_size=WORD_BYTES).digest()
+            out.append(symbol)
+        return b"".join(out)
+
+
+def word_bytes(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Byte ranges of ranges of words."""
+    places = [m.span() for m in _WORD.finditer(raw)]
+    return [(places[a][0], places[b - 1][1]) for a, b in spans]
+
+
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of the ``gram`` bytes from every position on, built from those of its halves."""
+    """A hash of the ``gram`` symbols from every position on, built from those of its halves."""
     done, width, rest = None, 0, gram
-    part, span, factor = _BYTES[data], 1, int(_MIX)
+    part, span, factor = _BYTES[data] if data.dtype == np.uint8 else data, 1, int(_MIX)
     while rest:
         if rest & 1:
             if done is None:
@@ -85,12 +117,13 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def runs_of(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, ...]:
+def runs_of(texts: list[bytes], width: int, gram: int, unit: int = 1) -> tuple[np.ndarray, ...]:
     """Runs of windows that pick the same occurrence of a gram: number of the text, first window's place in
-    it and in the joined bytes, number of windows, hash of the gram, its distance from the first window."""
-    sizes = np.array([len(t) for t in texts])
+    it and in the joined texts, number of windows, hash of the gram, its distance from the first window. All
+    are counted in symbols of ``unit`` bytes."""
+    sizes = np.array([len(t) // unit for t in texts])
     ends = np.cumsum(sizes)
-    data = np.frombuffer(b"".join(texts), np.uint8)
+    data = np.frombuffer(b"".join(texts), _TYPES[unit])
     if len(data) < width:
         return (np.empty(0, np.int64),) * 6
     hashes = gram_hashes(data, gram)
@@ -200,22 +233,28 @@ def permuted_prefixes(s: list[int], order: list[int]) -> tuple[list[int], list[i
     return before, shared
 
 
-def repeated_windows(segments: list[bytes], width: int) -> list[np.ndarray]:
+def repeated_windows(segments: list[bytes], width: int, unit: int = 1) -> list[np.ndarray]:
     """Per segment, a mask over its window starts: whether the window starts anywhere else in the segments."""
-    count = len(segments)
+    count, kinds = len(segments), 256
+    held = np.frombuffer(b"".join(segments), _TYPES[unit])
+    if unit > 1:
+        met, held = np.unique(held, return_inverse=True)
+        kinds = len(met)
+    held = (held.astype(np.int64) + count + 1).tolist()
     s: list[int] = []
-    starts = []
+    starts, at = [], 0
     for k, seg in enumerate(segments):
         starts.append(len(s))
-        s.extend((np.frombuffer(seg, np.uint8).astype(np.int64) + count + 1).tolist())
+        s.extend(held[at : at + len(seg) // unit])
         s.append(k + 1)
+        at += len(seg) // unit
     s.append(0)
-    before, shared = permuted_prefixes(s, suffix_array(s, count + 257))
+    before, shared = permuted_prefixes(s, suffix_array(s, count + kinds + 1))
     hit = np.flatnonzero(np.array(shared) >= width)
     mark = np.zeros(len(s), bool)
     mark[hit] = True
     mark[np.array(before)[hit]] = True
-    return [mark[a : a + len(seg) - width + 1] for a, seg in zip(starts, segments, strict=True)]
+    return [mark[a : a + len(seg) // unit - width + 1] for a, seg in zip(starts, segments, strict=True)]
 
 
 def ranges(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -227,7 +266,7 @@ def ranges(mask: np.ndarray) -> list[tuple[int, int]]:
 RANGES = "seg binary, ranges array<struct<lo:int,hi:int>>"
 
 
-def _with_partners(found: DataFrame, width: int, gram: int, cores: int) -> DataFrame:
+def _with_partners(found: DataFrame, width: int, gram: int, cores: int, unit: int) -> DataFrame:
     """The segments that share a core with another one."""
     places = core_places(width, gram, cores)
 
@@ -236,7 +275,7 @@ def _with_partners(found: DataFrame, width: int, gram: int, cores: int) -> DataF
             out = []
             for seg, at, raw in zip(frame["seg"], frame["pick"], frame["bytes"], strict=True):
                 for i, (before, after) in enumerate(places):
-                    a, b = at - before, at + gram + after
+                    a, b = (at - before) * unit, (at + gram + after) * unit
                     if a >= 0 and b <= len(raw):
                         out.append((seg, hashlib.blake2b(raw[a:b], digest_size=16, salt=i.to_bytes(2, "big")).digest()))
             if out:
@@ -248,7 +287,7 @@ def _with_partners(found: DataFrame, width: int, gram: int, cores: int) -> DataF
     return found.join(having, "seg", "left_semi")
 
 
-def _shards(rows: DataFrame, width: int, shard_bytes: int) -> DataFrame:
+def _shards(rows: DataFrame, width: int, shard_bytes: int, unit: int) -> DataFrame:
     """(seg, ranges) out of (gram, seg, bytes): a shard is a stretch of a partition sorted by gram."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,7 +295,7 @@ def _shards(rows: DataFrame, width: int, shard_bytes: int) -> DataFrame:
         now, size = None, 0
 
         def done():
-            masks = repeated_windows([b for _, b in held], width)
+            masks = repeated_windows([b for _, b in held], width, unit)
             found = [(seg, ranges(m)) for (seg, _), m in zip(held, masks, strict=True)]
             return pd.DataFrame([(g, r) for g, r in found if r], columns=["seg", "ranges"])
 
@@ -277,13 +316,13 @@ def _shards(rows: DataFrame, width: int, shard_bytes: int) -> DataFrame:
     return laid.mapInPandas(run, RANGES)
 
 
-def _counted(rows: DataFrame, width: int) -> DataFrame:
+def _counted(rows: DataFrame, width: int, unit: int) -> DataFrame:
     """(seg, ranges) by counting every window's hash."""
 
     def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for seg, raw in zip(frame["seg"], frame["bytes"], strict=True):
-                hashes = [hashlib.blake2b(raw[i : i + width], digest_size=16).digest() for i in range(len(raw) - width + 1)]
+                hashes = [hashlib.blake2b(raw[i * unit : (i + width) * unit], digest_size=16).digest() for i in range(len(raw) // unit - width + 1)]
                 yield pd.DataFrame({"seg": [seg] * len(hashes), "at": range(len(hashes)), "window": hashes})
 
     found = freeze(rows.select("seg", "bytes").mapInPandas(windows, "seg binary, at int, window binary"))
@@ -292,36 +331,57 @@ def _counted(rows: DataFrame, width: int) -> DataFrame:
     return hits.select("seg", F.transform("ats", lambda i: F.struct(i.alias("lo"), i.alias("hi"))).alias("ranges"))
 
 
-def repeats(docs: DataFrame, text: str, width: int = WIDTH, gram: int = GRAM, cores: int = CORES, shard_bytes: int = SHARD_BYTES, gram_bytes: int = GRAM_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): one row per distinct text (text_key, text, copies), and per text with repeats the sorted
-    byte ranges (text_key, spans) whose windows also start elsewhere."""
+def distinct_texts(docs: DataFrame, text: str) -> DataFrame:
+    """One row per distinct text (text_key, text, copies), bucketed by text."""
     spark = docs.sparkSession
-    if gram > width:
-        raise ValueError("a gram cannot be longer than a window")
     body = F.coalesce(F.col(text), F.lit(""))
     distinct = docs.select(F.md5(body).alias("text_key"), body.alias("text")).groupBy("text_key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     name, parts = f"texts_{uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct.write.bucketBy(parts, "text_key").sortBy("text_key").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
-    texts = spark.table(name)
+    return spark.table(name)
+
+
+def _cut_out(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(gram, seg, pick, bytes) of the wanted segments, which are ranges of words."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coded = Words()
+        for frame in frames:
+            for text, asked in zip(frame["text"], frame["asked"], strict=True):
+                raw = coded(text.encode("utf-8", "surrogatepass"))
+                rows = [(x["gram"], x["seg"], x["pick"], raw[x["at"] * WORD_BYTES : (x["at"] + x["n"] + width - 1) * WORD_BYTES]) for x in asked]
+                yield pd.DataFrame(rows, columns=["gram", "seg", "pick", "bytes"])
+
+    asked = wanted.groupBy("text_key").agg(F.collect_list(F.struct("gram", "seg", "pick", F.col("at").cast("int").alias("at"), "n")).alias("asked"))
+    return texts.join(asked, "text_key").select("text", "asked").mapInPandas(run, "gram long, seg binary, pick int, bytes binary")
+
+
+def repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, cores: int = CORES, shard_bytes: int = SHARD_BYTES, gram_bytes: int = GRAM_BYTES, unit: int = 1) -> DataFrame:
+    """Per text with repeats the sorted ranges (text_key, spans) whose windows also start elsewhere, in bytes
+    or, with a ``unit`` of ``WORD_BYTES``, in words."""
+    if gram > width:
+        raise ValueError("a gram cannot be longer than a window")
+    words = unit == WORD_BYTES
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coded = Words() if words else bytes
         for frame in frames:
             at = 0
             while at < len(frame):
                 until, size, raw = at, 0, []
                 while until < len(frame) and size < 400_000:
-                    raw.append(frame["text"].iat[until].encode("utf-8", "surrogatepass"))
+                    raw.append(coded(frame["text"].iat[until].encode("utf-8", "surrogatepass")))
                     size += len(raw[-1])
                     until += 1
-                owner, place, start, count, hashes, picks = runs_of(raw, width, gram)
+                owner, place, start, count, hashes, picks = runs_of(raw, width, gram, unit)
                 data = b"".join(raw)
-                segs = [hashlib.blake2b(data[s : s + c + width - 1], digest_size=16).digest() for s, c in zip(start.tolist(), count.tolist(), strict=True)]
+                segs = [hashlib.blake2b(data[s * unit : (s + c + width - 1) * unit], digest_size=16).digest() for s, c in zip(start.tolist(), count.tolist(), strict=True)]
                 rows = frame.iloc[at:until].iloc[owner]
                 if len(rows):
                     yield pd.DataFrame({"text_key": rows["text_key"].to_numpy(), "copies": rows["copies"].to_numpy(), "at": place, "n": count, "gram": hashes, "pick": picks, "seg": segs})
                 at = until
 
-    long_ones = texts.where(F.octet_length("text") >= width)
+    long_ones = texts.where(F.octet_length("text") >= (2 * width - 1 if words else width))
     runs = long_ones.select("text_key", "text", "copies").mapInPandas(run, "text_key string, copies long, at long, n int, gram long, pick int, seg binary")
     # The runs are cheap to find and many: they are found twice rather than stored.
     twice = freeze(runs.groupBy("gram").agg(F.sum("copies").alias("met")).where("met > 1").select("gram"))
@@ -332,45 +392,58 @@ def repeats(docs: DataFrame, text: str, width: int = WIDTH, gram: int = GRAM, co
     grams = freeze(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
     wanted = classes.join(grams, "gram").select("gram", "seg", "n", "pick", "first.text_key", "first.at")
     raw = F.substring(F.col("text").cast("binary"), (F.col("at") + 1).cast("int"), F.col("n") + (width - 1))
-    found = freeze(texts.select("text_key", "text").join(wanted, "text_key").select("gram", "seg", "pick", raw.alias("bytes")))
-    left = freeze(_with_partners(found, width, gram, cores))
+    if words:
+        found = freeze(_cut_out(texts.select("text_key", "text"), wanted, width))
+    else:
+        found = freeze(texts.select("text_key", "text").join(wanted, "text_key").select("gram", "seg", "pick", raw.alias("bytes")))
+    left = freeze(_with_partners(found, width, gram, cores, unit))
     sizes = left.groupBy("gram").agg(F.sum(F.length("bytes")).alias("held"))
     found = left.join(sizes.hint("merge"), "gram")
-    shared = _shards(found.where(F.col("held") <= gram_bytes), width, shard_bytes)
+    shared = _shards(found.where(F.col("held") <= gram_bytes), width, shard_bytes, unit)
     hot = found.where(F.col("held") > gram_bytes)
     if not hot.isEmpty():
-        shared = shared.union(_counted(hot, width))
+        shared = shared.union(_counted(hot, width, unit))
     whole = F.array(F.struct(F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi")))
     known = classes.where("met > 1").select("seg", whole.alias("ranges"))
     hits = freeze(known.union(shared.join(known.select("seg"), "seg", "left_anti")))
     placed = met.select("text_key", "at", "seg").join(hits, "seg").select("text_key", "at", F.explode("ranges").alias("r"))
     span = F.struct((F.col("at") + F.col("r.lo")).alias("start"), (F.col("at") + F.col("r.hi") + width).alias("end"))
-    return texts, placed.groupBy("text_key").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    return placed.groupBy("text_key").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
 CUT = "text_key string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, out: str = "repeats", with_text: bool = False, **options) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, out: str = "repeats", with_text: bool = False, words: int | None = None, **options) -> DataFrame:
     """Add the struct ``out`` to every row: ``n_bytes``, ``n_removed``, ``n_spans`` (maximal runs), the digest of
     the remaining bytes and, with ``with_text``, these as ``kept``. Characters that a cut leaves incomplete are
-    left out of ``kept``, not of the digest."""
-    texts, spans = repeats(docs, text, width, **options)
+    left out of ``kept``, not of the digest. With ``words``, runs of so many words that occur twice go as well,
+    however few bytes they have and whatever white space parts them."""
+    texts = distinct_texts(docs, text)
+    spans = repeats(texts, width, **options)
+    if words is None:
+        found = texts.join(spans, "text_key", "left").withColumn("word_spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    else:
+        runs = repeats(texts, words, min(words, WORD_GRAM), **{k: v for k, v in options.items() if k != "gram"}, unit=WORD_BYTES)
+        found = texts.join(spans, "text_key", "left").join(runs.withColumnRenamed("spans", "word_spans"), "text_key", "left")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for key, t, copies, found in frame.itertuples(index=False, name=None):
+            for key, t, copies, found, by_words in frame.itertuples(index=False, name=None):
                 raw = t.encode("utf-8", "surrogatepass")
                 if copies > 1 and len(raw) >= width:
                     merged = [(0, len(raw))]
                 else:
                     merged = []
-                    for s in found if found is not None else ():
-                        if merged and s["start"] <= merged[-1][1]:
-                            merged[-1] = (merged[-1][0], max(merged[-1][1], s["end"]))
+                    both = [(s["start"], s["end"]) for s in found] if found is not None else []
+                    if by_words is not None:
+                        both = sorted(both + word_bytes(raw, [(s["start"], s["end"]) for s in by_words]))
+                    for start, end in both:
+                        if merged and start <= merged[-1][1]:
+                            merged[-1] = (merged[-1][0], max(merged[-1][1], end))
                         else:
-                            merged.append((s["start"], s["end"]))
+                            merged.append((start, end))
                 at, kept = 0, []
                 for a, b in merged:
                     kept.append(raw[at:a])
@@ -379,7 +452,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, out:
                 rows.append((key, len(raw), len(raw) - len(left), len(merged), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None))
             yield pd.DataFrame(rows, columns=["text_key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    done = texts.join(spans, "text_key", "left").select("text_key", "text", "copies", "spans").mapInPandas(cut, CUT)
+    done = found.select("text_key", "text", "copies", "spans", "word_spans").mapInPandas(cut, CUT)
     fields = F.struct("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept").alias(out)
     named = done.select(F.col("text_key").alias("_text_key"), fields)
     keyed = docs.withColumn("_text_key", F.md5(F.coalesce(F.col(text), F.lit(""))))

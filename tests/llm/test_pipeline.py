@@ -69,3 +69,15 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, tmp_path):
         assert out.dtypes == docs.dtypes, name
         assert out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
+
+
+def test_repeated_passages_of_51_short_words_go_and_of_50_stay(spark, tmp_path):
+    draw = random.Random(3)
+    prose = lambda n: " ".join("".join(draw.choices("abcdefghij", k=draw.randrange(1, 6))) for _ in range(n))
+    short = lambda n: " ".join("".join(draw.choices("klmnop", k=draw.randrange(1, 4))) for _ in range(n))
+    passage, stays = short(51), short(50)
+    assert len(passage) < 400
+    texts = [f"{prose(60)} {p} {prose(70)}" for p in (passage, passage, stays, stays)] + [prose(200)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, docs, str(tmp_path)).collect()}
+    assert got == {i: t.replace(passage, "") for i, t in enumerate(texts)}

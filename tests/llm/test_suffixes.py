@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -79,3 +80,37 @@ def test_matches_brute_force(spark, options):
 
 def test_empty_table(spark):
     assert suffixes.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def brute_words(texts, width, words):
+    """What is left if both the repeated strings of ``width`` bytes and the repeated runs of ``words`` words go."""
+    raws = [(t or "").encode() for t in texts]
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", r)] for r in raws]
+    runs = [[tuple(r[a:b] for a, b in p[i : i + words]) for i in range(len(p) - words + 1)] for r, p in zip(raws, places, strict=True)]
+    met = Counter(r[i : i + width] for r in raws for i in range(len(r) - width + 1))
+    met_runs = Counter(run for found in runs for run in found)
+    out = []
+    for r, p, found in zip(raws, places, runs, strict=True):
+        gone = np.zeros(len(r), bool)
+        for i in range(len(r) - width + 1):
+            if met[r[i : i + width]] > 1:
+                gone[i : i + width] = True
+        for i, run in enumerate(found):
+            if met_runs[run] > 1:
+                gone[p[i][0] : p[i + words - 1][1]] = True
+        out.append(bytes(b for b, g in zip(r, gone, strict=True) if not g))
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"shard_bytes": 300}, {"gram_bytes": 100}, {"cores": 1}])
+def test_runs_of_words_match_brute_force(spark, options):
+    draw = random.Random(12)
+    prose = lambda n: "".join(draw.choice(["a", "of", "thé", "lantern", "x1"]) + draw.choice([" ", " ", "\n", "  ", "\t"]) for _ in range(n))
+    passages = [prose(n) for n in (5, 6, 9, 15, 40)]
+    texts = [None, "", " ", "a " * 40, prose(300), prose(6)]
+    texts += [prose(draw.randrange(8)) + draw.choice(passages) + prose(draw.randrange(8)) + draw.choice(passages).replace(" ", "\n") for _ in range(60)]
+    texts += [texts[10]] * 3
+    df = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], SCHEMA)
+    done = suffixes.remove_repeats(df, **{"width": 60, "gram": 16, "words": 9, **options})
+    got = {r.doc_id: r.repeats.kept_sha256 for r in done.collect()}
+    assert [got[i] for i in range(len(texts))] == [hashlib.sha256(k).hexdigest() for k in brute_words(texts, 60, 9)]
