@@ -167,14 +167,17 @@ def lookup(spark: SparkSession, folder: str, wanted: DataFrame, url: str = "url"
     firsts = sorted((r["first"], r["range"]) for r in blocks.groupBy("range").agg(F.min("first").alias("first")).collect())
     starts, ranges = [f for f, _ in firsts], [r for _, r in firsts]
 
-    @F.pandas_udf("key string, range int")
+    @F.pandas_udf("key string, ranges array<int>")
     def route(urls: pd.Series, pages: pd.Series) -> pd.DataFrame:
         keys = [sort_key(u, None if pd.isna(p) else int(p)) for u, p in zip(urls, pages, strict=True)]
-        # Equal keys lie in one range only if none of them begins the next; then the earlier one is read on.
-        return pd.DataFrame({"key": keys, "range": [ranges[max(bisect_left(starts, k + "\x00") - 1, 0)] if ranges else -1 for k in keys]})
+        # Equal keys may end one range, fill others and begin the next: from the last range that begins before
+        # the key to the last one that begins with it or before.
+        spans = [(max(bisect_left(starts, k) - 1, 0), max(bisect_right(starts, k), 1)) for k in keys]
+        return pd.DataFrame({"key": keys, "ranges": [ranges[a:b] for a, b in spans]})
 
     # Numbers go as text: a column with nulls would turn to doubles on the way.
-    keys = wanted.select(route(F.col(url), F.col(page).cast("string")).alias("k")).select("k.key", "k.range").distinct()
+    routed = wanted.select(route(F.col(url), F.col(page).cast("string")).alias("k"))
+    keys = routed.select("k.key", F.explode("k.ranges").alias("range")).distinct()
 
     def find(want: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         have = have.sort_values("number")

@@ -53,3 +53,12 @@ def test_empty_table(spark, tmp_path):
 def test_keys_sort_by_reversed_host():
     assert warc.key_of("http://www.A.com/X") == "com,a,www)/X"
     assert warc.sort_key("http://a.com/", 5) < warc.sort_key("http://a.com/", 10) < warc.sort_key("http://b.com/", 1)
+
+
+def test_equal_keys_over_several_ranges_are_all_found(spark, tmp_path):
+    rows = [(7, "http://a.org/", "same")] * 40 + [(None, None, f"p{i}") for i in range(40)] + [(i, f"http://b.org/{i}", "x") for i in range(40)]
+    folder = f"file:{tmp_path}/w"
+    got = check(spark, rows, folder, lines_per_block=3)
+    found = spark.read.parquet(f"{folder}/blocks")
+    assert found.groupBy("first").agg({"range": "max"}).count() < found.select("first", "range").distinct().count()
+    assert sorted((r.page_id or -1, r.url or "", r.payload) for r in got) == sorted((p or -1, u or "", h) for p, u, h in rows)
