@@ -238,7 +238,8 @@ def calendar_fit(filled: DataFrame, series: Sequence[str] = ()) -> DataFrame:
 def forecast_calendar(
     df: DataFrame, ts: str, value: str, horizon: int = 30, freq: str = "D", series: Sequence[str] = ()
 ) -> DataFrame:
-    """Trend and season by date, month and weekday; series with fewer than 10 periods are left out."""
+    """Trend and season by date, month and weekday. Of several series, one with fewer than 10 periods gives one
+    row without a forecast, whose ``reason`` says so; a table without series that is as short gives no rows."""
     fit = calendar_fit(freeze(resample_fill(df, ts, value, freq, series)), series)
     first = F.expr("last + INTERVAL 1 DAY")
     start = _bin("first", freq)
@@ -254,11 +255,19 @@ def forecast_calendar(
     for i, f in enumerate(FEATURES):
         level = level + F.get("b", F.lit(i)) * (F.col(f) - F.col(f"m_{f}"))
     margin = F.lit(1.96) * F.col("rmse")
-    return ahead.select(
+    forecasts = ahead.select(
         *series,
         "ts",
         level.alias("forecast"),
         (level - margin).alias("lower_bound"),
         (level + margin).alias("upper_bound"),
         "rmse",
+        F.lit(None).cast("string").alias("reason"),
     )
+    if not series:
+        return forecasts
+    # Grouped, as null is a series too and a join would lose it.
+    known = fit.select(*series, F.lit(1).alias("fitted")).union(df.select(*series, F.lit(0).alias("fitted")))
+    short = known.groupBy(*series).agg(F.max("fitted").alias("fitted")).where("fitted = 0")
+    nothing = [F.lit(None).cast(forecasts.schema[c].dataType).alias(c) for c in ("ts", "forecast", "lower_bound", "upper_bound", "rmse")]
+    return forecasts.union(short.select(*series, *nothing, F.lit("fewer than 10 periods").alias("reason")))
