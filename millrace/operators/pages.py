@@ -167,20 +167,40 @@ class _Builder(HTMLParser):
 
 
 def _text(node) -> str:
-    return "".join(c if isinstance(c, str) else _text(c) for c in node.children)
+    out, left = [], [node]
+    while left:
+        at = left.pop()
+        if isinstance(at, str):
+            out.append(at)
+        else:
+            left.extend(reversed(at.children))
+    return "".join(out)
 
 
 def _source(node) -> str:
-    attrs = "".join(f' {k}="{escape(v or "")}"' for k, v in node.attrs.items())
-    inner = "".join(escape(c, quote=False) if isinstance(c, str) else _source(c) for c in node.children)
-    return f"<{node.tag}{attrs}>" if node.tag in _VOID else f"<{node.tag}{attrs}>{inner}</{node.tag}>"
+    out, left = [], [(node, False)]
+    while left:
+        at, done = left.pop()
+        if done:
+            out.append(at)
+        elif isinstance(at, str):
+            out.append(escape(at, quote=False))
+        else:
+            attrs = "".join(f' {k}="{escape(v or "")}"' for k, v in at.attrs.items())
+            out.append(f"<{at.tag}{attrs}>")
+            if at.tag not in _VOID:
+                left.append((f"</{at.tag}>", True))
+                left.extend((c, False) for c in reversed(at.children))
+    return "".join(out)
 
 
 def _below(node):
-    for child in node.children:
-        if not isinstance(child, str):
-            yield child
-            yield from _below(child)
+    left = list(reversed(node.children))
+    while left:
+        at = left.pop()
+        if not isinstance(at, str):
+            yield at
+            left.extend(reversed(at.children))
 
 
 def _fits(node, step) -> bool:
