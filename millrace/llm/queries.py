@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.freeze import shared_folder
-from millrace.llm import forest, neardup, packing, pieces, rules, secrets, sharding, suffixes, urls, warc
+from millrace.llm import codes, collocations, forest, mixing, neardup, packing, pieces, rules, secrets, sharding, suffixes, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -210,3 +210,85 @@ e AS (SELECT p.a, p.b FROM p JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p
 r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
 SELECT doc_id, LEN(g) AS n_shingles, MIN(b) AS component_id, doc_id = MIN(b) AS kept FROM s JOIN r ON r.a = doc_id GROUP BY doc_id, g
 """
+
+
+_LOWER = "TRANSLATE(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op11_stripes"] = rf"""
+WITH p AS (SELECT COALESCE(lang, 'und') AS lang, UNNEST(STRING_SPLIT_REGEX({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, LIST_FILTER(STRING_SPLIT_REGEX(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, UNNEST(LIST_TRANSFORM(RANGE(1, LEN(w) - k + 2), lambda i: w[i:i + k - 1])) AS words FROM w, RANGE(1, 5) t(k) WHERE LEN(w) >= k),
+f AS (SELECT lang, k, words, ARRAY_TO_STRING(words, ' ') AS phrase, COUNT(*)::HUGEINT AS a FROM g GROUP BY ALL),
+t AS (SELECT lang, SUM(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND a >= 30),
+h AS (SELECT *, UNNEST(RANGE(1, k)) AS cut_at FROM c),
+s AS (SELECT h.lang, h.phrase, h.a, cut_at, l.a AS l, r.a AS r, 2000000 * h.a // (l.a + r.a) AS score FROM h
+      JOIN f l ON l.lang = h.lang AND l.phrase = ARRAY_TO_STRING(h.words[:cut_at], ' ') JOIN f r ON r.lang = h.lang AND r.phrase = ARRAY_TO_STRING(h.words[cut_at + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY lang, phrase ORDER BY score, cut_at) = 1),
+o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE NOT EXISTS
+      (SELECT 1 FROM c WHERE c.lang = b.lang AND c.k > LEN(STRING_SPLIT(b.phrase, ' ')) AND 100 * c.a >= 80 * b.a AND CONTAINS(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM o JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+
+@query
+def op11_stripes(spark, sf):
+    """The first 2000 collocations of every language."""
+    return collocations.collocations(table(spark, sf, "documents"), "text", "lang", least=30, percent=80, scale=2_000_000, top=2000)
+
+
+ORACLES["op12_pareto"] = r"""
+WITH d AS (SELECT doc_id, source, LEN(REGEXP_EXTRACT_ALL(COALESCE(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, SUM(size)::HUGEINT AS source_size, 1 + (ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM d GROUP BY source),
+q AS (SELECT *, 3 * source_size AS cap, (SUM(source_size) OVER ())::HUGEINT AS total,
+        COALESCE(SUM(3 * source_size) OVER o, 0)::HUGEINT AS before, (SUM(weight) OVER () - COALESCE(SUM(weight) OVER o, 0))::HUGEINT AS weights_on
+      FROM s WINDOW o AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (SELECT *, cap * weights_on < weight * (total - before) AS stops FROM q),
+o AS (SELECT MAX(total) - COALESCE(SUM(cap) FILTER (stops), 0) AS words, SUM(weight) FILTER (NOT stops) AS weights FROM m),
+t AS (SELECT source, source_size, CASE WHEN stops THEN cap::DOUBLE ELSE (weight * words)::DOUBLE / weights::DOUBLE END AS target FROM m, o),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN FLOOR(target + 0.5)::BIGINT // source_size ELSE 0 END AS whole FROM t),
+e AS (SELECT d.doc_id, d.source, d.size, r.source_size, r.target, r.whole, FLOOR(r.target + 0.5)::BIGINT - r.whole * r.source_size AS rest,
+        (('0x' || SUBSTR(MD5('12:' || COALESCE(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
+      FROM d JOIN r ON r.source IS NOT DISTINCT FROM d.source),
+k AS (SELECT *, CASE WHEN rest > 0 AND size > 0 THEN u / (1 - u) / (rest::DOUBLE / (source_size - rest)::DOUBLE * SQRT(size::DOUBLE)) END AS draw FROM e),
+x AS (SELECT *, SUM(size) OVER (PARTITION BY source ORDER BY draw NULLS LAST, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS upto FROM k)
+SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
+       (whole * size + LEAST(GREATEST(rest - (upto - size), 0), size))::BIGINT AS taken FROM x
+"""
+
+
+@query
+def op12_pareto(spark, sf):
+    """How many words of every document a mix takes in which sources weigh 1, 2, 3, and again."""
+    mixed = mixing.mix(table(spark, sf, "documents"), "doc_id", "text", "source", prefer=F.sqrt(F.col("size").cast("double")), seed=12)
+    return mixed.select("doc_id", *[F.col("mix")[c].alias(c) for c in ("size", "source_size", "target", "taken")])
+
+
+def _code_sql() -> str:
+    """Every round as a step of its own: the parts' nearest entries, then the entries' new components."""
+    flags = "LEN(LIST_FILTER(embedding, lambda x: x IS NULL OR NOT ISFINITE(x))) = 0"
+    steps = [
+        f"v AS MATERIALIZED (SELECT vec_id, label, LIST_TRANSFORM(embedding, lambda x: FLOOR(4096 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE embedding IS NOT NULL AND {flags})",
+        "p AS MATERIALIZED (SELECT vec_id, label, part, e[part * LEN(e) // 8 + 1:(part + 1) * LEN(e) // 8] AS e FROM v, RANGE(8) t(part))",
+        "c0 AS MATERIALIZED (SELECT part, ROW_NUMBER() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, e FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 16))",
+    ]
+    distance = "LIST_SUM(LIST_TRANSFORM(RANGE(1, LEN(p.e) + 1), lambda i: (p.e[i] - c.e[i]) * (p.e[i] - c.e[i])))"
+    for i in range(codes.ROUNDS + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT vec_id, label, part, ANY_VALUE(p.e) AS e, MIN({distance}::BIGINT * 16 + entry) AS found FROM p JOIN c{i} c USING (part) GROUP BY ALL)")
+        if i < codes.ROUNDS:
+            steps.append(f"s{i} AS (SELECT part, found % 16 AS entry, place, SUM(x)::BIGINT AS s, COUNT(*) AS n FROM (SELECT part, found, UNNEST(e) AS x, UNNEST(RANGE(LEN(e))) AS place FROM a{i}) GROUP BY ALL)")
+            steps.append(f"m{i} AS (SELECT part, entry, LIST((s - ((s % n) + n) % n) // n ORDER BY place) AS e FROM s{i} GROUP BY ALL)")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT part, entry, COALESCE(m.e, c.e) AS e FROM c{i} c LEFT JOIN m{i} m USING (part, entry))")
+    last = codes.ROUNDS
+    steps.append(f"r AS (SELECT vec_id, label, STRING_AGG(LPAD(FORMAT('{{:x}}', found % 16), 2, '0'), '' ORDER BY part) AS code, SUM(found // 16)::BIGINT AS error FROM a{last} GROUP BY ALL)")
+    steps.append(f"h AS (SELECT SHA256(STRING_AGG(ARRAY_TO_STRING(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{last})")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, SUM(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM r, h"
+
+
+ORACLES["op13_limb_codes"] = _code_sql()
+
+
+@query
+def op13_limb_codes(spark, sf):
+    """The product code of every vector with its error, after six rounds."""
+    coded = codes.compress(table(spark, sf, "embeddings"), "vec_id", "embedding", "label")
+    return coded.select(F.col("key").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")

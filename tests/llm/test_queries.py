@@ -20,6 +20,9 @@ COLUMNS = {
     "op7_threshold_table": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
     "op8_lsh_forest": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
     "op9_capture_index": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+    "op11_stripes": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
+    "op12_pareto": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op13_limb_codes": "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string",
     "op10_markov": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
 }
 
