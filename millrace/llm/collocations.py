@@ -43,7 +43,7 @@ from millrace.functions.order import with_index
 
 MAX_WORDS, BANDS = 4, 64
 #: Bytes of text whose stripes are built together: what a task holds at once, but for a longer single text.
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 12 << 20
 #: Entries that a merging task takes in before it adds them up.
 MERGE_ENTRIES = 2_000_000
 #: 32,768 bits for each row of the bitmap, which is the block of Spark's bitmap functions.

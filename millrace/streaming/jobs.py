@@ -1,16 +1,20 @@
 """Streaming jobs: windowed KPIs, anomalies, event validation, alerts, samples.
 
-Jobs that need the order of the rows or a state per key run per micro-batch: the batch is ranged over
-as many partitions as it needs, so a hot key is not one task's work, and the state is a small table
-written per batch. Writing a batch again replaces it, so a restart repeats nothing."""
+Running moments per key live in the state store, of which a batch touches only its own keys. Alerts and
+samples run per micro-batch: the batch is ranged over as many partitions as it needs, so a hot key is not
+one task's work, and the state (open runs, the sample) is a small table written per batch. Writing a batch
+again replaces it, so a restart repeats nothing."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
 from millrace.functions.order import join_totals, lay_out, running_sums
@@ -126,17 +130,128 @@ def running_anomalies(
     return flagged, new
 
 
-def stream_anomalies(
-    stream: DataFrame, order: Sequence[str], key: str, value: str, sink: str, state: str, checkpoint: str, z: float = 3.0, every: str | None = None
-) -> StreamingQuery:
-    """z-score of each row against the running mean and deviation of its key. Rows of a batch are put in order."""
+class RunningMoments(StatefulProcessor):
+    """Count, mean and sum of squared distances of each key, kept in the state store; scores each row against them.
+
+    Rows of a key are put in order within a micro-batch, so a task holds the order columns and values of one key of one
+    micro-batch, whose size the source's options bound. Only keys with new rows are read and written. With ``idle_ms``
+    the rows carry ``ms``, and a key is forgotten once the watermark is so far beyond its latest row."""
+
+    def __init__(self, order: list[str], z: float, idle_ms: int | None):
+        self.order, self.z, self.idle_ms = order, z, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.moments = handle, handle.getValueState("moments", "n long, mean double, m2 double")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        row = initialState.iloc[0]
+        self.moments.update((int(row["n"]), float(row["mean"]), float(row["m2"])))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows), ignore_index=True)
+        if self.idle_ms is not None:
+            self._put_off(int(frame["ms"].max()) + self.idle_ms, timerValues.getCurrentWatermarkInMs())
+        frame = frame.loc[frame["v"].notna(), [*self.order, "v"]].sort_values(self.order, kind="stable", ignore_index=True)
+        if len(frame):
+            n, mean, m2 = self.moments.get() if self.moments.exists() else (0, float(frame["v"].iloc[0]), 0.0)
+            score, means, state = moments_step(frame["v"].to_numpy(float), n, mean, m2)
+            self.moments.update(state)
+            far = score > self.z
+            if far.any():
+                found = frame[far]
+                found.insert(0, "k", key[0])
+                yield found.assign(mean=means[far], score=score[far])
+
+    def _put_off(self, until: int, watermark: int) -> None:
+        """One timer per key, at the latest time asked for."""
+        for known in list(self.handle.listTimers()):
+            until = max(until, known)
+            self.handle.deleteTimer(known)
+        self.handle.registerTimer(max(until, watermark + 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.moments.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def moments_step(values: np.ndarray, n: int, mean: float, m2: float) -> tuple[np.ndarray, np.ndarray, tuple[int, float, float]]:
+    """Scores and means of ordered values against all before them (no score before the third), and the new state.
+
+    Sums are taken of distances from the mean so far, which keeps them exact enough."""
+    d = values - mean
+    before = n + np.arange(len(values))
+    known = np.maximum(before, 1)
+    shift = (np.cumsum(d) - d) / known
+    spread = np.maximum(m2 + np.cumsum(d * d) - d * d - before * shift * shift, 0)
+    deviation = np.sqrt(spread / known)
+    score = np.abs(d - shift) / np.where(deviation == 0, 1.0, deviation)
+    total = n + len(values)
+    moved = float(d.sum()) / total
+    return np.where(before >= 2, score, -1.0), mean + shift, (total, mean + moved, max(0.0, m2 + float((d * d).sum()) - total * moved * moved))
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, off the heap and with changes per batch only."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+
+
+def scored_stream(
+    stream: DataFrame,
+    order: Sequence[str],
+    key: str,
+    value: str,
+    z: float = 3.0,
+    idle_ms: int | None = None,
+    watermark: str = "10 minutes",
+    initial: DataFrame | None = None,
+) -> DataFrame:
+    """The stream of (key, order columns, value, mean, score) of rows further than z deviations from the mean of the rows
+    of their key before them. ``initial`` (key, n, mean, m2) is what a table of the past left, from
+    ``running_anomalies``, which spreads hot keys. Rows without a value are passed over.
+
+    With ``idle_ms`` the first order column is the event time; rows later than the watermark are dropped."""
+    # Python's workers rename columns that begin with an underscore, so the rows get names of their own.
+    names = {"k": key, **{f"o{i}": c for i, c in enumerate(order)}, "v": value}
+    rows = stream.select(*[F.col(c).alias(name) for name, c in names.items()])
+    schema = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes) + ", mean double, score double"
+    if idle_ms is not None:
+        rows = rows.withColumn("at", F.col("o0").cast("timestamp")).withWatermark("at", watermark).withColumn("ms", F.unix_millis("at"))
+    processor = RunningMoments([f"o{i}" for i in range(len(order))], z, idle_ms)
+    known = None if initial is None else initial.select(F.col(key).cast(stream.schema[key].dataType).alias("k"), "n", "mean", "m2").groupBy("k")
+    found = rows.groupBy("k").transformWithStateInPandas(processor, schema, "append", "none" if idle_ms is None else "eventTime", known)
+    return found.select(*[F.col(name).alias(c) for name, c in names.items()], "mean", "score")
 
-    def job(rows: DataFrame, batch: int) -> None:
-        flagged, new = running_anomalies(rows, _state(rows.sparkSession, state, batch), order, key, value, z)
-        _out(flagged, sink, batch)
-        new.write.mode("overwrite").parquet(_slot(state, batch))
 
-    return each_batch(stream, job, checkpoint, every)
+def stream_anomalies(
+    stream: DataFrame,
+    order: Sequence[str],
+    key: str,
+    value: str,
+    sink: str,
+    checkpoint: str,
+    z: float = 3.0,
+    idle_ms: int | None = None,
+    watermark: str = "10 minutes",
+    initial: DataFrame | None = None,
+    every: str | None = None,
+) -> StreamingQuery:
+    """z-score of each row against the running mean and deviation of its key; see ``scored_stream``. A restart goes on
+    from the state of the checkpoint."""
+    with rocksdb(stream.sparkSession):
+        return start(scored_stream(stream, order, key, value, z, idle_ms, watermark, initial), sink, checkpoint, "append", every)
 
 
 def stream_validate(

@@ -258,8 +258,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     sink = scratch(spark)
-    _finish(jobs.stream_anomalies(event_stream(spark, sf), ["ts", "event_id"], "event_type", "value", f"{sink}/out", f"{sink}/state", f"{sink}/checkpoint"))
-    return rounded(spark.read.parquet(f"{sink}/out").drop("batch"))
+    _finish(jobs.stream_anomalies(event_stream(spark, sf), ["ts", "event_id"], "event_type", "value", f"{sink}/out", f"{sink}/checkpoint"))
+    return rounded(spark.read.parquet(f"{sink}/out"))
 
 
 VALID_SQL = "SELECT event_id, event_type FROM events WHERE event_type IN ('view', 'signup')"

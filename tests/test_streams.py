@@ -37,12 +37,72 @@ def run(spark, source, begin):
     return sink, done
 
 
-def test_anomalies(spark, source):
-    sink, _ = run(spark, source, lambda s, p: jobs.stream_anomalies(s, ["ts", "id"], "k", "v", f"{p}/out", f"{p}/state", f"{p}/check", 1.6))
+def far_rows(rows, z):
     w = Window.partitionBy("k").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    want = source[1].select("id", "v", F.count("v").over(w).alias("n"), F.avg("v").over(w).alias("m"), F.stddev_pop("v").over(w).alias("d"))
+    want = rows.select("id", "v", F.count("v").over(w).alias("n"), F.avg("v").over(w).alias("m"), F.stddev_pop("v").over(w).alias("d"))
     far = F.abs(F.col("v") - F.col("m")) / F.when(F.col("d") == 0, 1.0).otherwise(F.col("d"))
-    assert {r.id for r in spark.read.parquet(f"{sink}/out").collect()} == {r.id for r in want.where((F.col("n") >= 2) & (far > 1.6)).collect()}
+    return {r.id for r in want.where((F.col("n") >= 2) & (far > z)).collect()}
+
+
+def test_anomalies(spark, source):
+    sink, _ = run(spark, source, lambda s, p: jobs.stream_anomalies(s, ["ts", "id"], "k", "v", f"{p}/out", f"{p}/check", 1.6))
+    got = spark.read.parquet(f"{sink}/out")
+    assert got.columns == ["k", "ts", "id", "v", "mean", "score"]
+    assert {r.id for r in got.collect()} == far_rows(source[1], 1.6)
+    batch, _ = jobs.running_anomalies(source[1], None, ["ts", "id"], "k", "v", 1.6)
+    assert {r.id for r in batch.collect()} == far_rows(source[1], 1.6)
+
+
+def parts(spark, rows, cuts):
+    """The rows in a folder per range of ids."""
+    folders = [f"{shared_folder(spark)}/part-{uuid.uuid4().hex}" for _ in cuts]
+    for folder, (low, high) in zip(folders, cuts, strict=True):
+        rows.where(f"id >= {low} AND id < {high}").coalesce(1).write.parquet(folder)
+    return folders
+
+
+def grow(spark, folder, part):
+    spark.read.parquet(part).coalesce(1).write.mode("append").parquet(folder)
+
+
+def started(spark, folder, schema, base, **options):
+    running = jobs.stream_anomalies(jobs.file_stream(spark, folder, schema), ["ts", "id"], "k", "v", f"{base}/out", f"{base}/check", 1.6, **options)
+    running.awaitTermination()
+    return running
+
+
+def test_anomalies_go_on_after_a_restart_and_write_only_touched_keys(spark, source):
+    rows = source[1].withColumn("v", F.when(F.col("id") % 50 != 7, F.col("v")))
+    base, folder = (f"{shared_folder(spark)}/{x}-{uuid.uuid4().hex}" for x in ("restart", "growing"))
+    first, second, third = parts(spark, rows, [(0, 700), (700, 1400), (1400, 2000)])
+    for part in (first, second):
+        grow(spark, folder, part)
+        started(spark, folder, rows.schema, base)
+    assert {r.id for r in spark.read.parquet(f"{base}/out").collect()} == far_rows(rows.where("id < 1400 AND v IS NOT NULL"), 1.6)
+    spark.read.parquet(third).where("k = 'k3'").coalesce(1).write.mode("append").parquet(folder)
+    last = started(spark, folder, rows.schema, base)
+    state = last.lastProgress["stateOperators"][0]
+    assert state["numRowsUpdated"] == 1 and state["numRowsTotal"] == 12
+
+
+def test_anomalies_from_a_table_of_the_past(spark, source):
+    rows = source[1]
+    base, folder = (f"{shared_folder(spark)}/{x}-{uuid.uuid4().hex}" for x in ("seeded", "later"))
+    _, state = jobs.running_anomalies(rows.where("id < 900"), None, ["ts", "id"], "k", "v", 1.6)
+    rows.where("id >= 900").coalesce(1).write.parquet(folder)
+    started(spark, folder, rows.schema, base, initial=state)
+    assert {r.id for r in spark.read.parquet(f"{base}/out").collect()} == {i for i in far_rows(rows, 1.6) if i >= 900}
+
+
+def test_idle_keys_are_forgotten(spark, source):
+    rows = spark.createDataFrame([(i, "a", 1.0 + i % 2) for i in range(10)] + [(10, "b", 1.0), (11, "a", 99.0)], "id long, k string, v double")
+    rows = rows.withColumn("ts", F.timestamp_seconds(F.when(F.col("id") < 10, F.col("id")).otherwise(F.col("id") * 1000)))
+    for idle_ms, found in ((60_000, 0), (3_600_000_000, 1)):
+        base, folder = (f"{shared_folder(spark)}/{x}-{uuid.uuid4().hex}" for x in ("idle", "in"))
+        for part in parts(spark, rows, [(0, 10), (10, 11), (11, 12)]):
+            grow(spark, folder, part)
+            started(spark, folder, rows.schema, base, idle_ms=idle_ms, watermark="1 second")
+        assert spark.read.schema("k string, id long").parquet(f"{base}/out").count() == found
 
 
 def test_alerts(spark, source):
