@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -58,8 +59,8 @@ def tokenize(df: DataFrame, text: str, name: str = "tokens") -> DataFrame:
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, count, largest count of the text). A text without terms keeps one row without term.
 
-    Texts stay where they are: their terms are counted by the task that reads them, and only counts move."""
-    terms = df.select(key, F.explode_outer(tokens(F.col(text))).alias("term"))
+    One shuffle: terms are dealt by key, and counts and their maxima are both found where they arrive."""
+    terms = df.select(key, F.explode_outer(tokens(F.col(text))).alias("term")).repartition(key)
     counts = terms.groupBy(key, "term").agg(F.count("term").alias("count"))
     return counts.withColumn("most", F.max("count").over(Window.partitionBy(key)))
 
@@ -195,46 +196,55 @@ def top_k_similar(
     return leading(found, ["query_id"], [F.desc("score"), "id"], k, "rank")
 
 
+def _without(base: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Items of keys that are not among the others, null being a key."""
+    return base.join(gone.select(F.col(key).alias("_gone")), F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+
+
 def upsert_items(base: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
     """Items with the new ones replacing those of the same key; of several new copies the latest."""
     latest = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), version).alias("r")).select("r.*")
-    return base.join(latest.select(key), key, "left_anti").unionByName(latest.select(*base.columns))
+    return _without(base, latest, key).unionByName(latest.select(*base.columns))
 
 
 def delete_items(base: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    return base.join(gone.select(key), key, "left_anti")
-
-
-def fit_index(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(postings, vocabulary) of a corpus: (term, key, weight) with L2-normalized TF-IDF weights over all terms,
-    and (term, idf). Store both; a search then reads only the rows of its terms."""
-    counts = freeze(term_counts(df, key, text).where("term IS NOT NULL"))
-    total = df.select(F.count(F.lit(1))).scalar()
-    vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("n", total)
-    vocabulary = freeze(vocabulary.select("term", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf")))
-    raw = freeze(counts.join(vocabulary, "term").select(key, "term", (F.col("count") / F.col("most") * F.col("idf")).alias("raw")))
-    lengths = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
-    return raw.join(lengths, key).select("term", key, (F.col("raw") / F.col("length")).alias("weight")), vocabulary
-
-
-def search_index(postings: DataFrame, vocabulary: DataFrame, key: str, question: str, limit: int | None = 10) -> DataFrame:
-    """Texts that share a term with the question, by TF-IDF cosine; ``limit`` of them or all."""
-    asked = postings.sparkSession.createDataFrame([(0, question)], "qid int, question string")
-    known = term_counts(asked, "qid", "question").join(vocabulary, "term")
-    raw = known.select("qid", "term", (F.col("count") / F.col("most") * F.col("idf")).alias("raw"))
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("qid")))  # the words of one question
-    wanted = raw.select("term", (F.col("raw") / length).alias("asked"))
-    scored = postings.join(wanted, "term").groupBy(key).agg(F.round(F.sum(F.col("weight") * F.col("asked")), 6).alias("score"))
-    found = scored.where("score > 0").orderBy(F.desc("score"), key)
-    return found if limit is None else found.limit(limit)
+    return _without(base, gone, key)
+
+
+def with_idf(frequency: DataFrame, n: Column) -> DataFrame:
+    """(term, df) with ``idf``, over ``n`` texts."""
+    return frequency.withColumn("idf", F.ln((n + 1) / (F.col("df") + 1)) + 1)
+
+
+def asked_weights(known: DataFrame, question: str) -> dict[str, float]:
+    """The question's L2-normalized TF-IDF weights over the terms of ``known`` (term, idf), by what a question holds."""
+    spark = known.sparkSession
+    said = spark.createDataFrame([(question,)], "q string").select(F.explode(tokens(F.col("q"))).alias("term"))
+    counts = {r.term: r.n for r in said.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # words of one question
+    found = known.where(F.col("term").isin(list(counts))).select("term", "idf").collect() if counts else []
+    raw = {r.term: counts[r.term] / max(counts.values()) * r.idf for r in found}
+    length = math.sqrt(sum(x * x for x in raw.values()))
+    return {term: x / length for term, x in raw.items()}
 
 
 def semantic_search(
     corpus: DataFrame, key: str, text: str, question: str, limit: int | None = 10, filters: Mapping[str, object] | None = None
 ) -> DataFrame:
-    """Texts most similar to a question by TF-IDF cosine over the whole vocabulary of the corpus."""
-    postings, vocabulary = fit_index(_matching(corpus, filters), key, text)
-    return search_index(postings, vocabulary, key, question, limit)
+    """Texts most similar to a question by TF-IDF cosine over the whole vocabulary of the corpus, as (key, score).
+
+    For one question over a table; to ask more often, keep a ``textindex``. Lengths and products come from one
+    aggregation over the terms, so nothing is laid out by term and back."""
+    rows = _matching(corpus, filters)
+    counts = freeze(term_counts(rows, key, text))
+    total = rows.select(F.count(F.lit(1))).scalar()
+    frequency = counts.where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    known = freeze(with_idf(frequency, total))
+    asked = asked_weights(known, question)
+    wanted = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for item in asked.items() for x in item]), F.col("term")), F.lit(0.0)) if asked else F.lit(0.0)
+    raw = F.col("count") / F.col("most") * F.col("idf")
+    scored = counts.join(known.select("term", "idf"), "term").groupBy(key).agg(F.sum(raw * wanted).alias("product"), F.sqrt(F.sum(raw * raw)).alias("length"))
+    found = scored.select(key, F.round(F.col("product") / F.col("length"), 6).alias("score")).where("score > 0").orderBy(F.desc("score"), key)
+    return found if limit is None else found.limit(limit)
 
 
 def top_variance_dims(df: DataFrame, key: str, vector: str, dims: int = 2) -> DataFrame:

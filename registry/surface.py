@@ -9,7 +9,7 @@ from millrace.functions.freeze import shared_folder
 from millrace.operators import anomaly, kpi, series
 from millrace.operators.contracts import ColumnSpec, Contract, validate_schema
 from millrace.plans import flow, sql
-from millrace.sources import io
+from millrace.sources import io, snapshots
 from millrace.streaming import jobs
 from registry import query, rounded, table
 from registry.oplogs import ALERT_SQL, SCHEMAS
@@ -183,6 +183,35 @@ def _(spark, sf):
     return spark.read.parquet(folder)
 
 
+def _loaded(spark, sf):
+    """Orders in two loads; a third one, which would replace them, breaks off in its rows."""
+    orders, folder = table(spark, sf, "orders").select("o_orderkey", "o_custkey"), scratch(spark)
+    snapshots.load(orders.where("o_orderkey % 3 = 0"), folder, job="nightly", inputs=["raw.orders"], tenant="t0")
+    snapshots.load(orders, folder, "incremental", ["o_orderkey"], job="catch_up", inputs=["raw.orders", "raw.late"], tenant="t0")
+    broken = orders.withColumn("o_custkey", F.when(F.col("o_custkey") >= 0, F.raise_error(F.lit("broken row"))).cast(orders.schema["o_custkey"].dataType))
+    try:
+        snapshots.load(broken, folder, job="broken", inputs=["raw.orders"], tenant="t0")
+    except Exception as e:
+        if "broken row" not in str(e):
+            raise
+    return folder
+
+
+@query("snapshot_table", "SELECT o_orderkey, o_custkey FROM orders")
+def _(spark, sf):
+    return snapshots.read(spark, _loaded(spark, sf))
+
+
+@query(
+    "load_lineage",
+    """WITH n AS (SELECT COUNT(*) FILTER (o_orderkey % 3 = 0) AS a, COUNT(*) FILTER (o_orderkey % 3 <> 0) AS b FROM orders)
+    SELECT 'raw.orders' AS source, 'nightly' AS target, 'reads' AS edge_type, 1 AS version, a AS rows_added FROM n UNION ALL SELECT 'nightly', 'orders@1', 'produces', 1, a FROM n
+    UNION ALL SELECT 'raw.orders', 'catch_up', 'reads', 2, b FROM n UNION ALL SELECT 'raw.late', 'catch_up', 'reads', 2, b FROM n UNION ALL SELECT 'catch_up', 'orders@2', 'produces', 2, b FROM n""",
+)
+def _(spark, sf):
+    return snapshots.lineage(spark, _loaded(spark, sf), "orders")[1]
+
+
 @query("table_preview", "SELECT vec_id, LEAST(LEN(embedding), 100) AS shown, (SELECT COUNT(*) FROM embeddings) AS total_rows FROM embeddings ORDER BY vec_id LIMIT 100")
 def _(spark, sf):
     return io.table_preview(table(spark, sf, "embeddings"), 100, ["vec_id"]).select("vec_id", F.size("embedding").alias("shown"), "total_rows")
