@@ -12,9 +12,11 @@ computes the carried state and the pass that uses it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.freeze import freeze
@@ -246,6 +248,97 @@ def trailing(
     return spread.withColumns(outputs(frame)).where(~F.col("_copy.halo")).drop("_copy", "_block", "_idx")
 
 
+#: Values that the ranges of a ``trailing_mean`` may hand on in all (8 MB); beyond, rows go to blocks by a second shuffle.
+HALO_VALUES = 1 << 20
+
+
+def trailing_mean(df: DataFrame, order: Sequence[str | Column], value: str, rows: int, name: str, group: Sequence[str] = ()) -> DataFrame:
+    """Mean of the value over ``rows`` preceding rows and the current one, nulls left out, in one shuffle of the rows.
+
+    Each range of the layout hands the last ``rows`` values of its last group to the ranges after it, and works
+    on its rows in order. What is handed on is at most ranges * ``rows`` values; above ``HALO_VALUES``, and for
+    decimals, ``trailing`` does the work."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if ranges * rows > HALO_VALUES or dict(df.dtypes)[value].startswith("decimal"):
+        return trailing(df, order, rows, lambda frame: {name: F.avg(value).over(frame)}, group)
+    same = F.xxhash64(*[c for g in group for c in (F.col(g), F.col(g).isNull())]) if group else F.lit(0).cast("long")
+    laid = lay_out(df.withColumns({"_same": same, "_value": F.col(value).cast("double")}), order, group)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row of a range: whether it is all of one group, that of its first and last row, its last values."""
+        part = first = last = None
+        single, tail = True, np.empty(0, object)
+        for batch in batches:
+            if len(batch):
+                numbers, groups = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                part = int(numbers[0])
+                first = int(groups[0]) if first is None else first
+                new = np.flatnonzero(groups[1:] != groups[:-1]) + 1
+                single = single and not len(new) and groups[0] == first
+                start = new[-1] if len(new) else 0
+                values = np.array(batch.column(2)[max(start, len(groups) - rows) :].to_pylist(), object)
+                tail = np.concatenate([tail if not len(new) and groups[0] == last else tail[:0], values])[-rows:] if rows else tail
+                last = int(groups[-1])
+        if part is not None:
+            yield pa.RecordBatch.from_pylist([{"part": part, "first": first, "last": last, "single": bool(single), "tail": tail.tolist()}], schema)
+
+    schema = pa.schema([("part", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("single", pa.bool_()), ("tail", pa.list_(pa.float64()))])
+    parts = laid.select(PART, "_same", "_value").mapInArrow(ends, "part long, first long, last long, single boolean, tail array<double>").orderBy("part").collect()
+    halos = df.sparkSession.sparkContext.broadcast(_halos(parts, rows))
+    kept = [f for f in laid.schema.fields if f.name not in (PART, POS, "_same", "_value", name)]
+    return_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{name}` double"
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, last = None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            groups = batch.column("_same").to_numpy()
+            values = batch.column("_value").to_numpy(zero_copy_only=False)
+            missing = batch.column("_value").is_null().to_numpy(zero_copy_only=False)
+            if before is None:
+                handed = halos.value.get(batch.column(PART)[0].as_py(), [])
+                before, last = (np.array(handed, float), np.array([x is None for x in handed], bool)), groups[0]
+            out, valid = np.empty(len(values)), np.empty(len(values), bool)
+            cuts = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1), len(groups)]
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if start or groups[0] != last:
+                    before = (np.empty(0), np.empty(0, bool))
+                run, gone = np.concatenate([before[0], values[start:end]]), np.concatenate([before[1], missing[start:end]])
+                totals, counts = _window_sums(np.where(gone, 0.0, run), rows + 1), _window_sums((~gone).astype(float), rows + 1)
+                own = slice(len(before[0]), None)
+                valid[start:end] = counts[own] > 0
+                out[start:end] = totals[own] / np.maximum(counts[own], 1)
+                before = (run[-rows:], gone[-rows:]) if rows else (run[:0], gone[:0])
+            last = groups[-1]
+            means = pa.array(out, pa.float64(), mask=~valid)
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), means], [*(f.name for f in kept), name])
+
+    return laid.mapInArrow(mean, return_schema)
+
+
+def _halos(parts: Sequence[Row], rows: int) -> dict[int, list[float | None]]:
+    """For each range the values before it, at most ``rows``, in its first row's group."""
+    found = {}
+    for i, part in enumerate(parts):
+        tails, held, at = [], 0, i - 1
+        while at >= 0 and held < rows and parts[at].last == part.first:
+            tails.insert(0, parts[at].tail)
+            held += len(parts[at].tail)
+            at = at - 1 if parts[at].single else -1
+        if held:
+            found[part.part] = [x for tail in tails for x in tail][-rows:]
+    return found
+
+
+def _window_sums(values: np.ndarray, width: int) -> np.ndarray:
+    """Sum of each value and the ``width`` - 1 before it, added from the oldest on, as Spark's own window does."""
+    totals = np.zeros(len(values))
+    for back in range(min(width, len(values)) - 1, -1, -1):
+        totals[back:] += values[: len(values) - back]
+    return totals
+
+
 GROUP_LIMIT = 1_000  # Spark keeps only the leading rows of each group before the shuffle up to this rank
 
 

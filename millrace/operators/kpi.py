@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.numbers import ratio, round_to
-from millrace.functions.order import lay_out, previous, running_sum, trailing
+from millrace.functions.order import lay_out, previous, running_sum, trailing_mean
 
 
 def grand_total(df: DataFrame, agg: Column) -> Column:
@@ -188,7 +188,7 @@ def moving_average(
 
     ``order`` should end in a unique key, which makes the result well defined."""
     kept = df.select(*dict.fromkeys([*partition, *order, value]))
-    return trailing(kept, list(order), window, lambda frame: {"moving_avg": F.avg(value).over(frame)}, partition)
+    return trailing_mean(kept, list(order), value, window, "moving_avg", partition)
 
 
 def year_over_year(df: DataFrame, date: str, value: str, as_of: dt.date) -> DataFrame:

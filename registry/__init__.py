@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.freeze import shared_folder
 from millrace.functions.numbers import round_to
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +31,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark)}/run-{uuid4().hex}"
+
+
 def rounded(df: DataFrame, digits: int = 4, **special: int) -> DataFrame:
     """Round the double columns, so that the order of summation does not show."""
     return df.select(

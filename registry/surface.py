@@ -1,17 +1,15 @@
 """SQL surface, sources, streams and flows."""
 
 import os
-import uuid
 
 from pyspark.sql import functions as F
 
-from millrace.functions.freeze import shared_folder
 from millrace.operators import anomaly, kpi, series
 from millrace.operators.contracts import ColumnSpec, Contract, validate_schema
 from millrace.plans import flow, sql
 from millrace.sources import io, snapshots
 from millrace.streaming import jobs
-from registry import query, rounded, table
+from registry import query, rounded, scratch, table
 from registry.oplogs import ALERT_SQL, SCHEMAS
 
 TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
@@ -142,11 +140,6 @@ def _(spark, sf):
 # --- sources -------------------------------------------------------------------------------------
 
 
-def scratch(spark):
-    """A new folder below the shared one."""
-    return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
-
-
 def _round_trip(fmt):
     def run(spark, sf):
         folder = scratch(spark)

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from millrace.operators import pages, text
-from registry import query, rounded, table
+from millrace.operators import pages, text, textindex
+from registry import query, rounded, scratch, table
 
 CHARS = text.EMBED_CHARACTERS
 SHARES = ", ".join(
@@ -55,21 +55,30 @@ def _(spark, sf):
 QUESTION = "the thing and other things of that"
 
 
-@query(
-    "semantic_search",
-    f"""WITH t AS (SELECT doc_id, UNNEST({TOKENS}) AS term FROM documents),
+SEARCH_SQL = f"""WITH t AS (SELECT doc_id, UNNEST({TOKENS}) AS term FROM documents),
       c AS (SELECT doc_id, term, COUNT(*) AS n, MAX(COUNT(*)) OVER (PARTITION BY doc_id) AS most FROM t GROUP BY 1, 2),
       v AS (SELECT term, LN(((SELECT COUNT(*) FROM documents) + 1) / (COUNT(*) + 1)) + 1 AS idf FROM c GROUP BY term),
       w AS (SELECT doc_id, term, n / most * idf AS w, SQRT(SUM(POW(n / most * idf, 2)) OVER (PARTITION BY doc_id)) AS l FROM c JOIN v USING (term)),
       q AS (SELECT UNNEST(REGEXP_EXTRACT_ALL('{QUESTION}', '[a-z]+')) AS term), qc AS (SELECT term, COUNT(*) AS n, MAX(COUNT(*)) OVER () AS most FROM q GROUP BY 1),
       qw AS (SELECT term, n / most * idf AS w, SQRT(SUM(POW(n / most * idf, 2)) OVER ()) AS l FROM qc JOIN v USING (term))
     SELECT doc_id, ROUND(SUM(w.w / w.l * qw.w / qw.l), 6) AS score FROM w JOIN qw USING (term)
-    GROUP BY 1 HAVING ROUND(SUM(w.w / w.l * qw.w / qw.l), 6) > 0 ORDER BY score DESC, doc_id LIMIT 10""",
-)
+    GROUP BY 1 HAVING ROUND(SUM(w.w / w.l * qw.w / qw.l), 6) > 0 ORDER BY score DESC, doc_id LIMIT 10"""
+
+
+@query("semantic_search", SEARCH_SQL)
 def _(spark, sf):
     return text.semantic_search(table(spark, sf, "documents"), "doc_id", "text", QUESTION, 10)
 
 
+@query("text_index", SEARCH_SQL)
+def _(spark, sf):
+    """An index of two loads, of which the second replaces some texts of the first."""
+    docs, folder = table(spark, sf, "documents"), scratch(spark)
+    textindex.add(docs.where("doc_id % 3 <> 0").withColumn("text", F.when(F.col("doc_id") % 3 == 1, "old words").otherwise(F.col("text"))), "doc_id", "text", folder)
+    textindex.add(docs.where("doc_id % 3 < 2"), "doc_id", "text", folder)
+    return textindex.Index(spark, folder).search(QUESTION, 10).withColumnRenamed("key", "doc_id")
+
+
 COSINE = "LIST_SUM(LIST_TRANSFORM(LIST_ZIP({a}, {b}), lambda p: p[1]::DOUBLE * p[2]))"
 
 

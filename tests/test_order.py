@@ -59,6 +59,35 @@ def test_trailing(rows, group, monkeypatch):
     same(got, rows.withColumn("m", F.avg("v").over(window(group).rowsBetween(-9, 0))), "m")
 
 
+@pytest.mark.parametrize("width", [0, 1, 9, 4000])
+def test_trailing_mean(rows, group, width):
+    """A window of 4000 reaches back over several ranges."""
+    frame = window(group).rowsBetween(-width, 0)
+    for value in ("v", "w"):
+        same(o.trailing_mean(rows, ["t", "id"], value, width, "m", group), rows.withColumn("m", F.avg(value).over(frame)), "m")
+
+
+def test_trailing_mean_of_special_values(rows):
+    odd = rows.withColumn("v", F.when(F.col("id") % 400 == 3, float("nan")).when(F.col("id") % 500 == 4, float("inf")).otherwise(F.col("v")))
+    want = odd.withColumn("m", F.avg("v").over(window([]).rowsBetween(-9, 0)))
+    got = o.trailing_mean(odd, ["t", "id"], "v", 9, "m")
+    both = got.select("id", F.col("m").alias("a")).join(want.select("id", F.col("m").alias("b")), "id")
+    assert both.where("NOT (a <=> b OR abs(a - b) < 1e-6)").count() == 0 and both.where("isnan(a)").count() > 20
+    cents = rows.withColumn("v", F.col("v").cast("decimal(10,2)"))
+    assert dict(o.trailing_mean(cents, ["t", "id"], "v", 9, "m").dtypes)["m"].startswith("decimal")
+    assert o.trailing_mean(rows.where("false"), ["t", "id"], "v", 9, "m").count() == 0
+
+
+def test_trailing_mean_beyond_what_ranges_may_hand_on(rows, group, monkeypatch):
+    monkeypatch.setattr(o, "HALO_VALUES", 5)
+    same(o.trailing_mean(rows, ["t", "id"], "w", 9, "m", group), rows.withColumn("m", F.avg("w").over(window(group).rowsBetween(-9, 0))), "m")
+
+
+def test_trailing_mean_shuffles_rows_once(rows):
+    plan = o.trailing_mean(rows, ["t", "id"], "v", 9, "m")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan  # the layout is the only exchange
+
+
 def test_quantiles(rows, group):
     got = o.quantiles(rows, "w", {"a": 0.1, "b": 0.5, "c": 0.95}, group)
     want = rows.groupBy(*group).agg(*[F.percentile("w", p).alias(f"w{n}") for n, p in (("a", 0.1), ("b", 0.5), ("c", 0.95))], F.count("w").alias("k"))
