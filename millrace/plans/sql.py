@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping
 
-from py4j.java_gateway import is_instance_of
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.plans import authorize
+from millrace.plans.authorize import Rule
+
 # What a guarded statement may begin with and what it may not contain.
 READ_PREFIXES = ("SELECT", "WITH", "SHOW", "DESCRIBE", "EXPLAIN")
 FORBIDDEN = (
@@ -17,7 +19,6 @@ FORBIDDEN = (
 #: Functions that run code of the caller's choice, and formats that turn a path into a table.
 CODE_FUNCTIONS = ("java_method", "reflect", "try_reflect")
 FILE_FORMATS = ("parquet", "csv", "json", "orc", "text", "avro", "binaryfile", "xml", "delta", "jdbc", "image", "libsvm")
-_COMMAND = "org.apache.spark.sql.catalyst.plans.logical.Command"
 
 _NOISE = re.compile(r"'(?:[^'\\]|''|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.DOTALL)
 
@@ -46,37 +47,58 @@ def check_sql(sql: str) -> str:
     return bare
 
 
-def _checked(spark: SparkSession, sql: str, args: Mapping[str, object] | None) -> tuple[str, DataFrame]:
-    """The statement's table, once its text and its parsed plan have passed: a query must hold no command,
-    whatever word it begins with."""
+def _checked(spark: SparkSession, sql: str, args: Mapping[str, object] | None, tables: Rule | None = None) -> tuple[str, DataFrame]:
+    """The statement's table, once its text and its parsed plan have passed: no command, whatever word it begins with,
+    no code, and tables of the catalog only, which ``tables`` allows by name."""
     bare = check_sql(sql)
-    if bare.startswith(("SELECT", "WITH")):
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-        if is_instance_of(spark.sparkContext._gateway, plan, _COMMAND):
-            raise RejectedSql("the statement is a command")
+    used = authorize.uses(spark, sql)
+    if bare.startswith(("SELECT", "WITH")) and used.commands:
+        raise RejectedSql("the statement is a command")
+    if used.scripts:
+        raise RejectedSql("scripts and names put together at run time are not allowed")
+    if code := sorted({f.rsplit(".", 1)[-1] for f in used.functions} & set(CODE_FUNCTIONS)):
+        raise RejectedSql(f"functions that run code are not allowed: {', '.join(code)}")
+    if odd := sorted(used.table_functions - authorize.TABLE_FUNCTIONS):
+        raise RejectedSql(f"table functions that are not allowed: {', '.join(odd)}")
+    if tables is not None and bare.startswith("SHOW"):
+        raise RejectedSql("lists of tables are not allowed under a rule for tables")
+    for name in used.tables:
+        if tables is not None and not tables(".".join(name).lower()):
+            raise RejectedSql(f"table {'.'.join(name)!r} is not allowed")
+        if not authorize.is_table(spark, name):
+            raise RejectedSql(f"{'.'.join(name)!r} is no table; files are none")
     return bare, spark.sql(sql, args=dict(args) if args else None)
 
 
-def guarded_sql(spark: SparkSession, sql: str, limit: int | None = None, args: Mapping[str, object] | None = None) -> DataFrame:
-    """Run a read-only statement: all its rows, or ``limit`` of them; ``is_truncated`` tells if there are more."""
+def guarded_sql(
+    spark: SparkSession, sql: str, limit: int | None = None, args: Mapping[str, object] | None = None, tables: Rule | None = None
+) -> DataFrame:
+    """Run a read-only statement: all its rows, or ``limit`` of them; ``is_truncated`` tells if there are more.
+
+    ``tables`` is asked for every table that the statement reads anywhere, by its name in lower case:
+    ``tenant_rule``, ``authorize.names`` or any function of a name."""
     if limit is not None and limit < 1:
         raise ValueError("limit must be positive")
-    bare, df = _checked(spark, sql, args)
+    bare, df = _checked(spark, sql, args, tables)
     return df.limit(limit) if limit is not None and bare.startswith(("SELECT", "WITH")) else df
 
 
-def is_truncated(spark: SparkSession, sql: str, limit: int | None = None, args: Mapping[str, object] | None = None) -> bool:
+def is_truncated(
+    spark: SparkSession, sql: str, limit: int | None = None, args: Mapping[str, object] | None = None, tables: Rule | None = None
+) -> bool:
     """Whether the statement has more than ``limit`` rows; at most one more than that is read."""
-    return limit is not None and _checked(spark, sql, args)[1].limit(limit + 1).count() > limit
+    return limit is not None and _checked(spark, sql, args, tables)[1].limit(limit + 1).count() > limit
 
 
-def run_kpis(spark: SparkSession, kpis: Iterable[Mapping[str, object]], limit: int | None = None) -> dict[str, DataFrame]:
+def run_kpis(
+    spark: SparkSession, kpis: Iterable[Mapping[str, object]], limit: int | None = None, tables: Rule | None = None
+) -> dict[str, DataFrame]:
     """Named statements, in order, each with all its rows unless a limit is asked for. A KPI without SQL is an error."""
     out: dict[str, DataFrame] = {}
     for kpi in kpis:
         if not kpi.get("sql"):
             raise ValueError(f"KPI {kpi.get('name')!r} has no sql")
-        out[str(kpi.get("name") or f"kpi_{len(out) + 1}")] = guarded_sql(spark, str(kpi["sql"]), limit, kpi.get("args"))
+        out[str(kpi.get("name") or f"kpi_{len(out) + 1}")] = guarded_sql(spark, str(kpi["sql"]), limit, kpi.get("args"), tables)
     return out
 
 
@@ -110,6 +132,22 @@ def table_allowed(name: Column, tenant: str, mode: str = "prefix", separator: st
     raise ValueError(f"unknown mode {mode!r}")
 
 
+def tenant_rule(tenant: str, mode: str = "prefix", separator: str = "_", pattern: str | None = None) -> Rule:
+    """``table_allowed`` as a rule for single names, for ``guarded_sql``; upper and lower case are equal, as in the catalog."""
+    own = tenant.lower()
+    rules: dict[str, Rule] = {
+        "prefix": lambda name: name.lower().startswith(own + separator.lower()),
+        "schema": lambda name: name.lower().startswith(own + "."),
+        "custom": lambda name: bool(pattern and re.search(pattern, name, re.IGNORECASE)),
+        "metadata": lambda name: False,
+    }
+    if mode not in rules:
+        raise ValueError(f"unknown mode {mode!r}")
+    if mode == "custom" and not pattern:
+        raise ValueError("custom mode needs a pattern")
+    return rules[mode]
+
+
 def require_table(name: str, tenant: str, mode: str = "prefix", separator: str = "_", pattern: str | None = None) -> None:
     """Strict form of ``table_allowed`` for a single name."""
     allowed = {

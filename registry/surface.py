@@ -118,6 +118,35 @@ def _(spark, sf):
     return sql.kpi_summary(sql.run_kpis(spark, KPIS), limit=1000).withColumn("columns", F.array_join("columns", ","))
 
 
+STATEMENTS = {
+    "own": "SELECT COUNT(*) AS n FROM t0_orders",
+    "own, in parts": "WITH big AS (SELECT * FROM T0_Orders WHERE o_totalprice > 100000) SELECT COUNT(*) AS n FROM big WHERE EXISTS (SELECT 1 FROM `t0_orders`)",
+    "another's": "SELECT COUNT(*) AS n FROM t1_orders",
+    "another's, below": "SELECT COUNT(*) AS n FROM t0_orders WHERE o_custkey IN (SELECT o_custkey FROM t1_orders)",
+    "another's, under a name of its own": "SELECT (SELECT COUNT(*) FROM (WITH t1_orders AS (SELECT 1) SELECT * FROM t1_orders)) + COUNT(*) AS n FROM t1_orders",
+}
+
+
+@query(
+    "guarded_sql_tenant",
+    """SELECT 'own' AS statement, TRUE AS allowed, (SELECT COUNT(*) FROM orders WHERE o_orderkey % 2 = 0) AS n
+    UNION ALL SELECT 'own, in parts', TRUE, (SELECT COUNT(*) FROM orders WHERE o_orderkey % 2 = 0 AND o_totalprice > 100000)
+    UNION ALL SELECT UNNEST(['another''s', 'another''s, below', 'another''s, under a name of its own']), FALSE, NULL""",
+)
+def _(spark, sf):
+    """The statements that tenant t0 may run with their results, and those that it may not."""
+    orders, out = table(spark, sf, "orders"), None
+    for tenant in (0, 1):
+        orders.where(F.col("o_orderkey") % 2 == tenant).createOrReplaceTempView(f"t{tenant}_orders")
+    for name, text in STATEMENTS.items():
+        try:
+            row = sql.guarded_sql(spark, text, tables=sql.tenant_rule("t0")).select(F.lit(name).alias("statement"), F.lit(True).alias("allowed"), "n")
+        except sql.RejectedSql:
+            row = spark.createDataFrame([(name, False, None)], "statement string, allowed boolean, n long")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("tenant_scope", "SELECT event_id, value FROM events WHERE user_id = 17")
 def _(spark, sf):
     return sql.tenant_scope(table(spark, sf, "events"), 17, "user_id").select("event_id", "value")
