@@ -41,13 +41,13 @@ def _byte_letters() -> dict[str, int]:
 def encoder(path: str):
     """ids(text) for a byte-level BPE tokenizer file; once per Python worker.
 
-    The vocabulary's ids are its merge ranks, so the faster of the two libraries can read it; a text that this
-    one refuses (very long runs of white space) goes to the other. Special tokens in a text are plain text."""
+    The vocabulary's ids are its merge ranks, so the faster of the two libraries can read it. A text that this
+    one refuses (very long runs of white space), or that holds a special token, which the tokenizer reads as one
+    id, goes to the other."""
     import tiktoken
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     letters = _byte_letters()
@@ -56,6 +56,8 @@ def encoder(path: str):
     fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(text: str) -> list[int]:
+        if any(token in text for token in special):
+            return slow.encode(text, add_special_tokens=False).ids
         try:
             return fast.encode_ordinary(text)
         except BaseException as e:

@@ -241,6 +241,10 @@ def _stretches(values: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
 
 
+#: Score of a chain's best path, and of its next ones with what they change: (unit's place in the chain, ids).
+Split = tuple[float, list[tuple[float, list[tuple[int, list[int]]]]]]
+
+
 class Units:
     """The best segmentations of the units a worker has met, up to a number of them; beyond that it starts anew."""
 
@@ -256,6 +260,7 @@ class Units:
         self.starts = np.empty(0, np.int64)
         self.best = np.empty(0)
         self.loss = np.empty(0)
+        self.ranks: dict[tuple[int, ...], Split] = {}
 
     def chains(self, texts: list[str | None]) -> list[np.ndarray]:
         """The numbers of every text's units; new units are segmented."""
@@ -279,36 +284,57 @@ class Units:
 Ranks = list[tuple[float, list[tuple[int, int, list[int]]]]]
 
 
+def _least(loss: np.ndarray, most: int) -> np.ndarray:
+    """Places of the ``most`` least losses that are finite, in order; of equal losses the first."""
+    if len(loss) > most:
+        bound = np.partition(loss, most - 1)[most - 1] if most else -np.inf
+        below = np.flatnonzero(loss < bound)
+        pick = np.sort(np.concatenate([below, np.flatnonzero(loss == bound)[: most - len(below)]]))
+    else:
+        pick = np.arange(len(loss))
+    return pick[np.isfinite(loss[pick])]
+
+
+def _others(keys: set[tuple[int, ...]], units: Units, n: int) -> None:
+    """Find the best paths through every chain of opened units that was not met before."""
+    numbers = sorted({u for k in keys for u in k})
+    if not numbers:
+        return
+    lattice = Lattices([units.names[u] for u in numbers], units.vocab)
+    local = {u: i for i, u in enumerate(numbers)}
+    for key in keys:
+        held = [local[u] for u in key]
+        own = [lattice.path[lattice.path_start[u] : lattice.path_start[u] + lattice.path_size[u]].tolist() for u in held]
+        base = sum(float(lattice.best[u]) for u in held)
+        paths = [p for p in lattice.others(held, n) if p[1] != own][: n - 1]
+        changed = [(score, [(i, lattice.tokens(e)) for i, (e, mine) in enumerate(zip(split, own, strict=True)) if e != mine]) for score, split in paths]
+        units.ranks[key] = base, changed
+
+
 def segment(texts: list[str | None], units: Units, n: int) -> tuple[np.ndarray, np.ndarray, list[Ranks]]:
     """(ids of all texts' best segmentations, how many each has, per text [(score, changes)] by rank); a change
-    is (place in the best ids, how many it takes out, the ids it puts in)."""
+    is (place in the best ids, how many it takes out, the ids it puts in). Texts that open the same units in the
+    same order share one search."""
     chains = units.chains(texts)
     sizes = units.sizes
     chain = np.concatenate([np.empty(0, np.int64), *chains])
     counts = sizes[chain]
     gather = np.repeat(units.starts[chain] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
     lengths = np.array([int(sizes[c].sum()) for c in chains], np.int64)
-    opened = []  # per text, the places of the units that may differ
-    for c in chains:
-        loss = units.loss[c]
-        pick = np.arange(len(c)) if len(c) < n else np.argpartition(loss, n - 2)[: n - 1] if n > 1 else np.empty(0, np.int64)
-        opened.append(np.sort(pick[np.isfinite(loss[pick])]))
-    numbers = sorted({u for c, o in zip(chains, opened, strict=True) for u in c[o].tolist()}) if n > 1 else []
-    lattice = Lattices([units.names[u] for u in numbers], units.vocab) if numbers else None
-    local = {u: i for i, u in enumerate(numbers)}
+    opened = [_least(units.loss[c], n - 1) for c in chains]  # per text, the places of the units that may differ
+    keys = [tuple(c[o].tolist()) for c, o in zip(chains, opened, strict=True)]
+    if len(units.ranks) > units.most:
+        units.ranks.clear()
+    _others({k for k in keys if k and k not in units.ranks}, units, n)
     ranked: list[Ranks] = []
-    for c, places in zip(chains, opened, strict=True):
+    for c, places, key in zip(chains, opened, keys, strict=True):
         best = float(units.best[c].sum())
         ranks: Ranks = [(best, [])]
-        if n > 1 and len(places):
-            held = [local[u] for u in c[places].tolist()]
-            own = [lattice.path[lattice.path_start[u] : lattice.path_start[u] + lattice.path_size[u]].tolist() for u in held]
-            base = sum(float(lattice.best[u]) for u in held)
-            paths = [p for p in lattice.others(held, n) if p[1] != own][: n - 1]
-            before = np.cumsum(sizes[c]) - sizes[c]
-            for score, split in paths:
-                changes = [(int(before[o]), int(sizes[c[o]]), lattice.tokens(e)) for o, e, mine in zip(places.tolist(), split, own, strict=True) if e != mine]
-                ranks.append((best - base + score, changes))
+        if key:
+            base, changed = units.ranks[key]
+            ends = np.cumsum(sizes[c])
+            at, own = (ends[places] - sizes[c[places]]).tolist(), sizes[c[places]].tolist()
+            ranks += [(best - base + score, [(at[i], own[i], ids) for i, ids in changes]) for score, changes in changed]
         ranked.append(ranks)
     return units.ids[gather], lengths, ranked
 

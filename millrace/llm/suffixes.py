@@ -171,25 +171,25 @@ def suffix_array(s: list[int], symbols: int) -> list[int]:
     larger_before = np.concatenate([[-1], np.where(smaller[:-1], -1, before), [-1]]).tolist()
     smaller_before = np.concatenate([[-1], np.where(smaller[:-1], before, -1), [-1]]).tolist()
 
-    def induce(order: list[int]) -> list[int]:
+    def induce(order: list[int], s=s, larger=larger_before, smaller=smaller_before) -> list[int]:
         out, place = [n] * n, ends.copy()
         for i in reversed(order):
             c = s[i]
-            place[c] -= 1
-            out[place[c]] = i
+            at = place[c] = place[c] - 1
+            out[at] = i
         place = heads.copy()
         for i in out:  # grows while it is read
-            c = larger_before[i]
+            c = larger[i]
             if c >= 0:
-                out[place[c]] = i - 1
-                place[c] += 1
+                at = place[c]
+                out[at] = i - 1
+                place[c] = at + 1
         place = ends.copy()
-        for j in range(n - 1, -1, -1):
-            i = out[j]
-            c = smaller_before[i]
+        for i in reversed(out):  # and here too
+            c = smaller[i]
             if c >= 0:
-                place[c] -= 1
-                out[place[c]] = i - 1
+                at = place[c] = place[c] - 1
+                out[at] = i - 1
         return out
 
     starts = lms.tolist()
@@ -214,11 +214,9 @@ def permuted_prefixes(s: list[int], order: list[int]) -> tuple[list[int], list[i
     """(before, shared): for every suffix in text order the one before it in the array and the length of what
     both begin with. Going one step right in the text shortens that by one at most."""
     n = len(s)
-    before = [0] * n
-    last = order[0]
-    for i in order[1:]:
-        before[i] = last
-        last = i
+    array, ahead = np.array(order), np.zeros(n, np.int64)
+    ahead[array[1:]] = array[:-1]
+    before = ahead.tolist()
     shared, length, none = [0] * n, 0, order[0]
     for i in range(n):
         if i == none:
@@ -312,7 +310,9 @@ def _shards(rows: DataFrame, width: int, shard_bytes: int, unit: int) -> DataFra
 
     # By a hash of the key: a plain repartition after a join on the same key is optimized away, and the join may
     # then be turned into one that leaves the rows where they are.
-    laid = rows.select("gram", "seg", "bytes").repartition(F.xxhash64("gram")).sortWithinPartitions("gram")
+    # The number of tasks is explicit: merged by their bytes, a few tasks would do all the sorting.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = rows.select("gram", "seg", "bytes").repartition(tasks, F.xxhash64("gram")).sortWithinPartitions("gram")
     return laid.mapInPandas(run, RANGES)
 
 
@@ -363,28 +363,43 @@ def repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, cores: int =
         raise ValueError("a gram cannot be longer than a window")
     words = unit == WORD_BYTES
 
+    def joined(frame: pd.DataFrame) -> Iterator[tuple[int, int, list[bytes]]]:
+        """Stretches of rows with their symbols."""
+        at = 0
+        while at < len(frame):
+            until, size, raw = at, 0, []
+            while until < len(frame) and size < 400_000:
+                raw.append(coded(frame["text"].iat[until].encode("utf-8", "surrogatepass")))
+                size += len(raw[-1])
+                until += 1
+            yield at, until, raw
+            at = until
+
+    coded = Words() if words else bytes
+
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(gram, copies) of every run: all that the first pass needs."""
+        for frame in frames:
+            for at, until, raw in joined(frame):
+                owner, _, _, _, hashes, _ = runs_of(raw, width, gram, unit)
+                if len(owner):
+                    yield pd.DataFrame({"gram": hashes, "copies": frame["copies"].to_numpy()[at:until][owner]})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coded = Words() if words else bytes
         for frame in frames:
-            at = 0
-            while at < len(frame):
-                until, size, raw = at, 0, []
-                while until < len(frame) and size < 400_000:
-                    raw.append(coded(frame["text"].iat[until].encode("utf-8", "surrogatepass")))
-                    size += len(raw[-1])
-                    until += 1
+            for at, until, raw in joined(frame):
                 owner, place, start, count, hashes, picks = runs_of(raw, width, gram, unit)
                 data = b"".join(raw)
                 segs = [hashlib.blake2b(data[s * unit : (s + c + width - 1) * unit], digest_size=16).digest() for s, c in zip(start.tolist(), count.tolist(), strict=True)]
                 rows = frame.iloc[at:until].iloc[owner]
                 if len(rows):
                     yield pd.DataFrame({"text_key": rows["text_key"].to_numpy(), "copies": rows["copies"].to_numpy(), "at": place, "n": count, "gram": hashes, "pick": picks, "seg": segs})
-                at = until
 
     long_ones = texts.where(F.octet_length("text") >= (2 * width - 1 if words else width))
     runs = long_ones.select("text_key", "text", "copies").mapInPandas(run, "text_key string, copies long, at long, n int, gram long, pick int, seg binary")
     # The runs are cheap to find and many: they are found twice rather than stored.
-    twice = freeze(runs.groupBy("gram").agg(F.sum("copies").alias("met")).where("met > 1").select("gram"))
+    first = long_ones.select("text", "copies").mapInPandas(counted, "gram long, copies long")
+    twice = freeze(first.groupBy("gram").agg(F.sum("copies").alias("met")).where("met > 1").select("gram"))
     met = freeze(runs.join(twice, "gram"))
     classes = freeze(
         met.groupBy("gram", "seg").agg(F.sum("copies").alias("met"), F.min(F.struct("text_key", "at")).alias("first"), F.min("n").alias("n"), F.min("pick").alias("pick"))

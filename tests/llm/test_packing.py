@@ -15,7 +15,6 @@ def test_ids_match_the_tokenizer_and_places_are_gapless(spark):
     words = ["the", "Größe", "don't", "  ", "\n\n", "123", "!?", "日本", "<|endoftext|>", "é", "\t", " x"]
     texts = [None, "", "a", "word " * 3000, " " * 500] + ["".join(draw.choices(words, k=draw.randrange(400))) for _ in range(120)]
     slow = Tokenizer.from_file(FILE)
-    slow.encode_special_tokens = True
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, piece int").repartition(3)
     rows = packing.pack(df, FILE, open_bins=8, with_ids=True).collect()
     docs, bins = defaultdict(list), defaultdict(list)
@@ -36,6 +35,52 @@ def test_ids_match_the_tokenizer_and_places_are_gapless(spark):
     assert packing.pack(df.limit(0), FILE).count() == 0
 
 
+def test_a_special_token_is_one_id(spark):
+    df = spark.createDataFrame([(1, "a<|endoftext|>b"), (2, "<|endoftext"), (3, "<|endoftext|>" * 1023)], "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in packing.pack(df, FILE, with_ids=True).collect()}
+    assert got[1] == [64, 50256, 65, 2] and 50256 not in got[2] and got[3] == [50256] * 1023 + [2]
+
+
+def test_pieces_at_the_edges_of_a_sequence(spark):
+    df = spark.createDataFrame([(n, "a " * (n - 1) + "a") for n in (1022, 1023, 1024, 2047, 2048)], "doc_id long, text string")
+    found = defaultdict(list)
+    for r in packing.pack(df, FILE).orderBy("doc_id", "piece").collect():
+        found[r.doc_id].append(r.length)
+    assert found == {1022: [1023], 1023: [1024], 1024: [1, 1024], 2047: [1024, 1024], 2048: [1, 1024, 1024]}
+
+
+class PlainPacker:
+    """Best fit by looking at every open bin; of equal ones the last that came to its amount of space."""
+
+    def __init__(self, size, open_bins):
+        self.size, self.open_bins, self.next, self.bins = size, open_bins, 0, []  # bins: (free, number), latest last
+
+    def put(self, length):
+        fitting = [b for b in self.bins if b[0] >= length]
+        if fitting:
+            room = min(b[0] for b in fitting)
+            free, number = [b for b in self.bins if b[0] == room][-1]
+            self.bins.remove((free, number))
+        else:
+            if len(self.bins) >= self.open_bins:
+                fullest = min(b[0] for b in self.bins)
+                self.bins.remove([b for b in self.bins if b[0] == fullest][-1])
+            free, number = self.size, self.next
+            self.next += 1
+        if free > length:
+            self.bins.append((free - length, number))
+        return number, self.size - free
+
+
+def test_against_a_plain_packer():
+    draw = random.Random(21)
+    for size, open_bins in ((10, 1), (10, 3), (100, 7), (1024, 40)):
+        fast, plain = packing.Packer(size, open_bins), PlainPacker(size, open_bins)
+        for _ in range(3000):
+            n = draw.randint(1, size if draw.random() < 0.3 else max(1, size // 4))
+            assert fast.put(n) == plain.put(n)
+
+
 def test_best_fit_and_bounded_space():
     p = packing.Packer(10, 2)
     assert [p.put(n) for n in (6, 7, 3)] == [(0, 0), (1, 0), (1, 7)]  # 3 fits bin 1 exactly

@@ -71,3 +71,14 @@ def test_round_trip_and_edges(spark):
 def test_vocabulary_must_split_at_blanks():
     with pytest.raises(ValueError, match="in front"):
         pieces.Vocabulary({"a▁b": (3, -1.0)}, None, 0)
+
+
+def test_ties_fall_on_the_first_units(spark):
+    words = {"unhappiness": 40, "unhappiness electrifying": 300}
+    for text, times in words.items():
+        df = spark.createDataFrame([(1, " ".join([text] * times))], "doc_id long, text string")
+        rows = {r.rank: r for r in pieces.encode(df, MODEL).collect()}
+        places = sorted(c["at"] for rank in (2, 3, 4) for c in rows[rank].changes)
+        step = len(rows[1].ids) // times
+        units = {p // step for p in places}
+        assert len({round(rows[r].score, 6) for r in (2, 3, 4)}) == 1 and units == {0, 1, 2}
