@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -11,9 +12,10 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.freeze import freeze
 from millrace.operators.clean import numeric_columns
 
 
@@ -75,26 +77,39 @@ class Classifier:
     classes: list[str]
 
 
+@contextmanager
+def plain_projections(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside generate no code for whole stages. Models convert rows by functions that stage code has
+    to send along with itself, which late in a long session cannot always be serialized."""
+    before = spark.conf.get(_STAGE_CODE)
+    spark.conf.set(_STAGE_CODE, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(_STAGE_CODE, before)
+
+
+_STAGE_CODE = "spark.sql.codegen.wholeStage"
+
+
 def train_classifier(
     df: DataFrame, target: str, features: Sequence[str], trees: int = 100, seed: int = 42
 ) -> Classifier:
     """Random forest on the numeric features (means for missing values), scored on its own rows."""
     features = [c for c in _numeric(df, features) if c != target]
     ready = _imputed(df.where(F.col(target).isNotNull()), features).withColumn("_target", F.col(target).cast("string"))
-    indexer = StringIndexer(inputCol="_target", outputCol="_label", stringOrderType="alphabetAsc").fit(ready)
-    assembled = VectorAssembler(inputCols=features, outputCol="_features").transform(indexer.transform(ready))
     forest = RandomForestClassifier(
         labelCol="_label", featuresCol="_features", predictionCol="_predicted", numTrees=trees, seed=seed
     )
-    model = forest.fit(assembled)
-    classes = list(indexer.labels)
-    names = F.array(*[F.lit(c) for c in classes])
-    scored = (
-        model.transform(assembled)
-        .withColumn("predicted", F.get(names, F.col("_predicted").cast("int")))
-        .withColumn("probability", F.array_max(vector_to_array("probability")))
-    )
-    predictions = scored.select(*df.columns, "predicted", "probability")
+    with plain_projections(df.sparkSession):
+        indexer = StringIndexer(inputCol="_target", outputCol="_label", stringOrderType="alphabetAsc").fit(ready)
+        assembled = VectorAssembler(inputCols=features, outputCol="_features").transform(indexer.transform(ready))
+        model = forest.fit(assembled)
+        classes = list(indexer.labels)
+        names = F.array(*[F.lit(c) for c in classes])
+        probability = F.array_max(vector_to_array("probability")).alias("_sure")
+        scored = freeze(model.transform(assembled).select(*df.columns, "_label", "_predicted", probability))
+    predictions = scored.select(*df.columns, F.get(names, F.col("_predicted").cast("int")).alias("predicted"), F.col("_sure").alias("probability"))
     accuracy = scored.agg(F.avg((F.col("_predicted") == F.col("_label")).cast("double"))).first()[0]
     weights = list(zip(features, [float(w) for w in model.featureImportances.toArray()], strict=True))
     importances = df.sparkSession.createDataFrame(weights, "feature string, importance double")

@@ -325,12 +325,11 @@ HTTP_METHODS = ("get", "post", "put", "delete", "patch")
 
 def spec_endpoints(df: DataFrame, key: str, spec: str, source_url: str | None = None) -> DataFrame:
     """Endpoints of OpenAPI 3 and Swagger 2 texts: path, method, summary, whether auth is required, and
-    the API's title, version, base URL and kind of auth. Other texts stop the job."""
+    the API's title, version, base URL and kind of auth. Other texts give no endpoints; ``spec_errors`` names them."""
     as_map = lambda c: F.from_json(c, "map<string,string>")
     field = lambda m, name: F.try_element_at(m, F.lit(name))
     top = df.select("*", as_map(F.col(spec)).alias("_s"))
     is_v3, is_v2 = field("_s", "openapi").isNotNull(), field("_s", "swagger").isNotNull()
-    known = F.when(is_v3 | is_v2, F.lit(True)).otherwise(F.raise_error(F.lit("unknown API description format")))
     info = as_map(field("_s", "info"))
     server = field(F.get(F.from_json(field("_s", "servers"), "array<map<string,string>>"), F.lit(0)), "url")
     scheme = F.coalesce(F.get(F.from_json(field("_s", "schemes"), "array<string>"), F.lit(0)), F.lit("https"))
@@ -354,7 +353,7 @@ def spec_endpoints(df: DataFrame, key: str, spec: str, source_url: str | None =
         .otherwise(F.coalesce(kind, F.when(first.isNotNull(), "").otherwise("none")))
     )
     some = lambda c: F.coalesce(F.size(F.from_json(c, "array<string>")) > 0, F.lit(False))
-    heads = top.where(known).select(
+    heads = top.where(is_v3 | is_v2).select(
         key,
         F.coalesce(field(info, "title"), F.lit("Unknown API")).alias("title"),
         F.coalesce(field(info, "version"), F.lit("1.0")).alias("version"),
@@ -378,6 +377,19 @@ def spec_endpoints(df: DataFrame, key: str, spec: str, source_url: str | None =
     )
 
 
+def spec_errors(df: DataFrame, key: str, spec: str) -> DataFrame:
+    """(key, error) of the texts that ``spec_endpoints`` reads nothing from."""
+    top = F.from_json(F.col(spec), "map<string,string>")
+    named = lambda name: F.try_element_at(top, F.lit(name)).isNotNull()
+    error = (
+        F.when(F.col(spec).isNull(), "no text")
+        .when(F.get_json_object(F.col(spec), "$").isNull() | top.isNull(), "no JSON object")
+        .when(~F.coalesce(named("openapi") | named("swagger"), F.lit(False)), "unknown API description format")
+        .when(F.try_element_at(top, F.lit("paths")).isNull(), "no paths")
+    )
+    return df.select(key, error.alias("error")).where(F.col("error").isNotNull())
+
+
 # --- page metadata -----------------------------------------------------------------------------
 
 

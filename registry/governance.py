@@ -322,6 +322,22 @@ def _(spark, sf):
     return lineage.impact_analysis(nodes(spark, sf), edges(spark, sf), "nation:3")
 
 
+@query("impacted_nodes", DOWN_SQL.format(start="nation:3", depth=99) + " SELECT 'nation:3' AS changed, node_id, SPLIT_PART(node_id, ':', 1) AS node_type, depth FROM hit")
+def _(spark, sf):
+    return lineage.impacted_nodes(nodes(spark, sf), edges(spark, sf), "nation:3")
+
+
+@query(
+    "lineage_reach",
+    f"""WITH RECURSIVE {EDGES_SQL}, w AS (SELECT s AS start, t AS node_id, 1 AS depth FROM e WHERE s LIKE 'nation:%' UNION SELECT w.start, e.t, depth + 1 FROM w JOIN e ON e.s = w.node_id)
+    SELECT start, node_id, CAST(MIN(depth) AS INTEGER) AS depth FROM w GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    """From every nation at a time."""
+    all_edges = edges(spark, sf)
+    return lineage.reach(all_edges, all_edges.where("source LIKE 'nation:%'").select(F.col("source").alias("start")).distinct())
+
+
 @query(
     "lineage_export",
     f"WITH {EDGES_SQL} SELECT s AS source, t AS target FROM e WHERE CAST(SPLIT_PART(s, ':', 2) AS INTEGER) % 2 = 0 AND CAST(SPLIT_PART(t, ':', 2) AS INTEGER) % 2 = 0",

@@ -277,9 +277,12 @@ def test_fields_of_a_page(spark):
         pages.parse_selector("a > b:hover")
 
 
-def test_unknown_spec_stops(spark):
-    with pytest.raises(Exception):
-        pages.spec_endpoints(frame(spark, id=[1], spec=['{"raml": 1}']), "id", "spec").collect()
+def test_unknown_specs_are_named_and_stop_nothing(spark):
+    good = '{"openapi": "3.0", "info": {"title": "t"}, "paths": {"/a": {"get": {}}}}'
+    specs = frame(spark, id=[1, 2, 3, 4, 5, 6], spec=['{"raml": 1}', "not { json", None, good, "[1]", '{"swagger": "2.0"}'])
+    assert [(r.id, r.path, r.method) for r in pages.spec_endpoints(specs, "id", "spec").collect()] == [(4, "/a", "GET")]
+    errors = {r.id: r.error for r in pages.spec_errors(specs, "id", "spec").collect()}
+    assert errors == {1: "unknown API description format", 2: "no JSON object", 3: "no text", 5: "no JSON object", 6: "no paths"}
 
 
 def test_contract(spark):
