@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.freeze import freeze
-from millrace.functions.order import join_totals, order_stats, order_stats_of_counts, quantiles, value_counts
+from millrace.functions.order import join_totals, order_stats, order_stats_of_counts, quantiles, value_counts, with_index
 from millrace.operators.clean import _filled, long_form, numeric_columns, per_column
 from millrace.operators.sample import bottom_n
 
@@ -147,6 +147,32 @@ def _grow(x: np.ndarray, rng: np.random.Generator) -> Tree:
     return table[:, 0].astype(int), table[:, 1], table[:, 2].astype(int), table[:, 3].astype(int), table[:, 4]
 
 
+def _forest(rows: DataFrame, features: list[str], key: Sequence[str], trees: int, tree_rows: int, seed: int) -> tuple[list[Tree], int, int]:
+    """(trees, rows of each, rows sampled). The trees * tree_rows first rows by a seeded hash are dealt in that order to
+    the trees, round and round if there are fewer; each tree grows on the executors, in a group of its own rows."""
+    sample = freeze(with_index(bottom_n(rows, trees * tree_rows, key, seed), [F.xxhash64(*key, F.lit(seed)).asc(), *key], name="nth"))
+    sampled = sample.count()
+    size = min(tree_rows, sampled)
+    if not size:
+        return [], 0, 0
+    slots = F.sequence(F.col("nth"), F.lit(trees * size - 1).cast("long"), F.lit(sampled).cast("long"))
+    dealt = sample.select(*[F.col(c).alias(f"f{i}") for i, c in enumerate(features)], F.explode(slots).alias("slot"))
+    dealt = dealt.withColumn("tree", F.floor(F.col("slot") / size).cast("int"))
+
+    def grow(frame: pd.DataFrame) -> pd.DataFrame:
+        ordered = frame.sort_values("slot")
+        number = int(ordered["tree"].iloc[0])
+        x = ordered[[f"f{i}" for i in range(len(features))]].to_numpy(dtype=float)
+        return pd.DataFrame([(number, *[a.tolist() for a in _grow(x, np.random.default_rng([seed, number]))])], columns=["tree", *TREE_FIELDS])
+
+    schema = "tree int, feature array<int>, split array<double>, lower array<int>, upper array<int>, depth array<double>"
+    grown = dealt.groupBy("tree").applyInPandas(grow, schema).orderBy("tree").collect()  # trees * 2 * tree_rows nodes at most
+    return [tuple(np.array(r[c]) for c in TREE_FIELDS) for r in grown], size, sampled
+
+
+TREE_FIELDS = ("feature", "split", "lower", "upper", "depth")
+
+
 def isolation_forest(
     df: DataFrame,
     features: Sequence[str],
@@ -154,12 +180,14 @@ def isolation_forest(
     contamination: float | None = 0.1,
     seed: int = 42,
     nulls: str = "median",
+    trees: int = TREES,
+    tree_rows: int = TREE_ROWS,
 ) -> DataFrame:
     """Score every row (1 = isolated at once) and flag the share ``contamination``; ``None`` flags
     scores above 0.5. Nulls take the column median, or their rows are dropped (``nulls="drop"``).
 
-    The trees grow on 256 sampled rows each (25,600 rows in all, whatever the table holds) and are
-    broadcast; the table is scored where it lies."""
+    Each of ``trees`` grows on ``tree_rows`` sampled rows, which is the method's own sample, on the executors; what is
+    broadcast has at most 2 * trees * tree_rows nodes. The table is scored where it lies."""
     features = list(features)
     rows = df.select(*key, *[F.col(c).cast("double").alias(c) for c in features])
     if nulls == "drop":
@@ -167,13 +195,10 @@ def isolation_forest(
     else:
         medians = quantiles(long_form(rows, features, "double"), "value", {"median": 0.5}, ["column"])
         rows = _filled(rows, features, per_column(medians, features, "median"))
-    sample = bottom_n(rows, TREES * TREE_ROWS, key, seed).select(*features).toPandas().to_numpy(dtype=float)
     schema = rows.select(*key, *features).schema.add("score", "double").add("is_anomaly", "boolean")
-    if len(sample) < 10 and nulls == "drop":
+    forest, size, sampled = _forest(rows, features, key, trees, tree_rows, seed)
+    if not sampled or (sampled < 10 and nulls == "drop"):
         return df.sparkSession.createDataFrame([], schema)
-    rng = np.random.default_rng(seed)
-    size = min(TREE_ROWS, len(sample))
-    forest = [_grow(sample[rng.choice(len(sample), size, replace=False)], rng) for _ in range(TREES)]
     expected = _mean_path(size) or 1.0
     shared = df.sparkSession.sparkContext.broadcast(forest)
 
@@ -201,11 +226,11 @@ def isolation_forest(
     return scored.withColumn("is_anomaly", F.col("score") > cut)
 
 
-def isolation_summary(scored: DataFrame, top: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Totals with the anomalous share in percent, and the ``top`` rows by score."""
+def isolation_summary(scored: DataFrame, top: int = 20, key: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Totals with the anomalous share in percent, and the ``top`` rows by score, ties by ``key``."""
     totals = scored.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if("is_anomaly").alias("anomaly_count"),
         (F.count_if("is_anomaly") * 100 / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("anomaly_pct"),
     )
-    return totals, scored.where("is_anomaly").orderBy(F.desc("score")).limit(top)
+    return totals, scored.where("is_anomaly").orderBy(F.desc("score"), *key).limit(top)

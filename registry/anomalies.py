@@ -77,3 +77,12 @@ def _(spark, sf):
 def _(spark, sf):
     events = table(spark, sf, "events")
     return rounded(anomaly.isolation_summary(anomaly.isolation_forest(events, ["value"], ["event_id"], None, nulls="drop"))[0])
+
+
+@query("isolation_planted", "SELECT o_orderkey, TRUE AS is_anomaly FROM orders WHERE o_orderkey % 500 = 0")
+def _(spark, sf):
+    """Orders at a hundred times their price; each of them is to be flagged among a fiftieth of all."""
+    priced = F.when(F.col("o_orderkey") % 500 == 0, F.col("o_totalprice") * 100 + 1e7).otherwise(F.col("o_totalprice"))
+    orders = table(spark, sf, "orders").select("o_orderkey", priced.cast("double").alias("price"))
+    scored = anomaly.isolation_forest(orders, ["price"], ["o_orderkey"], 0.02, trees=50, tree_rows=512)
+    return scored.where("o_orderkey % 500 = 0").select("o_orderkey", "is_anomaly")

@@ -49,6 +49,15 @@ def test_isolation_forest_finds_planted_rows(spark):
     assert anomaly.isolation_forest(df.limit(3), ["value"], ["id"], None, nulls="drop").count() == 0
 
 
+def test_isolation_trees_are_dealt_alike(spark):
+    rows = spark.range(500).select("id", F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double").alias("x"))
+    one, two = (
+        {r.id: r.score for r in anomaly.isolation_forest(rows.repartition(n), ["x"], ["id"], None, trees=8, tree_rows=40).collect()} for n in (1, 7)
+    )
+    assert one == two and len(set(one.values())) > 20
+    assert anomaly.isolation_forest(rows.where("false"), ["x"], ["id"], 0.1).count() == 0
+
+
 def test_forecasts(spark):
     line = frame(spark, idx=list(range(5)), value=[10.0, 11.0, 12.0, 13.0, 14.0])
     ahead = series.forecast_linear(line, ["idx"], "value", 3)
