@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from uuid import uuid4
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,14 +25,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-TOKENIZERS = "/opt/tokenizers"
-
-
 @query
 def op1_nbest_pieces(spark, sf):
     """The four best segmentations of every document, and a checksum of what the best one decodes to."""
-    model = f"{TOKENIZERS}/piece_bpe_32k.model"
-    return pieces.encode(table(spark, sf, "documents"), model)
+    return pieces.encode(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 SHARDS = 40
@@ -117,7 +114,7 @@ def op4_redirect_equivalence(spark, sf):
 @query
 def op5_best_fit(spark, sf):
     """All documents in sequences of at most 1024 tokens."""
-    return packing.pack(table(spark, sf, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 _STOPS = ", ".join(f"'{w}'" for w in rules.STOP_WORDS)
