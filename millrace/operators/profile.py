@@ -78,6 +78,77 @@ def profile_table(df: DataFrame, columns: Sequence[str] | None = None, exact: bo
     )
 
 
+#: HyperLogLog of 2^12 registers (1.6 % standard error), KLL of k = 400 (rank error below 1 %), heavy values tracked.
+DISTINCT_BITS, QUANTILE_SIZE, TOP_TRACKED = 12, 400, 1_000
+
+
+def profile_sketches(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row per column that can be stored and merged: counts, moments, and sketches of distinct values, quantiles
+    (numbers) and the most frequent values (others). One aggregation with partial sketches; no cell is shuffled."""
+    columns = list(columns or df.columns)
+    numeric, types = set(numeric_columns(df)), dict(df.dtypes)
+
+    def measures(c: str) -> Column:
+        number = F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")
+        text = F.lit(None).cast("string") if c in numeric else F.col(c).cast("string")
+        return F.struct(
+            F.lit(c).alias("column_name"),
+            F.lit(types[c]).alias("dtype"),
+            F.count(F.lit(1)).alias("total_rows"),
+            F.count(c).alias("count"),
+            F.avg(number).alias("mean"),
+            (F.var_pop(number) * F.count(number)).alias("m2"),
+            F.min(number).alias("min"),
+            F.max(number).alias("max"),
+            F.hll_sketch_agg(F.col(c).cast("string"), DISTINCT_BITS).alias("distinct"),
+            F.kll_sketch_agg_double(number, QUANTILE_SIZE).alias("places"),
+            F.call_function("approx_top_k_accumulate", text, F.lit(TOP_TRACKED)).alias("tops"),
+        )
+
+    return df.agg(F.array(*[measures(c) for c in columns]).alias("m")).select(F.inline("m"))
+
+
+def merge_sketches(parts: DataFrame) -> DataFrame:
+    """The sketches of a whole out of those of its parts; earlier parts are not read again."""
+    n, mean = F.col("count"), F.col("mean")
+    total = F.sum(F.when(mean.isNotNull(), n))
+    middle = F.sum(n * mean) / total
+    return parts.groupBy("column_name", "dtype").agg(
+        F.sum("total_rows").alias("total_rows"),
+        F.sum("count").alias("count"),
+        middle.alias("mean"),
+        F.when(total > 0, F.greatest(F.lit(0.0), F.sum("m2") + F.sum(n * mean * mean) - total * middle * middle)).alias("m2"),
+        F.min("min").alias("min"),
+        F.max("max").alias("max"),
+        F.hll_union_agg("distinct").alias("distinct"),
+        F.kll_merge_agg_double("places").alias("places"),
+        F.call_function("approx_top_k_combine", F.col("tops"), F.lit(TOP_TRACKED)).alias("tops"),
+    )
+
+
+def profile_of_sketches(sketches: DataFrame) -> DataFrame:
+    """``profile_table`` as far as sketches tell; distinct values, quartiles and the top value are estimates."""
+    held = F.col("count") > 0
+    place = lambda q: F.when(F.col("min").isNotNull(), F.kll_sketch_get_quantile_double("places", F.lit(q)))
+    # Null counts as a value there, so the second one may be the first of the others.
+    top = F.get(F.filter(F.call_function("approx_top_k_estimate", F.col("tops"), F.lit(2)), lambda x: x["item"].isNotNull()), F.lit(0))
+    return sketches.select(
+        "column_name",
+        "dtype",
+        "total_rows",
+        (F.col("total_rows") - F.col("count")).alias("null_count"),
+        "count",
+        "mean",
+        F.when(F.col("count") > 1, F.sqrt(F.col("m2") / F.nullif(F.col("count") - 1, F.lit(0)))).alias("std"),
+        "min",
+        "max",
+        F.when(held, F.hll_sketch_estimate("distinct")).otherwise(F.lit(0)).alias("unique_count"),
+        *[place(q).alias(name) for name, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))],
+        top["item"].alias("top"),
+        top["count"].alias("freq"),
+    )
+
+
 @dataclass(frozen=True)
 class Check:
     """A quality rule: ``null`` (max_null_pct), ``range`` (low, high, both inclusive) or ``unique``."""

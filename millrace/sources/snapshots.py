@@ -111,7 +111,7 @@ def publish(
         part, seen = f"{name}-{uuid4().hex}", Observation()
         if parts.get(name):
             held = read_member(spark, folder, base, name)
-            if {f.name: f.dataType for f in held.schema} != {f.name: f.dataType for f in df.schema}:
+            if dict(held.dtypes) != dict(df.dtypes):
                 raise ValueError(f"columns of the new rows differ from those of {name}: {df.dtypes} and {held.dtypes}")
         writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write
         if partition_by and name in partition_by:

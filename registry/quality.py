@@ -55,6 +55,28 @@ def _(spark, sf):
     return rounded(profile.profile_table(sparse_events(spark, sf), PROFILED, exact=False))
 
 
+MERGED_EXACT = ("column_name", "dtype", "total_rows", "null_count", "count", "min", "max")
+
+
+@query(
+    "profile_sketches_merged",
+    f"WITH {SPARSE}, p AS ({_number_profile('user_id', 'bigint')} UNION ALL {_number_profile('amount', 'double')})"
+    f" SELECT {', '.join(MERGED_EXACT)}, TRUE AS distinct_near, TRUE AS median_near FROM p",
+)
+def _(spark, sf):
+    """The profile of events out of the sketches of five parts, and whether its estimates are near the exact profile."""
+    events, names = sparse_events(spark, sf), ["user_id", "amount"]
+    parts = None
+    for i in range(5):
+        part = profile.profile_sketches(events.where(F.col("event_id") % 5 == i), names)
+        parts = part if parts is None else parts.unionByName(part)
+    exact = profile.profile_table(events, names).select("column_name", F.col("unique_count").alias("kinds"), F.col("std").alias("spread"), F.col("q50").alias("middle"))
+    found = profile.profile_of_sketches(profile.merge_sketches(parts)).join(exact, "column_name")
+    distinct_near = F.abs(F.col("unique_count") - F.col("kinds")) <= 0.06 * F.col("kinds")
+    median_near = F.abs(F.col("q50") - F.col("middle")) <= 0.1 * F.col("spread")
+    return rounded(found.select(*MERGED_EXACT, distinct_near.alias("distinct_near"), median_near.alias("median_near")))
+
+
 QUALITY_CHECKS = [
     Check("null", "amount", max_null_pct=0.05),
     Check("null", "kind", max_null_pct=0.2),
