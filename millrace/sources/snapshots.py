@@ -19,6 +19,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.sources.io import first_copies, unseen
 
@@ -39,6 +40,7 @@ class Snapshot:
 
     version: int
     parts: dict[str, list[str]]
+    schemas: dict[str, str]
     added: dict[str, int] = field(default_factory=dict)
     facts: dict[str, str] = field(default_factory=dict)
 
@@ -71,7 +73,7 @@ def open_snapshot(spark: SparkSession, folder: str, version: int | None = None)
         entry = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
     finally:
         stream.close()
-    return Snapshot(entry["version"], entry["parts"], entry["added"], entry["facts"])
+    return Snapshot(entry["version"], entry["parts"], entry["schemas"], entry["added"], entry["facts"])
 
 
 def _entry(folder: str, version: int) -> str:
@@ -87,7 +89,9 @@ def read(spark: SparkSession, folder: str, version: int | None = None, member: s
 
 
 def read_member(spark: SparkSession, folder: str, snapshot: Snapshot, member: str) -> DataFrame:
-    return spark.read.parquet(*[f"{folder}/data/{part}" for part in snapshot.parts[member]])
+    """The rows of one member table; the schema is that of the log, for a part without rows may have no file."""
+    schema = StructType.fromJson(json.loads(snapshot.schemas[member]))
+    return spark.read.schema(schema).parquet(*[f"{folder}/data/{part}" for part in snapshot.parts[member]])
 
 
 def publish(
@@ -106,6 +110,7 @@ def publish(
     """Write a part of every table in ``new`` and publish the version after ``base``. Members named in ``kept`` keep
     the parts they have; the others consist of their new part alone."""
     parts = {name: list(base.parts.get(name, ())) if base is not None else [] for name in kept}
+    schemas = {name: base.schemas[name] for name in parts if base is not None and name in base.schemas}
     added = {}
     for name, df in new.items():
         part, seen = f"{name}-{uuid4().hex}", Observation()
@@ -118,13 +123,14 @@ def publish(
             writer = writer.partitionBy(*partition_by[name])
         writer.parquet(f"{folder}/data/{part}")
         parts.setdefault(name, []).append(part)
+        schemas[name] = df.schema.json()
         added[name] = seen.get["rows"]
     version = 1 if base is None else base.version + 1
     now = spark.range(1).select(F.current_timestamp().cast("string")).first()[0]
-    entry = {"version": version, "mode": mode, "parts": parts, "added": added, "job": job, "inputs": list(inputs), "tenant": tenant}
+    entry = {"version": version, "mode": mode, "parts": parts, "schemas": schemas, "added": added, "job": job, "inputs": list(inputs), "tenant": tenant}
     entry |= {"committed_at": now, "facts": dict(facts or {})}
     _rename_once(spark, folder, version, json.dumps(entry))
-    return Snapshot(version, parts, added, entry["facts"])
+    return Snapshot(version, parts, schemas, added, entry["facts"])
 
 
 def _rename_once(spark: SparkSession, folder: str, version: int, text: str) -> None:
