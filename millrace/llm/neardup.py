@@ -2,23 +2,31 @@
 
 1. Every text becomes its set of word shingles (64-bit hashes). Texts with equal sets are one class from the
    start, so copies cost no more than one row each.
-2. Every class has a signature per tree. In the order of a tree's signatures, the classes that share a prefix of
-   ``depth`` values are neighbours and form a region; a region hands on one link from each of its classes to its
-   first, never its pairs. Components over these links hold every pair that shares a region in some tree.
+2. Every class has one signature of ``trees`` * ``depth`` values, and each tree an order of its own: the signature
+   turned so that it begins with the tree's values. A tree's order is sorted by ranges, whatever their keys, so a
+   crowded prefix is spread over tasks. Neighbours in an order are linked with the length of their common prefix,
+   if that is ``depth`` or more; ranges hand their first and last rows on, so no neighbours are missed.
+   Components over these links hold every pair that shares a region (a prefix of ``depth`` values) in some tree.
 3. Inside a component, one class after another is compared with all others on the full sets, by one vector
    operation each, until the classes not yet compared are all linked to each other; so a group of thousands of
    copies takes a few comparisons, and a group of strangers takes them all. No pair is left out.
-4. A component whose sets are too large for one task goes deeper: each class goes to the block of the region
-   that a longer prefix of its signature gives it, and blocks too large are split by hash. Blocks are confirmed
-   first alone, then one class of each linked group against the others, then block against block where the
-   blocks still hold classes not linked to each other. So the rest is exact as well.
+4. A component too large for one task is crowded: only links of longer common prefixes hold it together now, and
+   longer ones yet where it stays crowded, so each of its parts is as deep as it needs. A part that no prefix
+   divides (copies by the thousands) is dealt by hash. Parts are confirmed, then one class of each linked group
+   against the others.
+5. What depth has parted is made good exactly: each region that still holds classes of several parts, not linked
+   to each other, is compared as a whole. Only a single region too large for a task is compared piece by piece.
+   Classes that share no region are never compared, even if a chain of regions leads from one to the other.
 
-No table on the way has a bound but by the corpus, so all joins ask not to be broadcast.
+No table on the way has a bound but by the corpus (the ends of ranges excepted), so joins ask not to be broadcast.
 
-Two texts of a similarity s share no region with the chance (1 - s^depth)^trees: 2e-8 at 0.85.
+Two texts of a similarity s share no region with the chance (1 - s^depth)^trees: 2e-8 at 0.85. Values are cut to
+16 bits, which can only add candidates.
 
 A word is a run of anything but ASCII white space, with A-Z lower-cased. With fewer words than a shingle the
 whole sequence is the one shingle; null texts and texts without words have an empty set and link with nothing.
+Texts are read whole, whatever their length; the largest set is held by one task. An empty table gives no rows.
+Columns beside key and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,13 +36,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.freeze import freeze
 from millrace.llm.components import components
+from millrace.llm.names import fresh
+from millrace.llm.stored import stored
 
-TREES, DEPTH, LONGER = 24, 4, 4
+TREES, DEPTH = 24, 4
+#: How many values of a tree's order are looked at, in multiples of ``depth``.
+REACH = 3
 #: Shingles whose sets one task may hold at a time.
 TASK_SHINGLES = 4_000_000
 
@@ -88,20 +99,12 @@ def signatures(sets: list[np.ndarray], count: int) -> np.ndarray:
     return out
 
 
-def _prefixes(values: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """One hash per tree of the first ``depth`` values of its signature."""
-    out = np.tile(_mixed(np.arange(1, trees + 1, dtype=np.uint64)), (len(values), 1))
-    for d in range(depth):
-        out = _mixed(out * _MIX + values[:, d * trees : (d + 1) * trees])
-    return out
-
-
-FEATURES = "doc_id {}, text_key binary, n_shingles long, class binary, deep long, bases array<long>"
+FEATURES = "doc_id {}, text_key binary, n_shingles long, class binary, signature binary"
 
 
 def features(docs: DataFrame, key: str, text: str, n: int, trees: int, depth: int) -> DataFrame:
-    """Per row: a key of its text, the size and the key of its set, the tree prefixes, and the longer prefix
-    of the first tree. Rows without words have no class and no prefixes."""
+    """Per row: a key of its text, the size and the key of its set, and its signature, tree after tree, two bytes
+    a value. Rows without words have no class and no signature."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
@@ -115,21 +118,18 @@ def features(docs: DataFrame, key: str, text: str, n: int, trees: int, depth: in
                 part, at = frame.iloc[at:until], until
                 sets = [shingles(t, n, words) for t in part["text"]]
                 full = [i for i, s in enumerate(sets) if len(s)]
-                bases, deep = [None] * len(sets), [0] * len(sets)
+                signature = [None] * len(sets)
                 if full:
-                    values = signatures([sets[i] for i in full], trees * depth + LONGER)
-                    prefixes = _prefixes(values, trees, depth).view(np.int64)
-                    longer = _prefixes(np.concatenate([values[:, : trees * depth : trees], values[:, trees * depth :]], axis=1), 1, depth + LONGER).view(np.int64)
-                    for i, p, d in zip(full, prefixes, longer[:, 0], strict=True):
-                        bases[i], deep[i] = p, int(d)
+                    values = signatures([sets[i] for i in full], trees * depth)
+                    for i, row in zip(full, (_mixed(values) >> np.uint64(48)).astype(">u2"), strict=True):
+                        signature[i] = row.tobytes()
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"],
                         "text_key": part["text_key"],
                         "n_shingles": [len(s) for s in sets],
                         "class": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                        "deep": deep,
-                        "bases": bases,
+                        "signature": signature,
                     }
                 )
 
@@ -139,6 +139,43 @@ def features(docs: DataFrame, key: str, text: str, n: int, trees: int, depth: in
     return rows.mapInPandas(run, FEATURES.format("string")).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
+def _orders(classes: DataFrame, trees: int, depth: int, values: int) -> DataFrame:
+    """(class, key) per tree: the tree's number and the first ``values`` values of its order."""
+    turned = F.expr(f"transform(sequence(0, {trees - 1}), t -> concat(unhex(lpad(hex(t), 4, '0')), substring(concat(signature, signature), t * {2 * depth} + 1, {2 * values})))")
+    return classes.select("class", F.explode(turned).alias("key"))
+
+
+def neighbours(classes: DataFrame, trees: int, depth: int) -> DataFrame:
+    """(a, b, level): classes next to each other in a tree's order that share at least ``depth`` values, and how
+    many they share in the tree where they share most. One sort; ranges hand on their first and last rows."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for frame in frames:
+            if frame.empty:
+                continue
+            if last is None:
+                yield frame.iloc[:1].rename(columns={"class": "a"}).assign(b=None, level=None)[["a", "b", "level", "key"]]
+            else:
+                frame = pd.concat([last, frame])
+            values = np.frombuffer(b"".join(frame["key"]), ">u2").reshape(len(frame), -1)
+            level = np.cumprod(values[1:] == values[:-1], axis=1).sum(axis=1) - 1  # the first value is the tree
+            near, names = np.flatnonzero(level >= depth), frame["class"].to_numpy()
+            yield pd.DataFrame({"a": names[near], "b": names[near + 1], "level": level[near], "key": None})
+            last = frame.iloc[-1:]
+        if last is not None:
+            yield last.rename(columns={"class": "a"}).assign(b=None, level=None)[["a", "b", "level", "key"]]
+
+    laid = _orders(classes, trees, depth, min(REACH, trees) * depth).repartitionByRange("key", "class").sortWithinPartitions("key", "class")
+    told = stored(laid.mapInPandas(run, "a binary, b binary, level int, key binary"))
+    # Two rows per range, so one window holds them all.
+    ends = told.where("b IS NULL").select("a", "key", F.lead("a").over(Window.orderBy("key", "a")).alias("b"), F.lead("key").over(Window.orderBy("key", "a")).alias("next"))
+    steps = [F.when(F.substring("key", 1, 2 + 2 * d) == F.substring("next", 1, 2 + 2 * d), d).otherwise(0) for d in range(depth, min(REACH, trees) * depth + 1)]
+    ends = ends.select("a", "b", F.greatest(*steps, F.lit(0)).alias("level")).where(F.col("level") >= depth)
+    links = told.where("b IS NOT NULL").select("a", "b", "level").union(ends).where("a <> b")
+    return stored(links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("level").alias("level")))
+
+
 def confirm(sets: list[np.ndarray], groups: list[int], percent: int) -> list[tuple[int, int]]:
     """Links (i, j) with 100 * intersection >= percent * union that join all that such links can join.
 
@@ -200,35 +237,68 @@ def _confirm_groups(rows: DataFrame, group: str, n: int, percent: int) -> DataFr
     return laid.mapInPandas(run, "a binary, b binary")
 
 
-def _confirm_large(members: DataFrame, n: int, percent: int, limit: int) -> DataFrame:
-    """Links inside components too large for one task. members: component, total, class, size, deep, text."""
-    shares = F.ceil(2 * F.col("total") / F.lit(limit)).cast("int")
-    regions = members.groupBy("component", "deep").agg(F.sum("size").alias("held"))
-    split = F.when(F.col("held") > limit // 2, F.pmod(F.xxhash64("class"), F.ceil(2 * F.col("held") / F.lit(limit)).cast("long"))).otherwise(0)
-    placed = members.join(regions.hint("merge"), ["component", "deep"]).withColumn(
-        "block", F.when(F.col("held") > limit // 2, F.xxhash64("deep", split)).otherwise(F.pmod(F.xxhash64("deep"), shares.cast("long")))
-    )
-    placed = freeze(placed.select("component", "total", "block", "class", "text"))
-    ones = placed.withColumn("known", F.xxhash64("class"))
-    inside = freeze(_confirm_groups(ones.withColumn("g", F.xxhash64("component", "block")), "g", n, percent))
-
-    def labelled(links: DataFrame) -> DataFrame:
-        found = components(links, "a", "b").select(F.col("node").alias("class"), F.col("component").alias("label"))
-        return freeze(placed.join(found.hint("merge"), "class", "left").withColumn("label", F.coalesce("label", "class")))
+def _parts(rows: DataFrame, links: DataFrame, depths: list[int], limit: int) -> DataFrame:
+    """(class, part): the rows (class, size) in parts of at most about ``limit`` shingles, held together by links
+    of common prefixes as long as it takes; what the longest does not divide is dealt by hash."""
+    waiting, done = rows, None
+    for depth in depths:
+        inner = links.where(F.col("level") >= depth).join(waiting.select(F.col("class").alias("a")).hint("merge"), "a", "left_semi")
+        joined = stored(components(inner, "a", "b")).select(F.col("node").alias("class"), F.col("component").alias("part"))
+        placed = stored(waiting.join(joined.hint("merge"), "class", "left").select("class", "size", F.coalesce("part", "class").alias("part")))
+        held = stored(placed.groupBy("part").agg(F.sum("size").alias("held")))
+        placed = stored(placed.join(held.hint("merge"), "part"))
+        settled = placed.where(F.col("held") <= limit).select("class", F.xxhash64("part").alias("part"))
+        done = settled if done is None else done.union(settled)
+        waiting = placed.where(F.col("held") > limit).select("class", "size")
+        if waiting.isEmpty():
+            return stored(done)
+    dealt = F.xxhash64("part", F.pmod(F.xxhash64("class"), F.ceil(2 * F.col("held") / F.lit(limit)).cast("long")))
+    return stored(done.union(placed.where(F.col("held") > limit).select("class", dealt.alias("part"))))
+
+
+def _confirm_large(members: DataFrame, links: DataFrame, n: int, percent: int, trees: int, depth: int, limit: int) -> DataFrame:
+    """Links inside components too large for one task. members: component, total, class, size, signature, text."""
+    parts = _parts(stored(members.select("class", "size")), links, [depth + 1, depth + 2, *range(2 * depth, min(REACH, trees) * depth + 1, depth)], limit // 2)
+    placed = stored(members.join(parts.hint("merge"), "class"))
+    inside = stored(_confirm_groups(placed.withColumn("known", F.xxhash64("class")), "part", n, percent))
+
+    def labelled(found: DataFrame) -> DataFrame:
+        named = stored(components(found, "a", "b")).select(F.col("node").alias("class"), F.col("component").alias("label"))
+        return stored(placed.drop("text").join(named.hint("merge"), "class", "left").withColumn("label", F.coalesce("label", "class")))
 
     told = labelled(inside)
-    first = told.where(F.col("class") == F.col("label")).withColumn("known", F.xxhash64("class"))
+    texts = placed.select("class", "text")
     # The first classes of the groups, dealt over as many tasks as the whole component would need.
     dealt = F.xxhash64("component", F.pmod(F.xxhash64("class"), F.ceil(2 * F.col("total") / F.lit(limit)).cast("long")))
-    between = freeze(_confirm_groups(first.withColumn("g", dealt), "g", n, percent))
-    links = inside.union(between)
-    told = labelled(links).withColumn("known", F.xxhash64("label"))
-    blocks = freeze(told.groupBy("component", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")))
-    other = blocks.select("component", F.col("block").alias("block2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = blocks.join(other.hint("merge"), "component").where("block < block2 AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)")
-    pairs = pairs.select("component", F.xxhash64("component", "block", "block2").alias("g"), F.explode(F.array("block", "block2")).alias("block"))
-    across = _confirm_groups(told.join(pairs.hint("merge"), ["component", "block"]), "g", n, percent)
-    return links.union(freeze(across))
+    first = told.where(F.col("class") == F.col("label")).select("class", dealt.alias("g"), F.xxhash64("class").alias("known"))
+    between = stored(_confirm_groups(first.join(texts.hint("merge"), "class"), "g", n, percent))
+    found = inside.union(between)
+
+    # Regions that hold classes of several parts and several groups; equal ones of several trees count once.
+    told = labelled(found)
+    held = _orders(told, trees, depth, depth).join(told.select("class", "size", "part", "label").hint("merge"), "class")
+    regions = held.groupBy("key").agg(
+        F.sum("size").alias("held"),
+        F.count(F.lit(1)).alias("n"),
+        F.bit_xor(F.xxhash64("class")).alias("same"),
+        F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("same2"),
+        *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("part", "label")],
+    )
+    open_ = regions.where("min_part <> max_part AND min_label <> max_label").groupBy("n", "same", "same2", "held").agg(F.min("key").alias("key"))
+    rest = stored(held.join(open_.select("key", F.col("held").alias("region_size")).hint("merge"), "key").withColumn("known", F.xxhash64("label")))
+    whole = rest.where(F.col("region_size") <= limit).select("key", "class", "known")
+    found = found.union(stored(_confirm_groups(whole.join(texts.hint("merge"), "class"), "key", n, percent)))
+    crowded = rest.where(F.col("region_size") > limit)
+    if crowded.isEmpty():
+        return found
+    piece = F.pmod(F.xxhash64("part"), F.ceil(4 * F.col("region_size") / F.lit(limit)).cast("long"))
+    crowded = stored(crowded.select("key", "class", "known", piece.alias("piece")))
+    pieces = stored(crowded.groupBy("key", "piece").agg(F.min("known").alias("lo"), F.max("known").alias("hi")))
+    other = pieces.select("key", F.col("piece").alias("piece2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    pairs = pieces.join(other.hint("merge"), "key").where("piece <= piece2 AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)")
+    pairs = pairs.select("key", F.xxhash64("key", "piece", "piece2").alias("g"), F.explode(F.array_distinct(F.array("piece", "piece2"))).alias("piece"))
+    across = crowded.join(pairs.hint("merge"), ["key", "piece"]).select("g", "class", "known")
+    return found.union(stored(_confirm_groups(across.join(texts.hint("merge"), "class"), "g", n, percent)))
 
 
 def near_duplicates(
@@ -238,40 +308,44 @@ def near_duplicates(
     100 * intersection >= ``percent`` * union of ``n``-word shingle sets can reach), ``kept`` (the row holds it) and ``text_md5``.
 
     Rows that repeat key and text are all kept or all not. A null key is larger than any other."""
-    found = freeze(features(docs, key, text, n, trees, depth))
-    classes = freeze(
+    found = stored(features(docs, key, text, n, trees, depth))
+    # One row speaks for a class, so that of many copies one text is moved.
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    classes = stored(
         found.where("class IS NOT NULL")
         .groupBy("class")
-        .agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.min("n_shingles").alias("size"), F.min("deep").alias("deep"), F.min("bases").alias("bases"))
+        .agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("text_key", name.alias("name"))).alias("row"), F.min("n_shingles").alias("size"), F.min("signature").alias("signature"))
+        .select("class", "doc_id", "row.*", "size", "signature")
     )
-    places = classes.select("class", F.explode("bases").alias("base"))
-    regions = places.groupBy("base").agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("base", "first")
-    near = places.join(freeze(regions).hint("merge"), "base").where("class <> first").select("class", "first").distinct()
-    candidate = components(near, "class", "first").select(F.col("node").alias("class"), "component")
-    member = freeze(candidate.join(classes.select("class", "text_key", "size", "deep").hint("merge"), "class"))
-    totals = freeze(member.groupBy("component").agg(F.sum("size").alias("total")))
-    member = freeze(member.join(totals.hint("merge"), "component"))
-    texts = docs.select(F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("text_key"), F.col(text).alias("text"))
-    texts = texts.join(member.select("text_key").hint("merge"), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
-    sets = freeze(member.join(texts.hint("merge"), "text_key").select("component", "total", "class", "size", "deep", "text"))
+    near = neighbours(classes, trees, depth)
+    candidate = stored(components(near, "a", "b")).select(F.col("node").alias("class"), "component")
+    member = stored(candidate.join(classes.drop("doc_id").hint("merge"), "class"))
+    totals = stored(member.groupBy("component").agg(F.sum("size").alias("total")))
+    member = stored(member.join(totals.hint("merge"), "component"))
+    own = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    texts = docs.select(F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("text_key"), own.alias("name"), F.col(text).alias("text"))
+    texts = texts.join(member.select("text_key", "name").hint("merge"), ["text_key", "name"], "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+    sets = stored(member.join(texts.hint("merge"), "text_key").select("component", "total", "class", "size", "signature", "text"))
     small = sets.where(F.col("total") <= limit).withColumn("known", F.xxhash64("class"))
-    links = freeze(_confirm_groups(small, "component", n, percent))
+    links = stored(_confirm_groups(small, "component", n, percent))
     large = sets.where(F.col("total") > limit)
     if not large.isEmpty():
-        links = links.union(_confirm_large(large, n, percent, limit))
-    joined = components(links, "a", "b").select(F.col("node").alias("class"), "component")
+        links = links.union(_confirm_large(large, near, n, percent, trees, depth, limit))
+    joined = stored(components(links, "a", "b")).select(F.col("node").alias("class"), "component")
     known = joined.join(classes.select("class", "doc_id").hint("merge"), "class")
-    least = freeze(known.groupBy("component").agg(F.min("doc_id").alias("least")))
+    least = stored(known.groupBy("component").agg(F.min("doc_id").alias("least")))
     named = classes.select("class", "doc_id").join(joined.join(least.hint("merge"), "component").select("class", "least").hint("merge"), "class", "left")
-    named = freeze(named.select("class", F.coalesce("least", "doc_id").alias("least")))
+    named = stored(named.select("class", F.coalesce("least", "doc_id").alias("least")))
     out = found.join(named.hint("merge"), "class", "left").withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     return out.select(F.col("doc_id").alias(key), "n_shingles", "component_id", kept, F.lower(F.hex("text_key")).alias("text_md5"))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that hold their component's smallest key, repeated rows once."""
-    row = lambda of, digest: F.concat_ws(" ", F.coalesce(F.col(of).cast("string"), F.lit("null")), digest).alias("_row")
+    """The rows of ``docs`` that hold their component's smallest key. Of rows that repeat key and text one stays,
+    any of them. All columns of ``docs`` come back, whatever their names."""
+    name = fresh("row", docs)
+    row = lambda of, digest: F.concat_ws(" ", F.coalesce(F.col(of).cast("string"), F.lit("null")), digest).alias(name)
     kept = near_duplicates(docs, key, text, **options).where("kept").select(row(key, F.col("text_md5")))
-    named = docs.withColumn("_row", row(key, F.md5(F.coalesce(text, F.lit("")))))
-    return named.join(kept.hint("merge"), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    named = docs.withColumn(name, row(key, F.md5(F.coalesce(text, F.lit("")))))
+    return named.join(kept.hint("merge"), name, "left_semi").dropDuplicates([name]).drop(name)
