@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +40,18 @@ READ_AS = {
     "object": T.MapType(T.StringType(), T.StringType()),
     "any": T.StringType(),
 }
+#: The same by the first word of a type's name.
+ACCEPTED_NAMES = {
+    "string": ("string", "char", "varchar"),
+    "integer": ("tinyint", "smallint", "int", "bigint"),
+    "float": ("float", "double", "decimal"),
+    "boolean": ("boolean",),
+    "date": ("date",),
+    "datetime": ("timestamp", "timestamp_ntz"),
+    "timestamp": ("timestamp", "timestamp_ntz"),
+    "array": ("array",),
+    "object": ("struct", "map"),
+}
 JSON_TYPE = {"float": "number", "date": "string", "datetime": "string", "timestamp": "string", "any": "string"}
 TYPE_RANK = {
     "int": 1, "integer": 1, "smallint": 1, "bigint": 2, "long": 2, "float": 3, "double": 4, "decimal": 5,
@@ -111,6 +123,35 @@ def validate_schema(df: DataFrame, contract: Contract) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 
 
+def validate_schemas(fields: DataFrame, contract: Contract, by: Sequence[str]) -> DataFrame:
+    """(by, column, level, code, expected, actual): ``validate_schema`` for many registered schemas at once.
+
+    ``fields`` has a row (by, name, type) per field; a schema without fields is not among them. One shuffle by
+    ``by``; null is a schema's key like any other. Of a name that occurs twice the type that sorts first counts."""
+    have = F.array_sort(F.collect_set(F.struct("name", F.lower("type").alias("type")))).alias("have")
+    schemas = fields.groupBy(*by).agg(have)
+
+    def finding(name: Column, level: str, code: str, expected: str | None, actual: Column) -> Column:
+        text = F.lit(expected).cast("string")
+        return F.struct(name.alias("column"), F.lit(level).alias("level"), F.lit(code).alias("code"), text.alias("expected"), actual.cast("string").alias("actual"))
+
+    def named(name: str) -> Callable[[Column], Column]:
+        return lambda f: f["name"] == name
+
+    found = []
+    for c in contract.columns:
+        kind = F.get(F.filter("have", named(c.name)), F.lit(0))["type"]
+        level, code = ("warning", "missing_optional") if c.nullable else ("error", "missing_required")
+        missing = F.when(kind.isNull(), finding(F.lit(c.name), level, code, c.type, F.lit(None)))
+        if c.type != "any":
+            fits = F.regexp_extract(kind, "^[a-z_]+", 0).isin(*ACCEPTED_NAMES[c.type])
+            missing = missing.when(~fits, finding(F.lit(c.name), "error", "type_mismatch", c.type, kind))
+        found.append(missing)
+    extra = F.filter("have", lambda f: ~f["name"].isin(*[c.name for c in contract.columns]))
+    extras = F.transform(extra, lambda f: finding(f["name"], "warning", "extra_column", None, f["type"]))
+    return schemas.select(*by, F.inline(F.concat(F.array_compact(F.array(*found)), extras)))
+
+
 def _row_rules(c: ColumnSpec) -> dict[str, Column]:
     """Tests a single row can break, by rule name; null only breaks ``not_null``."""
     value, rules = F.col(c.name), {}
@@ -215,10 +256,11 @@ def _changes(both: DataFrame, keep: Sequence[str]) -> DataFrame:
     return both.select(*keep, "name", F.inline(found), F.col("o_type").alias("old_type"), F.col("n_type").alias("new_type"))
 
 
-def schema_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Changes between two schemas given as (name, type, nullable, default) rows."""
-    side = lambda df, p: df.select("name", *[F.col(c).alias(f"{p}_{c}") for c in ("type", "nullable", "default")])
-    return _changes(side(old, "o").join(side(new, "n"), "name", "full"), [])
+def schema_diff(old: DataFrame, new: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Changes between two schemas given as (name, type, nullable, default) rows; with ``by``, between the schemas
+    of each key, many at once. Keys must not be null."""
+    side = lambda df, p: df.select(*by, "name", *[F.col(c).alias(f"{p}_{c}") for c in ("type", "nullable", "default")])
+    return _changes(side(old, "o").join(side(new, "n"), [*by, "name"], "full"), by)
 
 
 def verdict() -> Column:
@@ -231,8 +273,9 @@ def verdict() -> Column:
     )
 
 
-def compatibility(changes: DataFrame) -> DataFrame:
-    return changes.agg(
+def compatibility(changes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Totals and verdict over change rows, per key of ``by`` that has any."""
+    return changes.groupBy(*by).agg(
         F.count("change").alias("changes"), F.count_if("breaking").alias("breaking_changes"), verdict().alias("compatibility")
     )
 

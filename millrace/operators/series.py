@@ -6,11 +6,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.functions.freeze import freeze
 from millrace.functions.numbers import round_to, z_of
@@ -206,7 +203,8 @@ def _features(ts: Column) -> list[Column]:
 def calendar_fit(filled: DataFrame, series: Sequence[str] = ()) -> DataFrame:
     """Linear model of a filled series on date, month and weekday, from its covariances.
 
-    The solve runs on one small row per series."""
+    One aggregation; the normal equations are then solved in expressions. A feature that is constant, or a
+    combination of those before it, gets the slope 0."""
     points = filled.select(*series, "ts", "value", *_features(F.col("ts")))
     moments = [F.avg(f).alias(f"m_{f}") for f in FEATURES]
     moments += [F.covar_pop(a, b).alias(f"c_{a}_{b}") for i, a in enumerate(FEATURES) for b in FEATURES[i:]]
@@ -218,28 +216,42 @@ def calendar_fit(filled: DataFrame, series: Sequence[str] = ()) -> DataFrame:
         F.var_pop("value").alias("v_value"),
         *moments,
     ).where("n >= 10")
-    names = list(FEATURES)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def solve(rows: pd.DataFrame) -> pd.Series:
-        out = []
-        for row in rows.to_dict("records"):
-            cov = np.array([[row[f"c_{min(a, b, key=names.index)}_{max(a, b, key=names.index)}"] for b in names] for a in names])
-            rhs = np.array([row[f"c_{a}"] for a in names])
-            out.append((np.linalg.pinv(cov, rcond=1e-12) @ rhs).tolist())
-        return pd.Series(out)
-
-    inputs = F.struct(*[F.col(c) for c in stats.columns if c.startswith("c_")])
-    fitted = stats.withColumn("b", solve(inputs))
+    fitted = stats.withColumn("b", F.array(*_slopes()))
     explained = sum((F.get("b", F.lit(i)) * F.col(f"c_{f}") for i, f in enumerate(FEATURES)), F.lit(0.0))
     return fitted.withColumn("rmse", F.sqrt(F.greatest(F.lit(0.0), F.col("v_value") - explained)))
 
 
+#: A feature of which less than this share of its variance is left beside the features before it says nothing new.
+OWN_SHARE = 1e-12
+
+
+def _slopes() -> list[Column]:
+    """Slopes per feature out of the columns of covariances, by elimination without exchange of rows: covariance
+    matrices need none."""
+    size = range(len(FEATURES))
+    left = {(i, j): F.col(f"c_{FEATURES[i]}_{FEATURES[j]}") for i in size for j in size if j >= i}
+    right = [F.col(f"c_{f}") for f in FEATURES]
+    pivots = []
+    for k in size:
+        pivot = F.when(left[k, k] > OWN_SHARE * F.col(f"c_{FEATURES[k]}_{FEATURES[k]}"), left[k, k])
+        pivots.append(pivot)
+        for i in size[k + 1 :]:
+            share = F.coalesce(left[k, i] / pivot, F.lit(0.0))
+            right[i] = right[i] - share * right[k]
+            for j in size[i:]:
+                left[i, j] = left[i, j] - share * left[k, j]
+    slopes: dict[int, Column] = {}
+    for k in reversed(size):
+        rest = sum((left[k, j] * slopes[j] for j in size[k + 1 :]), F.lit(0.0))
+        slopes[k] = F.coalesce((right[k] - rest) / pivots[k], F.lit(0.0))
+    return [slopes[k] for k in size]
+
+
 def forecast_calendar(
     df: DataFrame, ts: str, value: str, horizon: int = 30, freq: str = "D", series: Sequence[str] = ()
 ) -> DataFrame:
-    """Trend and season by date, month and weekday. Of several series, one with fewer than 10 periods gives one
-    row without a forecast, whose ``reason`` says so; a table without series that is as short gives no rows."""
+    """Trend and season by date, month and weekday. A series of fewer than 10 periods gives one row without a
+    forecast, whose ``reason`` says so; so does a table without series keys that is as short, or empty."""
     fit = calendar_fit(freeze(resample_fill(df, ts, value, freq, series)), series)
     first = F.expr("last + INTERVAL 1 DAY")
     start = _bin("first", freq)
@@ -264,10 +276,8 @@ def forecast_calendar(
         "rmse",
         F.lit(None).cast("string").alias("reason"),
     )
-    if not series:
-        return forecasts
     # Grouped, as null is a series too and a join would lose it.
     known = fit.select(*series, F.lit(1).alias("fitted")).union(df.select(*series, F.lit(0).alias("fitted")))
-    short = known.groupBy(*series).agg(F.max("fitted").alias("fitted")).where("fitted = 0")
+    short = known.groupBy(*series).agg(F.coalesce(F.max("fitted"), F.lit(0)).alias("fitted")).where("fitted = 0")
     nothing = [F.lit(None).cast(forecasts.schema[c].dataType).alias(c) for c in ("ts", "forecast", "lower_bound", "upper_bound", "rmse")]
     return forecasts.union(short.select(*series, *nothing, F.lit("fewer than 10 periods").alias("reason")))

@@ -51,10 +51,11 @@ def correlation(df: DataFrame, columns: Sequence[str], method: str = "pearson",
         return df.agg(F.array(*cells).alias("m")).select(F.inline("m"))
     if method not in ("spearman", "kendall"):
         raise ValueError(f"unknown method {method!r}")
-    one = _spearman if method == "spearman" else _kendall
+    if method == "spearman":
+        return _spearman(df, pairs)
     out = None
     for a, b in pairs:
-        r = one(df, a, b).select(F.lit(a).alias("x"), F.lit(b).alias("y"), "r")
+        r = _kendall(df, a, b).select(F.lit(a).alias("x"), F.lit(b).alias("y"), "r")
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -65,20 +66,29 @@ def _cells(df: DataFrame, a: str, b: str) -> DataFrame:
     return freeze(both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")))
 
 
-def _spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    cells = _cells(df, a, b)
-
-    def ranks(axis: str) -> DataFrame:
-        sums = cells.groupBy(axis).agg(F.sum("c").alias("c"))
-        run = running_sum(lay_out(sums, [axis]), "c", "upto")
-        return run.select(axis, (F.col("upto") - F.col("c") + (F.col("c") + 1) / 2).alias(f"r{axis}"))
-
-    total = cells.agg(F.sum("c")).scalar()
-    centre = (total + 1) / 2
-    ranked = cells.join(ranks("x"), "x").join(ranks("y"), "y").withColumn("centre", centre)
+def _spearman(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """All pairs in one long layout, so the number of shuffles does not depend on the number of columns.
+
+    Ranks are those among the rows in which both columns of a pair are known. A pair without such rows, or with
+    a constant column, has a null ``r``."""
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "x string, y string, r double")
+    entries = [F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, (a, b) in enumerate(pairs)]
+    cells = freeze(df.select(F.inline(F.array(*entries))).dropna().groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("c")))
+    sides = F.array(*[F.struct(F.lit(axis).alias("axis"), F.col(axis).alias("v")) for axis in ("x", "y")])
+    sums = cells.select("pair", "c", F.inline(sides)).groupBy("pair", "axis", "v").agg(F.sum("c").alias("c"))
+    by = ["pair", "axis"]
+    run = running_sum(lay_out(sums, ["v"], by), "c", "upto", by)
+    ranks = run.select(*by, "v", (F.col("upto") - F.col("c") + (F.col("c") + 1) / 2).alias("rank"))
+    side = lambda axis: ranks.where(F.col("axis") == axis).select("pair", F.col("v").alias(axis), F.col("rank").alias(f"r{axis}"))
+    # One row per pair of columns.
+    centres = cells.groupBy("pair").agg(((F.sum("c") + 1) / 2).alias("centre"))
+    ranked = cells.join(side("x"), ["pair", "x"]).join(side("y"), ["pair", "y"]).join(F.broadcast(centres), "pair")
     dx, dy, c = F.col("rx") - F.col("centre"), F.col("ry") - F.col("centre"), F.col("c")
-    sums = ranked.agg(F.sum(c * dx * dy).alias("xy"), F.sum(c * dx * dx).alias("xx"), F.sum(c * dy * dy).alias("yy"))
-    return sums.select((F.col("xy") / F.nullif(F.sqrt(F.col("xx") * F.col("yy")), F.lit(0.0))).alias("r"))
+    products = ranked.groupBy("pair").agg(F.sum(c * dx * dy).alias("xy"), F.sum(c * dx * dx).alias("xx"), F.sum(c * dy * dy).alias("yy"))
+    named = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, x string, y string")
+    r = F.col("xy") / F.nullif(F.sqrt(F.col("xx")) * F.sqrt(F.col("yy")), F.lit(0.0))
+    return named.join(products, "pair", "left").select("x", "y", r.alias("r"))
 
 
 def _kendall(df: DataFrame, a: str, b: str) -> DataFrame:

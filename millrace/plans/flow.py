@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.operators.profile import profile_table
 from millrace.plans.sql import run_kpis
@@ -88,6 +89,24 @@ class Analysis:
     generators: dict[str, DataFrame] = field(default_factory=dict)
     errors: dict[str, str] = field(default_factory=dict)
 
+    def report(self) -> DataFrame:
+        """(part, name, label, measure, value): every number of every KPI, analyzer and generator as a row.
+
+        A result's first column, if it has several, and all columns that are not numbers make up the ``label``;
+        nulls in it are left out. A result without numbers gives its labels with no measure."""
+        out = None
+        for part, results in (("kpi", self.kpis), ("analyzer", self.analyzers), ("generator", self.generators)):
+            for name, df in results.items():
+                fields = df.schema.fields
+                measures = [f.name for f in fields[len(fields) > 1 :] if isinstance(f.dataType, T.NumericType)]
+                labels = [F.col(f"`{f.name}`").cast("string") for f in fields if f.name not in measures]
+                cells = [F.struct(F.lit(m).alias("measure"), F.col(f"`{m}`").cast("double").alias("value")) for m in measures]
+                cells = cells or [F.struct(F.lit(None).cast("string").alias("measure"), F.lit(None).cast("double").alias("value"))]
+                rows = df.select(F.lit(part).alias("part"), F.lit(name).alias("name"), F.concat_ws("|", *labels).alias("label"), F.inline(F.array(*cells)))
+                out = rows if out is None else out.union(rows)
+        empty = "part string, name string, label string, measure string, value double"
+        return self.summary.sparkSession.createDataFrame([], empty) if out is None else out
+
 
 def analyze(
     spark: SparkSession,
@@ -161,7 +180,7 @@ def forecast_chart(history: DataFrame, forecast: DataFrame, ts: str, value: str)
     past = history.select(
         F.col(ts).cast("timestamp_ntz").alias("x"), F.col(value).cast("double").alias("y"), null.alias("lower"), null.alias("upper"), F.lit("history").alias("part")
     )
-    ahead = forecast.select(
+    ahead = forecast.where(F.col(ts).isNotNull()).select(
         F.col(ts).cast("timestamp_ntz").alias("x"),
         F.col("forecast").alias("y"),
         F.col("lower_bound").alias("lower"),

@@ -9,14 +9,12 @@ from millrace.operators import contracts, lineage, privacy
 from millrace.operators.contracts import ColumnSpec, Contract
 from registry import query, rounded, table
 
-ORDERS = Contract(
-    "orders",
+PARTS = Contract(
+    "parts",
     (
-        ColumnSpec("o_orderkey", "integer", nullable=False, unique=True),
-        ColumnSpec("o_totalprice", "string"),
-        ColumnSpec("o_clerk", "string", nullable=False),
-        ColumnSpec("o_comment", "string"),
-        ColumnSpec("o_orderdate", "timestamp"),
+        ColumnSpec("p0", "integer", nullable=False),
+        ColumnSpec("p1", "string"),
+        ColumnSpec("p3", "integer", nullable=False),
     ),
 )
 
@@ -24,14 +22,17 @@ ORDERS = Contract(
 @query(
     "validate_schema",
     """
-    SELECT * FROM (VALUES ('o_totalprice', 'error', 'type_mismatch', 'string', 'double'), ('o_clerk', 'error', 'missing_required', 'string', NULL),
-      ('o_comment', 'warning', 'missing_optional', 'string', NULL), ('o_custkey', 'warning', 'extra_column', NULL, 'bigint'),
-      ('o_orderstatus', 'warning', 'extra_column', NULL, 'string'), ('o_orderpriority', 'warning', 'extra_column', NULL, 'string'))
-      t("column", "level", code, expected, actual)
+    WITH v AS (SELECT p_brand AS table_name, CAST(p_partkey AS VARCHAR) AS version, p_size % 5 AS m FROM part)
+    SELECT table_name, version, 'p1' AS "column", 'error' AS level, 'type_mismatch' AS code, 'string' AS expected, 'bigint' AS actual FROM v WHERE m >= 1
+    UNION ALL SELECT table_name, version, 'p1', 'warning', 'missing_optional', 'string', NULL FROM v WHERE m < 1
+    UNION ALL SELECT table_name, version, 'p3', 'error', 'missing_required', 'integer', NULL FROM v WHERE m < 3
+    UNION ALL SELECT table_name, version, 'p2', 'warning', 'extra_column', NULL, 'bigint' FROM v WHERE m >= 2
+    UNION ALL SELECT table_name, version, 'p4', 'warning', 'extra_column', NULL, 'bigint' FROM v WHERE m >= 4
     """,
 )
 def _(spark, sf):
-    return contracts.validate_schema(table(spark, sf, "orders"), ORDERS)
+    fields = schema_registry(spark, sf).select("table_name", "version", F.inline("columns"))
+    return contracts.validate_schemas(fields, PARTS, ["table_name", "version"])
 
 
 EVENTS = Contract(
@@ -89,34 +90,35 @@ def _(spark, sf):
 
 
 DIFF_SQL = """
-    d AS (SELECT * FROM (VALUES ('o_clerk', 'added', FALSE, NULL, 'string'), ('o_orderpriority', 'removed', TRUE, 'string', NULL),
-      ('o_custkey', 'type_changed', TRUE, 'bigint', 'int'), ('o_totalprice', 'type_changed', FALSE, 'double', 'string'),
-      ('o_totalprice', 'default_changed', FALSE, 'double', 'string')) t(name, change, breaking, old_type, new_type))"""
-
-
-def _versions(spark, sf):
-    orders = table(spark, sf, "orders")
-    changed = (
-        orders.drop("o_orderpriority")
-        .withColumn("o_custkey", F.col("o_custkey").cast("int"))
-        .withColumn("o_totalprice", F.col("o_totalprice").cast("string"))
-        .withColumn("o_clerk", F.lit(None).cast("string"))
+    a AS (SELECT p_brand AS table_name, ARG_MIN(p_size % 5, p_partkey) AS m0, ARG_MAX(p_size % 5, p_partkey) AS m1,
+                 ARG_MIN(p_size % 2, p_partkey) AS e0, ARG_MAX(p_size % 2, p_partkey) AS e1 FROM part GROUP BY 1),
+    p AS (SELECT *, UNNEST(RANGE(1, 5)) AS i FROM a),
+    d AS (SELECT table_name, CONCAT('p', i) AS name, 'added' AS change, FALSE AS breaking, NULL AS old_type, 'bigint' AS new_type FROM p WHERE i > m0 AND i <= m1
+          UNION ALL SELECT table_name, CONCAT('p', i), 'removed', TRUE, 'bigint', NULL FROM p WHERE i <= m0 AND i > m1
+          UNION ALL SELECT table_name, 'p0', 'type_changed', e1 = 0, CASE e0 WHEN 0 THEN 'int' ELSE 'bigint' END, CASE e1 WHEN 0 THEN 'int' ELSE 'bigint' END
+          FROM a WHERE e0 <> e1)"""
+
+
+def _ends(spark, sf):
+    """The fields of every table's first and last version."""
+    ends = schema_registry(spark, sf).groupBy("table_name").agg(
+        F.min_by("columns", "created_at").alias("first"), F.max_by("columns", "created_at").alias("last")
     )
-    old = contracts.schema_rows(spark, orders.schema)
-    return old, contracts.schema_rows(spark, changed.schema, {"o_totalprice": "0"})
+    return ends.select("table_name", F.inline("first")), ends.select("table_name", F.inline("last"))
 
 
 @query("schema_diff", f"WITH {DIFF_SQL} SELECT * FROM d")
 def _(spark, sf):
-    return contracts.schema_diff(*_versions(spark, sf))
+    return contracts.schema_diff(*_ends(spark, sf), ["table_name"])
 
 
 @query(
     "schema_compatibility",
-    f"WITH {DIFF_SQL} SELECT COUNT(*) AS changes, COUNT(*) FILTER (breaking) AS breaking_changes, 'none' AS compatibility FROM d",
+    f"""WITH {DIFF_SQL} SELECT table_name, COUNT(*) AS changes, COUNT(*) FILTER (breaking) AS breaking_changes,
+        CASE WHEN BOOL_OR(breaking) THEN 'none' WHEN BOOL_OR(change = 'added') THEN 'backward' ELSE 'full' END AS compatibility FROM d GROUP BY 1""",
 )
 def _(spark, sf):
-    return contracts.compatibility(contracts.schema_diff(*_versions(spark, sf)))
+    return contracts.compatibility(contracts.schema_diff(*_ends(spark, sf), ["table_name"]), ["table_name"])
 
 
 def schema_registry(spark, sf):

@@ -83,6 +83,27 @@ def _(spark, sf):
     return rounded(series.resample_fill(events, "ts", "value", "H", ["s"]))
 
 
-@query("forecast_calendar")
+@query(
+    "forecast_calendar",
+    f"""
+    WITH {DAILY_SQL},
+      g AS (SELECT s, UNNEST(RANGE(MIN(day), MAX(day) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS ts FROM d GROUP BY s),
+      y AS (SELECT g.s, g.ts, LAST_VALUE(v IGNORE NULLS) OVER (PARTITION BY g.s ORDER BY g.ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y
+            FROM g LEFT JOIN d ON g.s = d.s AND g.ts = d.day),
+      x AS (SELECT *, EPOCH(ts) / 86400.0 + 2440587.5 AS t, MONTH(ts)::DOUBLE AS m, (ISODOW(ts) - 1)::DOUBLE AS w FROM y),
+      c AS (SELECT s, MAX(ts) AS ends, AVG(y) AS ay, AVG(t) AS avg_t, AVG(m) AS am, AVG(w) AS aw, VAR_POP(y) AS yy, VAR_POP(t) AS tt, COVAR_POP(t, m) AS tm,
+                   COVAR_POP(t, w) AS tw, VAR_POP(m) AS mm, COVAR_POP(m, w) AS mw, VAR_POP(w) AS ww, COVAR_POP(t, y) AS ty, COVAR_POP(m, y) AS my, COVAR_POP(w, y) AS wy
+            FROM x GROUP BY s HAVING COUNT(*) >= 10),
+      k AS (SELECT *, tt * (mm * ww - mw * mw) - tm * (tm * ww - mw * tw) + tw * (tm * mw - mm * tw) AS det FROM c),
+      b AS (SELECT *, (ty * (mm * ww - mw * mw) - tm * (my * ww - mw * wy) + tw * (my * mw - mm * wy)) / det AS bt,
+                   (tt * (my * ww - mw * wy) - ty * (tm * ww - mw * tw) + tw * (tm * wy - my * tw)) / det AS bm,
+                   (tt * (mm * wy - my * mw) - tm * (tm * wy - my * tw) + ty * (tm * mw - mm * tw)) / det AS bw FROM k),
+      f AS (SELECT *, SQRT(GREATEST(0, yy - bt * ty - bm * my - bw * wy)) AS rmse, UNNEST(RANGE(1, 31)) AS i FROM b),
+      a AS (SELECT *, ends + TO_DAYS(CAST(i AS INTEGER)) AS ts FROM f),
+      o AS (SELECT s, ts, rmse, ay + bt * (EPOCH(ts) / 86400.0 + 2440587.5 - avg_t) + bm * (MONTH(ts) - am) + bw * (ISODOW(ts) - 1 - aw) AS forecast FROM a)
+    SELECT s, ts::TIMESTAMP AS ts, ROUND(forecast, 3) AS forecast, ROUND(forecast - 1.96 * rmse, 3) AS lower_bound, ROUND(forecast + 1.96 * rmse, 3) AS upper_bound,
+           ROUND(rmse, 3) AS rmse, CAST(NULL AS VARCHAR) AS reason FROM o
+    """,
+)
 def _(spark, sf):
-    return rounded(series.forecast_calendar(daily(spark, sf), "day", "v", 30, "D", ["s"]))
+    return rounded(series.forecast_calendar(daily(spark, sf), "day", "v", 30, "D", ["s"]), 3)

@@ -1,5 +1,7 @@
 """Statistics and machine learning queries."""
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from millrace.operators import ml, stats
@@ -61,6 +63,21 @@ def _(spark, sf):
     return rounded(stats.correlation(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"], "spearman"), 6)
 
 
+MATRIX = ["l_quantity", "l_extendedprice", "discount", "l_tax", "l_suppkey"]
+MATRIX_SQL = " UNION ALL ".join(
+    f"""SELECT '{a}' AS x, '{b}' AS y, (SELECT ROUND(CORR(a, b), 6) FROM (
+        SELECT RANK() OVER (ORDER BY {a}) + (COUNT(*) OVER (PARTITION BY {a}) - 1) / 2.0 AS a, RANK() OVER (ORDER BY {b}) + (COUNT(*) OVER (PARTITION BY {b}) - 1) / 2.0 AS b
+        FROM t WHERE {a} IS NOT NULL AND {b} IS NOT NULL)) AS r"""
+    for a, b in combinations(MATRIX, 2)
+)
+
+
+@query("correlation_ranks", "WITH t AS (SELECT *, CASE WHEN l_partkey % 10 <> 0 THEN l_discount END AS discount FROM lineitem) " + MATRIX_SQL)
+def _(spark, sf):
+    lines = table(spark, sf, "lineitem").withColumn("discount", F.when(F.col("l_partkey") % 10 != 0, F.col("l_discount")))
+    return rounded(stats.correlation(lines, MATRIX, "spearman"), 6)
+
+
 @query(
     "correlation_kendall",
     """

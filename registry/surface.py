@@ -371,10 +371,22 @@ def run_analysis(spark, sf):
 
 @query(
     "analyze",
-    "SELECT 'orders' AS \"table\", 3 AS kpi_count, 2 AS analyzer_count, 1 AS generator_count, 1 AS error_count FROM (SELECT COUNT(*) FROM orders)",
+    """
+    WITH s AS (SELECT o_orderpriority AS p, SUM(o_totalprice) AS r, ROUND(SUM(o_totalprice), 4) AS y FROM orders GROUP BY 1),
+      k AS (SELECT AVG(o_totalprice) AS m, STDDEV_POP(o_totalprice) AS d FROM orders),
+      z AS (SELECT o_orderkey, o_totalprice, m, ABS(o_totalprice - m) / d AS score FROM orders, k WHERE ABS(o_totalprice - m) / d > 3)
+    SELECT 'kpi' AS part, 'orders' AS name, o_orderstatus AS label, 'n' AS measure, COUNT(*)::DOUBLE AS value FROM orders GROUP BY o_orderstatus
+    UNION ALL SELECT 'kpi', 'segments', c_mktsegment, 'balance', ROUND(AVG(c_acctbal), 4) FROM customer GROUP BY c_mktsegment
+    UNION ALL SELECT 'kpi', 'parts', CAST(l_partkey AS VARCHAR), 'amount', ROUND(SUM(l_extendedprice), 4) FROM lineitem GROUP BY l_partkey
+    UNION ALL SELECT 'analyzer', 'segments', p, 'revenue', y FROM s
+    UNION ALL SELECT 'analyzer', 'segments', p, 'pct_of_total', ROUND(100 * r / (SELECT SUM(r) FROM s), 2) FROM s
+    UNION ALL SELECT 'generator', 'bars', p, 'y', y FROM s
+    UNION ALL SELECT 'analyzer', 'anomalies', CAST(o_orderkey AS VARCHAR), UNNEST(['value', 'score', 'expected']),
+      UNNEST([ROUND(o_totalprice, 4), ROUND(score, 4), ROUND(m, 4)]) FROM z
+    """,
 )
 def _(spark, sf):
-    return run_analysis(spark, sf).summary
+    return rounded(run_analysis(spark, sf).report())
 
 
 @query("analyze_profile")
