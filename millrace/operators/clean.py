@@ -104,7 +104,11 @@ def impute(
         medians = quantiles(long_form(source, numeric, "double"), "value", {"median": 0.5}, ["column"])
         df = _filled(df, numeric, per_column(medians, numeric, "median"))
     elif numeric:
-        df = _filled(df, numeric, _modes(source, numeric, "double"))
+        # By type: a whole number beyond 2^53 has no double of its own.
+        kinds = dict(source.dtypes)
+        for kind in sorted({kinds[c] for c in numeric}):
+            same = [c for c in numeric if kinds[c] == kind]
+            df = _filled(df, same, _modes(source, same, kind))
     if categorical:
         df = _filled(df, categorical, _modes(source, categorical, "string"))
     return df

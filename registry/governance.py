@@ -376,6 +376,18 @@ def _(spark, sf):
     return contracts.baseline_latest(baseline_store(spark, sf)).drop("data", "status")
 
 
+@query(
+    "baseline_activate",
+    f"""WITH {STORE_SQL}, f AS (SELECT ARG_MIN(version, event_id) AS v, ARG_MIN(source_id, event_id) AS s, ARG_MIN(baseline_type, event_id) AS k FROM b)
+    SELECT tenant_id, source_id, baseline_type, version, CASE WHEN source_id = s AND baseline_type = k AND version = v THEN 'active'
+        WHEN event_id % 7 = 0 THEN CASE WHEN source_id = s AND baseline_type = k THEN 'deprecated' ELSE 'active' END ELSE 'draft' END AS status FROM b, f""",
+)
+def _(spark, sf):
+    store = baseline_store(spark, sf)
+    one = store.orderBy(F.split("version", r"\.")[2].cast("long")).first()
+    return contracts.baseline_activate(store, one.tenant_id, one.source_id, one.baseline_type, one.version).drop("data")
+
+
 @query(
     "baseline_history",
     f"""WITH {STORE_SQL}, l AS (SELECT *, event_id % 4 AS k, LAG(event_id % 4) OVER w AS pk, LAG(version) OVER w AS parent_version, event_id % 2 AS v, LAG(event_id % 2) OVER w AS pv

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from millrace.operators import pages, text, textindex
+from millrace.operators import nearest, pages, text, textindex
 from registry import query, rounded, scratch, table
 
 CHARS = text.EMBED_CHARACTERS
@@ -96,21 +96,28 @@ def _(spark, sf):
     return rounded(both.select("vec_id", text.cosine(a, b).alias("cosine"), text.euclidean(a, b).alias("euclidean")), 6)
 
 
-@query(
-    "top_k_similar",
-    f"""
+TOP_SQL = f"""
     WITH n AS (SELECT vec_id, LIST_TRANSFORM(embedding::DOUBLE[], lambda x: x / SQRT({COSINE.format(a="embedding::DOUBLE[]", b="embedding::DOUBLE[]")})) AS u, label FROM embeddings),
          s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, {COSINE.format(a="q.u", b="c.u")} AS score FROM n q, n c),
          r AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY ROUND(score, 12) DESC, id) AS INTEGER) AS rank FROM s)
     SELECT query_id, id, ROUND(score, 6) AS score, rank FROM r WHERE rank <= 5
-    """,
-)
+    """
+
+
+@query("top_k_similar", TOP_SQL)
 def _(spark, sf):
     vectors = table(spark, sf, "embeddings")
     found = text.top_k_similar(vectors, vectors, 5, "vec_id", "embedding", "vec_id", "embedding")
     return rounded(found, 6)
 
 
+@query("top_k_pruned", TOP_SQL)
+def _(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    found = nearest.top_k_pruned(vectors, vectors, 5, "vec_id", "embedding", "vec_id", "embedding")
+    return rounded(found.drop("parts_searched", "parts"), 6)
+
+
 @query(
     "upsert_items",
     """SELECT vec_id, label + 100 AS label FROM embeddings WHERE vec_id % 5 = 0 UNION ALL SELECT vec_id, label FROM embeddings WHERE vec_id % 5 <> 0""",

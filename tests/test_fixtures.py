@@ -444,3 +444,11 @@ def test_any_confidence():
     assert z_of(0.95) == 1.96 and abs(z_of(0.8) - 1.2816) < 1e-4
     with pytest.raises(ValueError, match="confidence"):
         z_of(1.0)
+
+
+def test_mode_keeps_whole_numbers(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, 1.5), (big, 1.5), (None, None), (3, 2.0)], "n long, x double")
+    got = clean.impute(df, "mode")
+    assert got.dtypes == df.dtypes
+    assert sorted(tuple(r) for r in got.collect()) == [(3, 2.0), (big, 1.5), (big, 1.5), (big, 1.5)]
