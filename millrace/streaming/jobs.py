@@ -59,7 +59,11 @@ def stream_kpi(
 
 
 def stream_sessions(stream: DataFrame, ts: str, key: str, value: str, gap: str, watermark: str = "10 minutes") -> DataFrame:
-    """The same over sessions that end after a gap without rows of the key."""
+    """The same over sessions that end after a gap without rows of the key.
+
+    Rows are merged into sessions inside each input partition and only sessions are shuffled by key, so that a key
+    with a third of the rows is merged by several tasks. The setting for that is turned on for the Spark session."""
+    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     rows = stream.withColumn("_at", F.col(ts).cast("timestamp"))
     return _kpi(rows.withWatermark("_at", watermark).groupBy(F.session_window("_at", gap).alias("w"), key), key, value)
 

@@ -125,3 +125,19 @@ def test_windows(spark, source):
     got = spark.read.parquet(f"{sink}/out")
     want = jobs.stream_kpi(source[1], "ts", "k", "v", "1 hour")
     assert got.count() > 300 and got.select("window_start", "k", "count").exceptAll(want.select("window_start", "k", "count")).count() == 0
+
+
+def test_sessions_are_merged_before_their_shuffle(spark, source):
+    """Sessions across micro-batches equal those of the batch; the merging stands on both sides of the shuffle."""
+    begin = lambda stream, sink: jobs.start(jobs.stream_sessions(stream, "ts", "k", "v", "5 minutes", "1 minute"), sink, f"{sink}-state")
+    sink, done = run(spark, source, begin)
+    lag = F.lag("ts").over(Window.partitionBy("k").orderBy("ts"))
+    rows = source[1].withColumn("new", (lag.isNull() | (F.col("ts") >= lag + F.expr("INTERVAL 5 MINUTES"))).cast("int"))
+    rows = rows.withColumn("session", F.sum("new").over(Window.partitionBy("k").orderBy("ts")))
+    want = rows.groupBy("k", "session").agg(F.min("ts").alias("a"), F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 6).alias("s"), F.max("ts").alias("last"))
+    end = source[1].agg(F.max("ts")).first()[0]
+    closed = {(r.k, r.a, r.n, r.s) for r in want.collect() if (end - r["last"]).total_seconds() >= 6 * 60}
+    got = spark.read.parquet(sink).select("k", F.col("window_start").cast("timestamp_ntz").alias("a"), "count", F.round("sum", 6).alias("s"))
+    assert {tuple(r) for r in got.collect()} == closed and closed
+    plan = done._jsq.explainInternal(False)
+    assert "MergingSessions" in plan.split("Exchange")[-1] and "MergingSessions" in plan.split("Exchange")[0]
