@@ -406,11 +406,13 @@ def meta_property(html: Column, name: str) -> Column:
 
 
 def page_meta(df: DataFrame, key: str, html: str, properties: Mapping[str, str], description: str = "og:description") -> DataFrame:
-    """Named meta properties, price and year out of the description, and the distinct image URLs in order."""
+    """Named meta properties, price and year out of the description, and the distinct image URLs in order.
+
+    The digits of an amount are no year."""
     source = F.col(html)
     about = meta_property(source, description)
-    picked = lambda p: F.nullif(F.regexp_extract(about, p, 1), F.lit(""))
-    price = picked(PRICE)
+    picked = lambda text, p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
+    price = picked(about, PRICE)
     head = F.when(meta_property(source, "og:image").isNotNull(), F.array(meta_property(source, "og:image"))).otherwise(F.array())
     images = F.concat(head.cast("array<string>"), _attributes(source, "img", "src"))
     absolute = F.transform(images, lambda u: F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).otherwise(u))
@@ -418,6 +420,6 @@ def page_meta(df: DataFrame, key: str, html: str, properties: Mapping[str, str],
         key,
         *[meta_property(source, prop).alias(name) for name, prop in properties.items()],
         F.concat(price, F.lit(" USD")).alias("price"),
-        picked(YEAR).cast("int").alias("year"),
+        picked(F.regexp_replace(about, PRICE, " "), YEAR).cast("int").alias("year"),
         F.array_distinct(F.filter(absolute, lambda u: u != "")).alias("images"),
     )
