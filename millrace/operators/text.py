@@ -16,7 +16,7 @@ from millrace.functions.order import leading
 # The characters whose shares make up a character embedding.
 EMBED_CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789 .,!?-"
 WORD = r"[\p{L}\p{N}]+"
-QUERY_BLOCK, CORPUS_BLOCK = 2_000, 20_000  # rows of either side that one task compares
+QUERY_BLOCK, CORPUS_BLOCK = 20_000, 20_000  # rows of either side that one task compares
 
 
 def norm(vector: Column) -> Column:
@@ -126,39 +126,134 @@ def _matching(df: DataFrame, filters: Mapping[str, object] | None) -> DataFrame:
     return df
 
 
+def _units(vectors: pd.Series) -> np.ndarray:
+    rows = vectors.tolist()
+    width = len(rows[0]) if rows else 0
+    if any(len(v) != width for v in rows):
+        raise ValueError("vectors differ in length")
+    x = np.concatenate([np.asarray(v, dtype=float) for v in rows]).reshape(len(rows), width) if rows else np.empty((0, 0))
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+
+
+def _first_copies(x: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows of ``x`` that have fewer than ``k`` equal rows before them: of more copies none is needed."""
+    if not x.shape[1]:
+        return np.arange(min(k, len(x)))
+    _, same = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_inverse=True)
+    order = np.argsort(same, kind="stable")
+    starts = np.flatnonzero(np.diff(same[order], prepend=-1))
+    nth = np.arange(len(x)) - np.repeat(starts, np.diff(np.append(starts, len(x))))
+    return np.sort(order[nth < k])
+
+
+def _leading_of(owner: np.ndarray, score: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """Places in these arrays of the k best of every owner, ties to the smaller place, best first."""
+    order = np.lexsort((place, -score, owner))
+    starts = np.flatnonzero(np.diff(owner[order], prepend=-1))
+    nth = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    return order[nth < k]
+
+
+class TopK:
+    """The k best corpus rows of each of a block of queries, gathered block by block; exact, ties to smaller places.
+
+    Products in single precision leave out what is surely below a query's k-th best so far; the others are scored in
+    double precision. Nothing is sorted but the few rows that are left."""
+
+    TILE, QUERIES, PIECE = 2_000, 512, 1 << 16
+
+    def __init__(self, units: np.ndarray, k: int, least: np.ndarray | None = None):
+        self.units, self.k = units, k
+        self.slack = (units.shape[1] + 4) * 2.0**-23 + 1e-11
+        self.floor = np.full(len(units), -np.inf) if least is None else np.where(np.isnan(least), -np.inf, least)
+        self.best = np.full((len(units), k), -np.inf)
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.scored = 0  # rows scored in double precision
+
+    def add(self, x: np.ndarray, places: np.ndarray, queries: np.ndarray) -> None:
+        """Compare the queries (places in the block) with unit vectors whose places ascend."""
+        if self.units.shape[1] != x.shape[1]:
+            raise ValueError("vectors differ in length")
+        kept = _first_copies(x, self.k)
+        x, places = x[kept], places[kept]
+        rough, finite = x.astype(np.float32), np.isfinite(x).all()
+        for start in range(0, len(queries), self.QUERIES):
+            asked = queries[start : start + self.QUERIES]
+            q = self.units[asked].astype(np.float32)
+            whole = finite and np.isfinite(q).all()
+            for at in range(0, len(x), self.TILE):
+                near = q @ rough[at : at + self.TILE].T
+                self._tile(x[at : at + self.TILE], places[at : at + self.TILE], asked, near if whole else np.nan_to_num(near, nan=-2.0))
+
+    def _tile(self, x: np.ndarray, places: np.ndarray, asked: np.ndarray, near: np.ndarray) -> None:
+        floor = np.nextafter((self.floor[asked] - self.slack).astype(np.float32), np.float32(-np.inf))
+        rows = np.flatnonzero(near.max(axis=1) >= floor)
+        if not len(rows):
+            return
+        near, floor = near[rows], floor[rows]
+        new = np.isneginf(floor)
+        if new.any() and near.shape[1] > self.k:
+            kth = np.partition(near[new], near.shape[1] - self.k, axis=1)[:, near.shape[1] - self.k]
+            floor[new] = kth - np.float32(2.5 * self.slack)
+        row, column = np.nonzero(near >= floor[:, None])
+        owner = asked[rows[row]]
+        score = np.empty(len(row))
+        self.scored += len(row)
+        for at in range(0, len(row), self.PIECE):
+            part = slice(at, at + self.PIECE)
+            score[part] = np.einsum("ij,ij->i", self.units[owner[part]], x[column[part]])
+        score = np.round(score, 12)
+        first = _leading_of(owner, score, column, self.k)
+        first = first[~(score[first] < self.floor[owner[first]])]
+        if not len(first):
+            return
+        owner, score = owner[first], score[first]
+        self.found.append((owner, places[column[first]], score))
+        mine, row = np.unique(owner, return_inverse=True)
+        starts = np.flatnonzero(np.diff(row, prepend=-1))
+        table = np.full((len(mine), self.k), -np.inf)
+        table[row, np.arange(len(row)) - starts[row]] = np.nan_to_num(score, nan=-2.0)
+        best = np.sort(np.concatenate([self.best[mine], table], axis=1), axis=1)[:, -self.k :]
+        self.best[mine] = best
+        self.floor[mine] = np.maximum(self.floor[mine], best[:, 0])
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, place, score), the first k of every query."""
+        if not self.found:
+            return np.empty(0, int), np.empty(0, int), np.empty(0)
+        owner, place, score = (np.concatenate(c) for c in zip(*self.found, strict=True))
+        first = _leading_of(owner, score, place, self.k)
+        return owner[first], place[first], score[first]
+
+
 def _top_k_pair(k: int):
     def best(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        """Best k of one block of the corpus for one block of queries."""
-        out = [pd.DataFrame({"query_id": asked["query_id"].iloc[:0], "id": rows["id"].iloc[:0], "score": np.empty(0)})]
-        if len(rows) and len(asked):
-            x, ids = _units(rows["v"]), rows["id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            x, ids = x[order], ids[order]
-            for at in range(0, len(asked), 200):
-                part = asked.iloc[at : at + 200]
-                q = _units(part["v"])
-                if x.shape[1] != q.shape[1]:
-                    raise ValueError("vectors differ in length")
-                score = np.round(q @ x.T, 12)
-                picked = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                out.append(
-                    pd.DataFrame(
-                        {
-                            "query_id": np.repeat(part["query_id"].to_numpy(), picked.shape[1]),
-                            "id": ids[picked].ravel(),
-                            "score": np.take_along_axis(score, picked, axis=1).ravel(),
-                        }
-                    )
-                )
-        return pd.concat(out, ignore_index=True)
+        """Best k of one block of the corpus for one block of queries. Queries may name
+        the ``parts`` (of the rows' ``part``) they search, and the ``least`` score that counts."""
+        if not len(rows) or not len(asked):
+            return pd.DataFrame({"query_id": asked["query_id"].iloc[:0], "id": rows["id"].iloc[:0], "score": np.empty(0)})
+        rows = rows.sort_values("id", kind="stable")
+        x, ids = _units(rows["v"]), rows["id"].to_numpy()
+        search = TopK(_units(asked["v"]), k, asked["least"].to_numpy(dtype=float) if "least" in asked else None)
+        if "parts" not in asked:
+            search.add(x, np.arange(len(x)), np.arange(len(asked)))
+        else:
+            sizes = asked["parts"].map(len).to_numpy()
+            owner, wanted = np.repeat(np.arange(len(asked)), sizes), np.concatenate(asked["parts"].tolist())
+            part = rows["part"].to_numpy()
+            for p in np.unique(part):
+                here = np.flatnonzero(part == p)
+                search.add(x[here], here, owner[wanted == p])
+        query, place, score = search.result()
+        return pd.DataFrame({"query_id": asked["query_id"].to_numpy()[query], "id": ids[place], "score": score})
 
     return best
 
 
-def _units(vectors: pd.Series) -> np.ndarray:
-    x = np.array(vectors.tolist(), dtype=float)
-    length = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+def _numbers(df: DataFrame, vector: str) -> Column:
+    """The vector as it travels: floats stay floats, which takes half the room; tasks work in double precision."""
+    return F.col(vector) if dict(df.dtypes)[vector] == "array<float>" else F.col(vector).cast("array<double>")
 
 
 def top_k_similar(
@@ -185,8 +280,8 @@ def top_k_similar(
         placed = df.withColumns({own: F.pmod(F.xxhash64(name), mine).cast("int"), other: others})
         return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
 
-    rows = _matching(corpus, filters).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    asked = queries.select(F.col(query_key).alias("query_id"), F.col(query_vector).cast("array<double>").alias("v"))
+    rows = _matching(corpus, filters).select(F.col(key).alias("id"), _numbers(corpus, vector).alias("v"))
+    asked = queries.select(F.col(query_key).alias("query_id"), _numbers(queries, query_vector).alias("v"))
     corpus_blocks, query_blocks = blocks(rows, corpus_block), blocks(asked, query_block)
     left = dealt(rows, "id", "_cb", corpus_blocks, "_qb", query_blocks)
     right = dealt(asked, "query_id", "_qb", query_blocks, "_cb", corpus_blocks)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from millrace.operators.nearest import top_k_pruned
-from millrace.operators.text import top_k_similar
+from millrace.operators.text import TopK, top_k_similar
 
 
 def table(spark, vectors):
@@ -43,3 +43,23 @@ def test_empty_sides_and_unequal_lengths(spark):
     assert top_k_pruned(corpus.limit(0), corpus, 2, "id", "v", "id", "v").count() == 0
     with pytest.raises(Exception, match="differ in length"):
         top_k_pruned(table(spark, [[1, 0, 0]]), corpus, 2, "id", "v", "id", "v").collect()
+
+
+def test_a_block_scores_few_rows_and_misses_none():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(5000, 16))
+    x[1000:1400] = x[17]  # copies
+    x[1400:1500] = x[18] * np.linspace(1, 2, 100)[:, None]  # equal directions
+    x[1500:1520] = 0
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    asked = np.concatenate([x[:40], x[1500:1501]])
+    search = TopK(asked, 5)
+    for start in range(0, len(x), 1250):
+        search.add(x[start : start + 1250], np.arange(start, start + 1250), np.arange(len(asked)))
+    query, place, score = search.result()
+    plain = np.round(asked @ x.T, 12)
+    for i in range(len(asked)):
+        want = np.lexsort((np.arange(len(x)), -plain[i]))[:5]
+        assert place[query == i].tolist() == want.tolist()
+        assert score[query == i] == pytest.approx(plain[i][want], abs=1e-11)
+    assert search.scored < 0.05 * asked.shape[0] * len(x)
