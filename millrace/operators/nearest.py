@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.freeze import freeze
 from millrace.functions.order import leading
-from millrace.operators.text import CORPUS_BLOCK, QUERY_BLOCK, _matching, _top_k_pair, _units
+from millrace.operators.text import CORPUS_BLOCK, QUERY_BLOCK, _matching, _numbers, _top_k_pair, _units
 
 CENTRES = 64
 #: The part of zero vectors, whose score is 0 for every query.
@@ -80,19 +80,40 @@ def _product(units: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 def _by_part(values: Mapping[int, int]) -> Column:
     """The value of a row's part; null for a part that has none."""
+    return _looked_up(values, F.col("part"))
+
+
+def _looked_up(values: Mapping[int, int], key: Column) -> Column:
     pairs = [F.lit(x) for pair in values.items() for x in pair]
-    return F.try_element_at(F.create_map(*pairs), F.col("part")) if pairs else F.lit(None).cast("int")
+    return F.try_element_at(F.create_map(*pairs), key) if pairs else F.lit(None).cast("int")
+
+
+def _bins(sizes: Mapping[int, int], corpus_block: int) -> tuple[dict[int, int], dict[int, int]]:
+    """(first bin, number of bins) of each part. Small parts share a bin of about ``corpus_block`` rows, so that a query
+    travels once for all of them; a larger part has several bins to itself."""
+    first, count, at, held = {}, {}, 0, 0
+    for part, n in sizes.items():
+        if held and held + n > corpus_block:
+            at, held = at + 1, 0
+        first[part], count[part] = at, -(-n // corpus_block)
+        held += n
+        if count[part] > 1:
+            at, held = at + count[part], 0
+    return first, count
 
 
 def _search(rows: DataFrame, sizes: Mapping[int, int], wanted: DataFrame, k: int, query_block: int, corpus_block: int, schema: str) -> DataFrame:
-    """The best k rows per query and block, of the wanted (query_id, v, part) alone. Rows of parts that nobody wants
-    stay where they are; parts and their queries are dealt by hash into blocks."""
-    asked = {r.part: -(-r.n // query_block) for r in wanted.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = {part: -(-n // corpus_block) for part, n in sizes.items()}
-    upto = lambda values: F.explode(F.sequence(F.lit(0), _by_part(values) - 1))
-    left = rows.where(_by_part(asked).isNotNull()).select("id", "v", "part", F.pmod(F.xxhash64("id"), _by_part(blocks)).cast("int").alias("_cb"), upto(asked).alias("_qb"))
-    right = wanted.select("query_id", "v", "part", F.pmod(F.xxhash64("query_id"), _by_part(asked)).cast("int").alias("_qb"), upto(blocks).alias("_cb"))
-    by = ["part", "_cb", "_qb"]
+    """The best k rows per query and block, of the wanted (query_id, v, parts, least) alone. Rows of parts that nobody
+    wants stay where they are; bins of parts and their queries are dealt by hash into blocks."""
+    first, count = _bins(sizes, corpus_block)
+    bins = F.array_distinct(F.flatten(F.transform("parts", lambda p: F.sequence(_looked_up(first, p), _looked_up(first, p) + _looked_up(count, p) - 1))))
+    sought = wanted.select("query_id", "v", "parts", "least", F.explode(bins).alias("_cb"))
+    asked = {r["_cb"]: -(-r.n // query_block) for r in sought.groupBy("_cb").agg(F.count(F.lit(1)).alias("n")).collect()}
+    blocks = _looked_up(asked, F.col("_cb"))
+    placed = rows.withColumn("_cb", (_by_part(first) + F.pmod(F.xxhash64("id"), _by_part(count))).cast("int")).where(blocks.isNotNull())
+    left = placed.select("id", "v", "part", "_cb", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_qb"))
+    right = sought.withColumn("_qb", F.pmod(F.xxhash64("query_id"), blocks).cast("int"))
+    by = ["_cb", "_qb"]
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_top_k_pair(k), schema)
 
 
@@ -114,8 +135,8 @@ def top_k_pruned(
 
     ``centres`` corpus vectors (those of the smallest hash) and one row per part come to the driver; all else stays
     on the executors. Query keys must be unique; null vectors take no part; vectors of unequal lengths are an error."""
-    rows = _matching(corpus, filters).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
-    asked = queries.select(F.col(query_key).alias("query_id"), F.col(query_vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    rows = _matching(corpus, filters).select(F.col(key).alias("id"), _numbers(corpus, vector).alias("v")).where("v IS NOT NULL")
+    asked = queries.select(F.col(query_key).alias("query_id"), _numbers(queries, query_vector).alias("v")).where("v IS NOT NULL")
     kinds = {**dict(rows.dtypes), **dict(asked.dtypes)}
     schema = f"query_id {kinds['query_id']}, id {kinds['id']}, score double"
     first = rows.where(F.exists("v", lambda x: x != 0)).orderBy(F.xxhash64("id"), "v").limit(centres).select("v").toPandas()
@@ -128,14 +149,14 @@ def top_k_pruned(
     known = placed.groupBy("part").agg(F.max("angle").alias("widest"), F.count(F.lit(1)).alias("n")).orderBy("part").collect()
     sizes, widest = {r.part: r.n for r in known}, {r.part: r.widest for r in known}
     bounded = freeze(_bounded(asked, middle, widest, sizes, k))
-    near = freeze(_search(placed, sizes, bounded.select("query_id", "v", F.explode("first").alias("part")), k, query_block, corpus_block, schema))
+    near = freeze(_search(placed, sizes, bounded.select("query_id", "v", F.col("first").alias("parts"), F.lit(None).cast("double").alias("least")), k, query_block, corpus_block, schema))
     best = leading(near, ["query_id"], [F.desc("score"), "id"], k, "rank").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
     best = best.select(F.col("query_id").alias("_of"), F.when(F.col("n") >= k, F.col("least")).alias("least"))
     told = bounded.join(best, F.col("query_id").eqNullSafe(F.col("_of")), "left")
     entries = F.arrays_zip(F.array(*[F.lit(p) for p in widest]).alias("part"), F.col("bounds").alias("bound"))
     open_ = F.filter(entries, lambda e: ~F.array_contains("first", e["part"]) & (F.col("least").isNull() | (e["bound"] >= F.col("least") - SLACK)))
-    told = freeze(told.select("query_id", "v", "first", F.transform(open_, lambda e: e["part"]).alias("open")))
-    far = _search(placed, sizes, told.select("query_id", "v", F.explode("open").alias("part")), k, query_block, corpus_block, schema)
+    told = freeze(told.select("query_id", "v", "first", "least", F.transform(open_, lambda e: e["part"]).alias("open")))
+    far = _search(placed, sizes, told.where(F.size("open") > 0).select("query_id", "v", F.col("open").alias("parts"), "least"), k, query_block, corpus_block, schema)
     ranked = leading(near.union(far), ["query_id"], [F.desc("score"), "id"], k, "rank")
     counts = told.select(F.col("query_id").alias("_of"), (F.size("open") + F.size("first")).alias("parts_searched"), F.lit(len(widest)).alias("parts"))
     return ranked.join(counts, F.col("query_id").eqNullSafe(F.col("_of"))).drop("_of")
