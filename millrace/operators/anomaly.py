@@ -170,6 +170,34 @@ def _forest(rows: DataFrame, features: list[str], key: Sequence[str], trees: int
     return [tuple(np.array(r[c]) for c in TREE_FIELDS) for r in grown], size, sampled
 
 
+def _walkable(tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(feature, split, next nodes, path length, steps): a leaf leads to itself, so that all rows take the same steps."""
+    feature, split, low, high, depth = tree
+    inner, here = feature >= 0, np.arange(len(feature))
+    after = np.stack([np.where(inner, high, here), np.where(inner, low, here)], axis=1).ravel()
+    steps, at = 0, np.zeros(1, np.int64)
+    while inner[at].any():
+        at = np.unique(after.reshape(-1, 2)[at])
+        steps += 1
+    return np.where(inner, feature, 0), split, after, depth, steps
+
+
+def _mean_depth(trees: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]], x: np.ndarray) -> np.ndarray:
+    """Mean path length of the rows over all trees."""
+    out = np.zeros(len(x))
+    width, flat = x.shape[1], np.ascontiguousarray(x).ravel()
+    for start in range(0, len(x), 4096):
+        stop = min(start + 4096, len(x))
+        first, total = np.arange(start, stop) * width, out[start:stop]
+        for feature, split, after, depth, steps in trees:
+            at = np.zeros(stop - start, np.int64)
+            for _ in range(steps):
+                below = flat.take(first + feature.take(at)) < split.take(at)
+                at = after.take(2 * at + below)
+            total += depth.take(at)
+    return out / max(len(trees), 1)
+
+
 TREE_FIELDS = ("feature", "split", "lower", "upper", "depth")
 
 
@@ -202,20 +230,10 @@ def isolation_forest(
     expected = _mean_path(size) or 1.0
     shared = df.sparkSession.sparkContext.broadcast(forest)
 
-    def path_length(tree: Tree, x: np.ndarray) -> np.ndarray:
-        feature, split, left, right, depth = tree
-        at = np.zeros(len(x), dtype=np.int64)
-        rows = np.arange(len(x))
-        while (feature[at] >= 0).any():
-            inner = feature[at] >= 0
-            below = x[rows, np.where(inner, feature[at], 0)] < split[at]
-            at = np.where(inner, np.where(below, left[at], right[at]), at)
-        return depth[at]
-
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        walked = [_walkable(tree) for tree in shared.value]
         for batch in batches:
-            x = batch[features].to_numpy(dtype=float)
-            depth = np.mean([path_length(tree, x) for tree in shared.value], axis=0) if len(x) else np.empty(0)
+            depth = _mean_depth(walked, batch[features].to_numpy(dtype=float))
             yield batch.assign(score=2.0 ** (-depth / expected))
 
     scored = rows.mapInPandas(score, rows.select(*key, *features).schema.add("score", "double"))

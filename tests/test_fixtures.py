@@ -463,3 +463,20 @@ def test_mode_keeps_whole_numbers(spark):
     got = clean.impute(df, "mode")
     assert got.dtypes == df.dtypes
     assert sorted(tuple(r) for r in got.collect()) == [(3, 2.0), (big, 1.5), (big, 1.5), (big, 1.5)]
+
+
+def test_walks_end_where_the_trees_do():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 2))
+    x[5] = np.nan
+    trees = [anomaly._grow(rng.normal(size=(64, 2)), rng) for _ in range(7)]
+
+    def plain(tree, row):
+        feature, split, low, high, depth = tree
+        at = 0
+        while feature[at] >= 0:
+            at = low[at] if row[feature[at]] < split[at] else high[at]
+        return depth[at]
+
+    got = anomaly._mean_depth([anomaly._walkable(t) for t in trees], x)
+    assert got == pytest.approx([np.mean([plain(t, row) for t in trees]) for row in x], abs=1e-12)
