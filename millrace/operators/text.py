@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.freeze import freeze
+from millrace.functions.freeze import stored
 from millrace.functions.order import leading
 
 # The characters whose shares make up a character embedding.
@@ -59,10 +61,84 @@ def tokenize(df: DataFrame, text: str, name: str = "tokens") -> DataFrame:
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, count, largest count of the text). A text without terms keeps one row without term.
 
-    One shuffle: terms are dealt by key, and counts and their maxima are both found where they arrive."""
-    terms = df.select(key, F.explode_outer(tokens(F.col(text))).alias("term")).repartition(key)
-    counts = terms.groupBy(key, "term").agg(F.count("term").alias("count"))
-    return counts.withColumn("most", F.max("count").over(Window.partitionBy(key)))
+    One shuffle, of the texts and not of their words. Words are counted where a key's texts arrive, a piece of many
+    texts at a time; the texts of one key come one after another."""
+    kind = dict(df.dtypes)[key]
+    same = F.xxhash64(key, F.col(key).isNull())
+    rows = df.select(key, text).repartition(key).select(F.col(key).alias("key"), same.alias("same"), tokens(F.col(text)).alias("words"))
+    counted = rows.sortWithinPartitions("key").mapInArrow(_counted, f"key {kind}, term string, count long, most long")
+    return counted.withColumnRenamed("key", key)
+
+
+#: Words that are counted at a time.
+PIECE_WORDS = 500_000
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the words of sorted rows (key, same, words). The rows of the last key wait for the next batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        same = batch.column("same").to_numpy()
+        last = len(same) - 1 - int(np.argmax(same[::-1] != same[-1])) + 1 if (same != same[-1]).any() else 0
+        if held and (last or held[-1].column("same")[-1].as_py() != same[0]):
+            yield from _counts_of(pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks())
+            held = []
+        elif last:
+            yield from _counts_of(pa.Table.from_batches([batch.slice(0, last)]).combine_chunks())
+        held.append(batch.slice(last))
+    if held:
+        yield from _counts_of(pa.Table.from_batches(held).combine_chunks())
+
+
+def _counts_of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    if not len(rows):
+        return
+    same = rows.column("same").to_numpy()
+    begins = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))  # the first row of every key
+    lists = rows.column("words").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    words = lists.flatten()
+    ends = np.append(begins[1:], len(same))
+    at = 0
+    while at < len(begins):
+        until = max(at + 1, int(np.searchsorted(upto[ends], upto[begins[at]] + PIECE_WORDS, side="right")))
+        first, stop = begins[at], ends[until - 1]
+        owner = np.repeat(np.repeat(np.arange(until - at), ends[at:until] - begins[at:until]), sizes[first:stop])
+        coded = words.slice(upto[first], upto[stop] - upto[first]).dictionary_encode()
+        code, count = np.unique(owner * max(len(coded.dictionary), 1) + coded.indices.to_numpy(), return_counts=True)
+        owner, code = np.divmod(code, max(len(coded.dictionary), 1))
+        most = np.zeros(until - at, np.int64)
+        np.maximum.at(most, owner, count)
+        bare = np.flatnonzero(most == 0)
+        keys = rows.column("key").take(pa.array(begins[at:until][np.concatenate([owner, bare])])).combine_chunks()
+        term = pa.array(np.concatenate([code, np.zeros(len(bare), np.int64)]), mask=np.arange(len(code) + len(bare)) >= len(code))
+        count, most = np.concatenate([count, np.zeros(len(bare), np.int64)]), np.concatenate([most[owner], np.zeros(len(bare), np.int64)])
+        columns = [keys, coded.dictionary.take(term), pa.array(count, pa.int64()), pa.array(most, pa.int64())]
+        yield from pa.table(columns, names=["key", "term", "count", "most"]).combine_chunks().to_batches()
+        at = until
+
+
+#: Terms whose rows are broadcast at most; they hold most of a text's words.
+OFTEN = 50_000
+
+
+def often(frequency: DataFrame) -> DataFrame:
+    """The terms of (term, df) with the largest df, at most ``OFTEN``; ties are all in or all out."""
+    sizes = frequency.groupBy("df").agg(F.count(F.lit(1)).alias("n"))  # as many rows as there are different df
+    least = sizes.withColumn("n", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("df")))).where(F.col("n") <= OFTEN)
+    return frequency.where(F.col("df") >= least.select(F.min("df")).scalar())
+
+
+def by_term(counts: DataFrame, table: DataFrame, frequency: DataFrame, how: str = "inner") -> DataFrame:
+    """``counts`` with the rows of ``table`` of their term. Rows of frequent terms, at most ``OFTEN``, are broadcast, so
+    that only rare terms are shuffled and no term is hot."""
+    terms = F.broadcast(stored(often(frequency).select("term")))
+    common = counts.join(F.broadcast(stored(table.join(terms, "term", "right" if how == "left" else "inner"))), "term")
+    return common.unionByName(counts.join(terms, "term", "left_anti").join(table, "term", how))
 
 
 def tfidf_vocabulary(counts: DataFrame, documents: DataFrame, dims: int = 128, max_features: int = 1000) -> DataFrame:
@@ -78,21 +154,19 @@ def tfidf_vocabulary(counts: DataFrame, documents: DataFrame, dims: int = 128, m
 def tfidf_rows(counts: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
     """Sparse L2-normalized vectors as (key, idx, weight); a text without known terms has one null row.
 
-    The vocabulary has at most ``dims`` rows by construction."""
-    raw = counts.join(F.broadcast(vocabulary), "term", "left").withColumn(
-        "raw", F.col("count") / F.nullif("most", F.lit(0)) * F.col("idf")
-    )
+    The vocabulary has at most ``dims`` rows by construction; only its terms are shuffled."""
+    raw = counts.join(F.broadcast(vocabulary), "term").withColumn("raw", F.col("count") / F.nullif("most", F.lit(0)) * F.col("idf"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    rows = raw.withColumn("length", length).withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(F.col("idx").asc_nulls_last())))
-    return rows.where("idx IS NOT NULL OR nth = 1").select(
-        key, "idx", (F.col("raw") / F.nullif("length", F.lit(0.0))).alias("weight")
-    )
+    rows = raw.withColumn("length", length).select(key, "idx", (F.col("raw") / F.nullif("length", F.lit(0.0))).alias("weight"))
+    known = rows.select(F.col(key).alias("_known")).distinct()
+    bare = counts.select(key).distinct().join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
+    return rows.unionByName(bare.select(key, F.lit(None).cast("int").alias("idx"), F.lit(None).cast("double").alias("weight")))
 
 
 def embed_tfidf(df: DataFrame, key: str, text: str, dims: int = 128, max_features: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Sparse vectors and the vocabulary they are over."""
-    counts = freeze(term_counts(df, key, text))
-    vocabulary = freeze(tfidf_vocabulary(counts, df, dims, max_features))
+    counts = stored(term_counts(df, key, text))
+    vocabulary = stored(tfidf_vocabulary(counts, df, dims, max_features))
     return tfidf_rows(counts, vocabulary, key), vocabulary
 
 
@@ -330,14 +404,14 @@ def semantic_search(
     For one question over a table; to ask more often, keep a ``textindex``. Lengths and products come from one
     aggregation over the terms, so nothing is laid out by term and back."""
     rows = _matching(corpus, filters)
-    counts = freeze(term_counts(rows, key, text))
+    counts = stored(term_counts(rows, key, text))
     total = rows.select(F.count(F.lit(1))).scalar()
     frequency = counts.where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    known = freeze(with_idf(frequency, total))
+    known = stored(with_idf(frequency, total))
     asked = asked_weights(known, question)
     wanted = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for item in asked.items() for x in item]), F.col("term")), F.lit(0.0)) if asked else F.lit(0.0)
     raw = F.col("count") / F.col("most") * F.col("idf")
-    scored = counts.join(known.select("term", "idf"), "term").groupBy(key).agg(F.sum(raw * wanted).alias("product"), F.sqrt(F.sum(raw * raw)).alias("length"))
+    scored = by_term(counts, known.select("term", "idf"), known).groupBy(key).agg(F.sum(raw * wanted).alias("product"), F.sqrt(F.sum(raw * raw)).alias("length"))
     found = scored.select(key, F.round(F.col("product") / F.col("length"), 6).alias("score")).where("score > 0").orderBy(F.desc("score"), key)
     return found if limit is None else found.limit(limit)
 
@@ -354,13 +428,10 @@ def top_variance_dims(df: DataFrame, key: str, vector: str, dims: int = 2) -> Da
 def sentiment(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """Compound score s/√(s²+15) over a lexicon of (term, valence), its label and a 50-letter snippet.
 
-    Spark broadcasts the lexicon when it measures it small enough, else joins by shuffle."""
-    scored = (
-        term_counts(df, key, text)
-        .join(lexicon.select("term", "valence"), "term", "left")
-        .groupBy(key)
-        .agg(F.sum(F.col("count") * F.coalesce("valence", F.lit(0.0))).alias("s"))
-    )
+    The lexicon may be of any size: entries of frequent words are broadcast, so that only rare words are shuffled."""
+    counts, known = stored(term_counts(df, key, text)), stored(lexicon.select("term", "valence"))
+    frequency = stored(counts.where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    scored = by_term(counts, known, frequency, "left").groupBy(key).agg(F.sum(F.col("count") * F.coalesce("valence", F.lit(0.0))).alias("s"))
     compound = F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15)
     label = F.when(compound >= 0.05, "positive").when(compound <= -0.05, "negative").otherwise("neutral")
     snippets = df.select(key, F.substring(text, 1, 50).alias("snippet"))
