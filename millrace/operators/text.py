@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -64,35 +64,69 @@ def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     One shuffle, of the texts and not of their words. Words are counted where a key's texts arrive, a piece of many
     texts at a time; the texts of one key come one after another."""
     kind = dict(df.dtypes)[key]
+    counted = _words_by_key(df, key, text).mapInArrow(_counted(_as_rows), f"key {kind}, term string, count long, most long")
+    return counted.withColumnRenamed("key", key)
+
+
+def term_lists(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, largest count of the text, words as an array of term and count), a row per key, by the steps of ``term_counts``."""
+    kind = dict(df.dtypes)[key]
+    counted = _words_by_key(df, key, text).mapInArrow(_counted(_as_lists), f"key {kind}, most long, words array<struct<term:string,count:long>>")
+    return counted.withColumnRenamed("key", key)
+
+
+def _words_by_key(df: DataFrame, key: str, text: str) -> DataFrame:
     same = F.xxhash64(key, F.col(key).isNull())
     rows = df.select(key, text).repartition(key).select(F.col(key).alias("key"), same.alias("same"), tokens(F.col(text)).alias("words"))
-    counted = rows.sortWithinPartitions("key").mapInArrow(_counted, f"key {kind}, term string, count long, most long")
-    return counted.withColumnRenamed("key", key)
+    return rows.sortWithinPartitions("key")
 
 
 #: Words that are counted at a time.
 PIECE_WORDS = 500_000
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(emit: Callable[..., pa.Table]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Counts of the words of sorted rows (key, same, words). The rows of the last key wait for the next batch."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        same = batch.column("same").to_numpy()
-        last = len(same) - 1 - int(np.argmax(same[::-1] != same[-1])) + 1 if (same != same[-1]).any() else 0
-        if held and (last or held[-1].column("same")[-1].as_py() != same[0]):
-            yield from _counts_of(pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks())
-            held = []
-        elif last:
-            yield from _counts_of(pa.Table.from_batches([batch.slice(0, last)]).combine_chunks())
-        held.append(batch.slice(last))
-    if held:
-        yield from _counts_of(pa.Table.from_batches(held).combine_chunks())
-
-
-def _counts_of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            same = batch.column("same").to_numpy()
+            last = len(same) - 1 - int(np.argmax(same[::-1] != same[-1])) + 1 if (same != same[-1]).any() else 0
+            if held and (last or held[-1].column("same")[-1].as_py() != same[0]):
+                yield from _counts_of(pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks(), emit)
+                held = []
+            elif last:
+                yield from _counts_of(pa.Table.from_batches([batch.slice(0, last)]).combine_chunks(), emit)
+            held.append(batch.slice(last))
+        if held:
+            yield from _counts_of(pa.Table.from_batches(held).combine_chunks(), emit)
+
+    return run
+
+
+def _as_rows(keys: pa.ChunkedArray, owner: np.ndarray, term: pa.Array, count: np.ndarray, most: np.ndarray) -> pa.Table:
+    """A row per text and term; one without term for a text without terms."""
+    bare = np.flatnonzero(most == 0)
+    columns = [
+        keys.take(pa.array(np.concatenate([owner, bare]))).combine_chunks(),
+        pa.concat_arrays([term, pa.nulls(len(bare), term.type)]),
+        pa.array(np.concatenate([count, most[bare]]), pa.int64()),
+        pa.array(np.concatenate([most[owner], most[bare]]), pa.int64()),
+    ]
+    return pa.table(columns, names=["key", "term", "count", "most"])
+
+
+def _as_lists(keys: pa.ChunkedArray, owner: np.ndarray, term: pa.Array, count: np.ndarray, most: np.ndarray) -> pa.Table:
+    """A row per text."""
+    upto = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(most)))])
+    words = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.StructArray.from_arrays([term, pa.array(count, pa.int64())], names=["term", "count"]))
+    return pa.table([keys.combine_chunks(), pa.array(most, pa.int64()), words], names=["key", "most", "words"])
+
+
+def _counts_of(rows: pa.Table, emit: Callable[..., pa.Table]) -> Iterator[pa.RecordBatch]:
     if not len(rows):
         return
     same = rows.column("same").to_numpy()
@@ -113,12 +147,8 @@ def _counts_of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         owner, code = np.divmod(code, max(len(coded.dictionary), 1))
         most = np.zeros(until - at, np.int64)
         np.maximum.at(most, owner, count)
-        bare = np.flatnonzero(most == 0)
-        keys = rows.column("key").take(pa.array(begins[at:until][np.concatenate([owner, bare])])).combine_chunks()
-        term = pa.array(np.concatenate([code, np.zeros(len(bare), np.int64)]), mask=np.arange(len(code) + len(bare)) >= len(code))
-        count, most = np.concatenate([count, np.zeros(len(bare), np.int64)]), np.concatenate([most[owner], np.zeros(len(bare), np.int64)])
-        columns = [keys, coded.dictionary.take(term), pa.array(count, pa.int64()), pa.array(most, pa.int64())]
-        yield from pa.table(columns, names=["key", "term", "count", "most"]).combine_chunks().to_batches()
+        keys = rows.column("key").take(pa.array(begins[at:until]))
+        yield from emit(keys, owner, coded.dictionary.take(pa.array(code)), count.astype(np.int64), most).combine_chunks().to_batches()
         at = until
 
 

@@ -94,11 +94,35 @@ def read_member(spark: SparkSession, folder: str, snapshot: Snapshot, member: st
     return spark.read.schema(schema).parquet(*[f"{folder}/data/{part}" for part in snapshot.parts[member]])
 
 
+@dataclass(frozen=True)
+class Part:
+    """Rows that are written, and belong to a table once a version names them."""
+
+    name: str
+    schema: StructType
+    rows: int
+
+
+def write_part(folder: str, member: str, df: DataFrame, partition_by: Sequence[str] = ()) -> Part:
+    """Write a part of a member table without publishing it."""
+    name, seen = f"{member}-{uuid4().hex}", Observation()
+    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(f"{folder}/data/{name}")
+    return Part(name, df.schema, seen.get["rows"])
+
+
+def read_parts(spark: SparkSession, folder: str, parts: Sequence[Part]) -> DataFrame:
+    """The rows of parts of one member table, published or not."""
+    return spark.read.schema(parts[0].schema).parquet(*[f"{folder}/data/{part.name}" for part in parts])
+
+
 def publish(
     spark: SparkSession,
     folder: str,
     base: Snapshot | None,
-    new: Mapping[str, DataFrame],
+    new: Mapping[str, DataFrame | Sequence[Part]],
     kept: Iterable[str] = (),
     mode: str = "full",
     job: str | None = None,
@@ -107,24 +131,21 @@ def publish(
     facts: Mapping[str, str] | None = None,
     partition_by: Mapping[str, Sequence[str]] | None = None,
 ) -> Snapshot:
-    """Write a part of every table in ``new`` and publish the version after ``base``. Members named in ``kept`` keep
-    the parts they have; the others consist of their new part alone."""
+    """Write a part of every table in ``new``, but for parts that are written, and publish the version after ``base``.
+    Members named in ``kept`` keep the parts they have; the others consist of their new parts alone."""
     parts = {name: list(base.parts.get(name, ())) if base is not None else [] for name in kept}
     schemas = {name: base.schemas[name] for name in parts if base is not None and name in base.schemas}
     added = {}
     for name, df in new.items():
-        part, seen = f"{name}-{uuid4().hex}", Observation()
+        schema = df.schema if isinstance(df, DataFrame) else df[0].schema
         if parts.get(name):
-            held = read_member(spark, folder, base, name)
-            if dict(held.dtypes) != dict(df.dtypes):
-                raise ValueError(f"columns of the new rows differ from those of {name}: {df.dtypes} and {held.dtypes}")
-        writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write
-        if partition_by and name in partition_by:
-            writer = writer.partitionBy(*partition_by[name])
-        writer.parquet(f"{folder}/data/{part}")
-        parts.setdefault(name, []).append(part)
-        schemas[name] = df.schema.json()
-        added[name] = seen.get["rows"]
+            held = _kinds(read_member(spark, folder, base, name).schema)
+            if held != _kinds(schema):
+                raise ValueError(f"columns of the new rows differ from those of {name}: {_kinds(schema)} and {held}")
+        written = [write_part(folder, name, df, (partition_by or {}).get(name, ()))] if isinstance(df, DataFrame) else df
+        parts.setdefault(name, []).extend(part.name for part in written)
+        schemas[name] = schema.json()
+        added[name] = sum(part.rows for part in written)
     version = 1 if base is None else base.version + 1
     now = spark.range(1).select(F.current_timestamp().cast("string")).first()[0]
     entry = {"version": version, "mode": mode, "parts": parts, "schemas": schemas, "added": added, "job": job, "inputs": list(inputs), "tenant": tenant}
@@ -133,6 +154,10 @@ def publish(
     return Snapshot(version, parts, schemas, added, entry["facts"])
 
 
+def _kinds(schema: StructType) -> dict[str, str]:
+    return {column.name: column.dataType.simpleString() for column in schema}
+
+
 def _rename_once(spark: SparkSession, folder: str, version: int, text: str) -> None:
     fs, draft = _path(spark, f"{folder}/log/.{uuid4().hex}")
     out = fs.create(draft)

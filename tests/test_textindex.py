@@ -68,3 +68,26 @@ def test_an_index_of_nothing(spark, docs, tmp_path):
     assert textindex.Index(spark, f"{tmp_path}/empty").search("w1", 3).count() == 0
     textindex.add(docs.where("false"), "id", "body", f"{tmp_path}/empty")
     assert textindex.Index(spark, f"{tmp_path}/empty").search("w1", None).count() == 0
+
+
+def test_words_of_a_load_are_not_shuffled_one_by_one(spark, docs, tmp_path):
+    counts = text.term_lists(docs, "id", "body").withColumnRenamed("id", "key")
+    plan = textindex._weighed(counts)[textindex.POSTINGS]._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("MapInArrow") == 2
+    assert {r.key: len(r.words) for r in counts.where("key >= 900").collect()} == {900: 0, 901: 0, 902: 0, 903: 1, 904: 1}
+
+
+def test_blocks_in_pieces_are_searched_whole(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "PIECE_WORDS", 3)
+    monkeypatch.setattr(textindex, "PIECE_ROWS", 5)
+    textindex.add(docs, "id", "body", f"{tmp_path}/index")
+    index = textindex.Index(spark, f"{tmp_path}/index")
+    assert index.postings.groupBy("term", "block").count().where("count > 1").count()
+    for question, limit in (("w11 w12 the", 5), ("the of", 10), ("w299 unknown", None)):
+        assert [tuple(r) for r in index.search(question, limit).collect()] == full(docs, question, limit)
+
+
+def test_an_index_of_another_layout_is_refused(spark, docs, tmp_path):
+    snapshots.publish(spark, f"{tmp_path}/old", None, {"texts": docs.select(F.col("id").alias("key"))})
+    with pytest.raises(ValueError, match="layout"):
+        textindex.add(docs, "id", "body", f"{tmp_path}/old")
