@@ -4,6 +4,7 @@ import re
 import pytest
 
 from millrace.llm import neardup
+from millrace.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, class string"
@@ -58,3 +59,23 @@ def test_copies_nulls_and_empty_tables(spark):
         [("7", 3, False)] * 3 + [("None", 3, False), ("3", 3, True), ("9", 9, True), ("9", 9, True)]
     )
     assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_edges_of_copies_are_not_joined_again_in_every_round(spark, monkeypatch):
+    """A chain of groups in which everything is linked: most edges end in the first round."""
+    names = random.Random(7).sample(range(1_000_000), 400)
+    groups = [names[i : i + 20] for i in range(0, 400, 20)]
+    edges = [(a, b) for g in groups for i, a in enumerate(g) for b in g[:i]] + [(g[-1], h[0]) for g, h in zip(groups, groups[1:], strict=False)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    made, join = [], type(df).join
+
+    def counted(*args, **kwargs):
+        out = join(*args, **kwargs)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(df), "join", counted)
+    found = components(df, "a", "b")
+    monkeypatch.undo()
+    assert {tuple(r) for r in found.collect()} == {(n, min(names)) for n in names}
+    assert sum(made) <= 3 * len(edges)
