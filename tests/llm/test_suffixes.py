@@ -114,3 +114,17 @@ def test_runs_of_words_match_brute_force(spark, options):
     done = suffixes.remove_repeats(df, **{"width": 60, "gram": 16, "words": 9, **options})
     got = {r.doc_id: r.repeats.kept_sha256 for r in done.collect()}
     assert [got[i] for i in range(len(texts))] == [hashlib.sha256(k).hexdigest() for k in brute_words(texts, 60, 9)]
+
+
+def test_grams_of_a_shard_are_sorted_by_themselves(monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    for gram in range(6):
+        shared = bytes(rng.choices(range(97, 101), k=30))
+        rows += [(gram, f"{gram}{i}".encode(), bytes([65 + i]) + shared[i:] + bytes([75 + i])) for i in range(3)]
+    sizes, whole = [], suffixes.suffix_array
+    want = dict(zip([r[1] for r in rows], suffixes.repeated_windows([r[2] for r in rows], 20), strict=True))
+    monkeypatch.setattr(suffixes, "suffix_array", lambda s, symbols: (sizes.append(len(s)), whole(s, symbols))[1])
+    got = dict(suffixes.repeated_by_gram(rows, 20))
+    assert {k: v.tolist() for k, v in got.items()} == {k: v.tolist() for k, v in want.items()} and any(v.any() for v in got.values())
+    assert max(sizes) <= 100 and sum(n > 90 for n in sizes) == 6
