@@ -128,3 +128,13 @@ def test_grams_of_a_shard_are_sorted_by_themselves(monkeypatch):
     got = dict(suffixes.repeated_by_gram(rows, 20))
     assert {k: v.tolist() for k, v in got.items()} == {k: v.tolist() for k, v in want.items()} and any(v.any() for v in got.values())
     assert max(sizes) <= 100 and sum(n > 90 for n in sizes) == 6
+
+
+def test_only_segments_with_partners_are_stored(spark, monkeypatch):
+    stored, whole = [], suffixes.freeze
+    monkeypatch.setattr(suffixes, "freeze", lambda df: (stored.append(done := whole(df)), done)[1])
+    texts = corpus(9)
+    df = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.repeats for r in suffixes.remove_repeats(df, width=25, gram=8).collect()}
+    assert [(q.n_bytes, q.n_removed, q.n_spans, q.kept_sha256) for q in (got[i] for i in range(len(texts)))] == brute(texts, 25)
+    assert [d.columns for d in stored if "bytes" in d.columns] == [["gram", "seg", "pick", "bytes"]]
